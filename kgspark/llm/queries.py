@@ -6,21 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg_ts, packing
+from . import line_rules, mixing, mpeg_ts, packing
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "t")
+
+
 def op2_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_ts.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mpeg_ts, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_rules": line_rules.ORACLE}
