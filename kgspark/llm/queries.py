@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, mpeg_ts, packing, quality_qda
+from . import line_rules, mixing, mpeg_ts, packing, quality_qda, toxicity_cnn
 from .common import table
 
 
@@ -26,12 +26,16 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op8_quality_qda, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op8_quality_qda, op9_toxicity_cnn, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
