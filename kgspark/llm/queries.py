@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, mpeg_ts, packing, quality_qda, toxicity_cnn
+from . import html_blocks, line_rules, mixing, mpeg_ts, packing, quality_qda, toxicity_cnn
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op8_quality_qda, op9_toxicity_cnn, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op6_html_blocks, op8_quality_qda, op9_toxicity_cnn, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
