@@ -44,7 +44,7 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in a window of three words that the array holds twice or more."""
 
     def covered(keys: Column) -> Column:
-        pairs = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
 
         def places(p: Column) -> Column:
             twice = F.filter(F.transform(p, lambda x, j: F.when((x["k"] == F.get(p, j - 1)["k"]) | (x["k"] == F.get(p, j + 1)["k"]), x["i"])), lambda i: i.isNotNull())

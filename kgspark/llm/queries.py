@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_blocks, line_rules, mixing, mpeg_ts, ngram_join, packing, quality_qda, toxicity_cnn
+from . import html_blocks, line_rules, mixing, mpeg_ts, ngram_join, packing, pii, quality_qda, toxicity_cnn
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,8 +47,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op5_ngram_join, op6_html_blocks, op8_quality_qda, op9_toxicity_cnn, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op5_ngram_join, op6_html_blocks, op7_pii, op8_quality_qda, op9_toxicity_cnn, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_rules": line_rules.ORACLE}
+    return {"op3_line_rules": line_rules.ORACLE, "op7_pii": pii.oracle()}
