@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_blocks, line_rules, mixing, mpeg_ts, ngram_join, packing, pii, quality_qda, toxicity_cnn
+from . import html_blocks, line_rules, mixing, mpeg_ts, ngram_join, packing, piece_nbest, pii, quality_qda, toxicity_cnn
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_nbest.encoded(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op5_ngram_join, op6_html_blocks, op7_pii, op8_quality_qda, op9_toxicity_cnn, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_mpeg_ts, op3_line_rules, op4_piece_nbest, op5_ngram_join, op6_html_blocks, op7_pii, op8_quality_qda, op9_toxicity_cnn, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
