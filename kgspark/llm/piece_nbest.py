@@ -36,7 +36,7 @@ N_BEST = 4
 UNKNOWN_LOSS = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 SPACE_MARK = "▁"
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
-MEMO = 200_000
+MEMO = 300_000
 VECTOR_CHARS = 64
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
