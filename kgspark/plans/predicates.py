@@ -97,7 +97,7 @@ def sort_keys(df: DataFrame, field: str | None = None, descending: bool = False,
     text = F.when(number.isNull(), column.cast("string"))
     if not descending:
         return [column.isNull().asc(), number.asc_nulls_last(), text.asc(), F.col(tie).asc()]
-    return [column.isNull().asc(), number.desc_nulls_first(), text.desc(), F.when(column.isNull(), F.col(tie)).asc(), F.col(tie).desc()]
+    return [column.isNull().asc(), number.desc_nulls_last(), text.desc(), F.when(column.isNull(), F.col(tie)).asc(), F.col(tie).desc()]
 
 
 def ranked(df: DataFrame, keys: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
