@@ -1,0 +1,249 @@
+"""Markdown sections, technologies and references.
+
+A tokenizer (Arrow, one document at a time) gives block and inline tokens in
+document order; the hierarchy, first occurrences, snippets and links are windows
+and joins over tokens. The subset of CommonMark: ATX and setext headings,
+fenced code, code spans, inline, reference and automatic links, bare URLs;
+images are not links. Front matter is left out.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions.text import slug
+
+# Rule names and the schemes of external targets.
+RULES = {
+    "contains_section": "link.markdown.contains_section.v1",
+    "mentions_technology": "link.markdown.mentions_technology.v1",
+    "references": "link.markdown.references.v1",
+    "resolves_to_document": "link.markdown.resolves_to_document.v1",
+}
+EXTERNAL = ("http", "https", "ftp", "ftps", "mailto")
+TOKENS = "source_path string, source_hash string, position long, kind string, level int, text string, target string, line long"
+
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^\s`]*)")
+_ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
+_DEFINITION = re.compile(r"^ {0,3}\[([^\]]+)\]:\s*<?([^\s>]+)>?")
+_INLINE = re.compile(
+    r"(?P<ticks>`+)(?P<code>.+?)(?<!`)(?P=ticks)(?!`)"
+    r"|(?P<image>!)?\[(?P<label>[^\[\]]*)\](?:\(\s*<?(?P<href>[^\s)>]*)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)|\[(?P<ref>[^\]]*)\])?"
+    r"|<(?P<auto>[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>"
+    r"|(?P<bare>https?://[^\s<>\"')\]]+)",
+    re.S,
+)
+
+
+def tokenise(text: str) -> list[tuple[str, int, str, str, int]]:
+    """(kind, level, text, target, line) in document order; kinds heading, text, fence, code, link."""
+    lines = text.split("\n")
+    k = 0
+    if lines and lines[0].strip() == "---":
+        end = next((j for j in range(1, len(lines)) if lines[j].strip() == "---"), None)
+        k = end + 1 if end is not None else 0
+    targets = {m[1].strip().lower(): m[2] for m in map(_DEFINITION.match, lines) if m}
+    out: list[tuple[str, int, str, str, int]] = []
+    para: list[str] = []
+
+    def inline(part: str, line: int) -> str:
+        plain, at = [], 0
+        for m in _INLINE.finditer(part):
+            plain.append(part[at : m.start()])
+            at = m.end()
+            if m["code"] is not None:
+                code = m["code"].replace("\n", " ").strip()
+                out.append(("code", 0, code, "", line))
+                plain.append(code)
+            elif m["auto"] or m["bare"]:
+                url = m["auto"] or m["bare"].rstrip(".,;:!?")
+                out.append(("link", 0, url, url, line))
+                plain.append(url)
+            else:
+                href = m["href"]
+                if href is None:
+                    href = targets.get((m["ref"] or m["label"]).strip().lower())
+                if href is None:
+                    plain.append(m[0])
+                elif m["image"]:
+                    plain.append(m["label"])
+                else:
+                    out.append(("link", 0, m["label"], href, line))
+                    plain.append(m["label"])
+        return "".join([*plain, part[at:]])
+
+    def heading(level: int, raw: str, line: int) -> None:
+        spot = len(out)
+        out.append(("heading", level, "", "", line))
+        out[spot] = ("heading", level, inline(raw.strip(), line).strip(), "", line)
+
+    def flush(line: int) -> None:
+        if para:
+            spot = len(out)
+            out.append(("text", 0, "", "", line - len(para)))
+            out[spot] = ("text", 0, inline("\n".join(para), line - len(para)).strip(), "", line - len(para))
+            para.clear()
+
+    while k < len(lines):
+        line = lines[k]
+        fence = _FENCE.match(line)
+        if fence:
+            flush(k)
+            mark, begun = fence[1], k
+            k += 1
+            while k < len(lines) and not re.match(rf"^ {{0,3}}{re.escape(mark[0])}{{{len(mark)},}}\s*$", lines[k]):
+                k += 1
+            out.append(("fence", 0, "\n".join(lines[begun + 1 : k]), fence[2], begun))
+        elif (atx := _ATX.match(line)) is not None:
+            flush(k)
+            heading(len(atx[1]), atx[2] or "", k)
+        elif para and (under := _SETEXT.match(line)):
+            raw, begun = "\n".join(para), k - len(para)
+            para.clear()
+            heading(1 if under[1][0] == "=" else 2, raw, begun)
+        elif _DEFINITION.match(line) and not para:
+            pass
+        elif line.strip():
+            para.append(line)
+        else:
+            flush(k)
+        k += 1
+    flush(k)
+    return out
+
+
+def token_rows(docs: DataFrame) -> DataFrame:
+    """Token rows of documents with source_path, source_hash and text; null texts have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in TOKENS.split(", ")]
+        for frame in frames:
+            rows = [(path, digest, k, *token) for path, digest, text in frame.itertuples(index=False) for k, token in enumerate(tokenise(text or ""))]
+            yield pd.DataFrame([(p, h, k, kind, level, text, target, line) for p, h, k, kind, level, text, target, line in rows], columns=names)
+
+    return docs.select("source_path", "source_hash", "text").mapInPandas(run, TOKENS)
+
+
+def _document() -> Window:
+    return Window.partitionBy("source_path").orderBy("position")
+
+
+def with_parents(headings: DataFrame, document: str = "source_path", order: str = "position") -> DataFrame:
+    """Headings with ``parent``: the order of the nearest earlier heading of a smaller level, or null."""
+    before = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parent = F.lit(None).cast(headings.schema[order].dataType)
+    for level in range(6, 1, -1):
+        above = F.max(F.when(F.col("level") < level, F.col(order))).over(before)
+        parent = F.when(F.col("level") == level, above).otherwise(parent)
+    return headings.withColumn("parent", parent)
+
+
+def sections(tokens: DataFrame) -> DataFrame:
+    """id, name, level, order, slug_path, parent_section_id, body_snippet of every heading."""
+    heads = with_parents(tokens.where("kind = 'heading'")).withColumn("order", F.row_number().over(_document()).cast("long") - 1).withColumn("slug", slug(F.col("text")))
+    # The path is the chain of parents; six levels bound the joins.
+    path, at = heads.select("source_path", "position", "parent", "slug"), heads
+    at = at.withColumn("slug_path", F.col("slug")).withColumn("up", F.col("parent"))
+    for _ in range(5):
+        p = path.select(F.col("source_path").alias("sp"), F.col("position").alias("pos"), F.col("parent").alias("next_"), F.col("slug").alias("slug_"))
+        at = at.join(p, (F.col("source_path") == F.col("sp")) & (F.col("up") == F.col("pos")), "left")
+        at = at.withColumn("slug_path", F.when(F.col("slug_").isNotNull(), F.concat_ws("/", "slug_", "slug_path")).otherwise(F.col("slug_path"))).withColumn("up", F.col("next_")).drop("sp", "pos", "next_", "slug_")
+    at = at.withColumn("id", ids.entity_id(F.concat_ws("::", "source_hash", F.lit("section"), "slug_path", F.col("order").cast("string"))))
+    own = at.select(F.col("source_path").alias("sp"), F.col("position").alias("pos"), F.col("id").alias("parent_section_id"))
+    at = at.join(own, (F.col("source_path") == F.col("sp")) & (F.col("parent") == F.col("pos")), "left").drop("sp", "pos")
+    body = tokens.where("kind = 'text'").select(F.col("source_path").alias("sp"), F.col("position").alias("tp"), F.col("text").alias("body"))
+    ends = at
+    after = Window.partitionBy("source_path").orderBy("position").rowsBetween(1, Window.unboundedFollowing)
+    end = F.lit(None).cast("long")
+    for level in range(1, 7):
+        end = F.when(F.col("level") == level, F.min(F.when(F.col("level") <= level, F.col("position"))).over(after)).otherwise(end)
+    ends = ends.withColumn("end", end)
+    near = ends.join(body, (F.col("source_path") == F.col("sp")) & (F.col("tp") > F.col("position")) & (F.col("end").isNull() | (F.col("tp") < F.col("end"))), "left")
+    snippet = F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tp", "body"))), lambda s: s["body"]), " "), F.lit(500))
+    keys = ["source_path", "source_hash", "id", "text", "slug_path", "level", "order", "parent_section_id", "line"]
+    return near.groupBy(*keys).agg(snippet.alias("body_snippet")).withColumnRenamed("text", "name").withColumn("type", F.lit("ag:section"))
+
+
+def technologies(tokens: DataFrame) -> DataFrame:
+    """Code spans and fence languages, one for each document and lower-case token, in order of first sight."""
+    token = F.when(F.col("kind") == "fence", F.col("target")).otherwise(F.col("text"))
+    seen = tokens.where("kind in ('fence', 'code')").withColumn("name", token).withColumn("canonical_key", F.lower(F.trim("name"))).where("canonical_key <> ''")
+    first = seen.groupBy("source_path", "source_hash", "canonical_key").agg(F.min(F.struct("position", "name", "kind")).alias("f"))
+    order = Window.partitionBy("source_path").orderBy("f.position", "canonical_key")
+    return first.select(
+        "source_path",
+        "source_hash",
+        ids.entity_id(F.concat_ws("::", "source_hash", F.lit("technology"), "canonical_key")).alias("id"),
+        F.col("f.name").alias("name"),
+        "canonical_key",
+        F.when(F.col("f.kind") == "fence", F.lit("fence")).otherwise(F.lit("code_inline")).alias("origin"),
+        (F.row_number().over(order) - 1).cast("long").alias("first_seen_order"),
+        F.col("f.position").alias("position"),
+        F.lit("ag:technology").alias("type"),
+    )
+
+
+def collapsed_path(path: Column) -> Column:
+    """``.``, ``..`` and empty parts of a path resolved."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p != "..", F.concat(acc, F.array(p))).when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+    return F.array_join(folded, "/")
+
+
+def classified(refs: DataFrame, documents: DataFrame, target: str = "target") -> DataFrame:
+    """Adds ``resolution`` (internal, external, unresolved) and ``target_document_id``.
+
+    ``documents`` has source_path and document_id; the join is an equi join on the
+    normalised path, which the planner broadcasts when the table is small.
+    """
+    href = F.col(target)
+    scheme = F.lower(F.regexp_extract(href, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    path = F.regexp_replace(href, r"[?#].*$", "")
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    folder = F.regexp_extract("source_path", "^(.*)/[^/]*$", 1)
+    full = collapsed_path(F.concat_ws("/", folder, decoded))
+    local = (scheme == "") & (path != "") & ~path.startswith("//") & ~decoded.endswith("/") & F.contains(F.regexp_extract(full, "([^/]*)$", 1), F.lit("."))
+    rows = refs.withColumn("path_", F.when(local, full)).withColumn("external_", scheme.isin(*EXTERNAL))
+    found = rows.join(documents.select(F.col("source_path").alias("path_"), F.col("document_id").alias("target_document_id")), "path_", "left")
+    kind = F.when(F.col("external_"), F.lit("external")).when(F.col("target_document_id").isNotNull(), F.lit("internal")).otherwise(F.lit("unresolved"))
+    return found.withColumn("resolution", F.coalesce(kind, F.lit("unresolved"))).drop("path_", "external_")
+
+
+def references(tokens: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links of every document in order, classified."""
+    rows = tokens.where("kind = 'link'").withColumn("order", F.row_number().over(_document()).cast("long") - 1)
+    rows = rows.withColumn("id", ids.entity_id(F.concat_ws("::", "source_hash", F.lit("reference"), "target", F.col("order").cast("string"))))
+    rows = rows.withColumn("name", F.when(F.col("text") != "", F.col("text")).otherwise(F.col("target")))
+    return classified(rows, documents).select("source_path", "source_hash", "id", "name", "target", "resolution", "target_document_id", "order", "position", F.lit("ag:reference").alias("type"))
+
+
+def owners(tokens: DataFrame, section_rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """(source_path, position, owner_id): the section that each token stands in, or the document's note."""
+    heads = tokens.where("kind = 'heading'").select("source_path", "position", F.row_number().over(_document()).alias("o")).withColumn("order", F.col("o").cast("long") - 1)
+    named = heads.join(section_rows.select("source_path", "order", F.col("id").alias("section_id")), ["source_path", "order"]).select("source_path", "position", "section_id")
+    rows = tokens.join(named, ["source_path", "position"], "left").withColumn("current", F.last("section_id", True).over(_document()))
+    return rows.join(notes.select("source_path", F.col("id").alias("note_id")), "source_path", "left").select("source_path", "position", F.coalesce("current", "note_id").alias("owner_id"))
+
+
+def markdown_links(section_rows: DataFrame, technology_rows: DataFrame, reference_rows: DataFrame, owner_rows: DataFrame, notes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """contains_section, mentions_technology, references and resolves_to_document links, each id once."""
+    anchor = notes.select("source_path", F.col("id").alias("note_id"))
+    parts = [section_rows.join(anchor, "source_path", "left").select(F.coalesce("parent_section_id", "note_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains_section").alias("type"))]
+    token = F.lower(F.trim(F.when(F.col("kind") == "fence", F.col("target")).otherwise(F.col("text"))))
+    uses = tokens.where("kind in ('fence', 'code')").select("source_path", "position", token.alias("canonical_key")).join(technology_rows.select("source_path", "canonical_key", "id"), ["source_path", "canonical_key"])
+    parts.append(uses.join(owner_rows, ["source_path", "position"]).select(F.col("owner_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("mentions_technology").alias("type")))
+    parts.append(reference_rows.join(owner_rows, ["source_path", "position"]).select(F.col("owner_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("references").alias("type")))
+    parts.append(reference_rows.where("target_document_id is not null").select(F.col("id").alias("from_id"), F.col("target_document_id").alias("to_id"), F.lit("resolves_to_document").alias("type")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    rule = F.element_at(F.create_map(*(x for k, v in RULES.items() for x in (F.lit(k), F.lit(v)))), F.col("type"))
+    out = out.where("from_id is not null").withColumn("rule_id", rule)
+    return out.select(ids.link_id(F.col("rule_id"), F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id", "type", "rule_id").distinct()
