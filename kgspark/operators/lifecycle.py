@@ -47,7 +47,12 @@ def run_diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "so
 def normalised_legacy(records: DataFrame) -> DataFrame:
     """Old records of unchanged sources (skipped) become ok and cached."""
     old = (F.col("parse_status") == "skipped") & (F.col("skip_reason") == "unchanged_source")
-    return records.withColumn("source_origin", F.when(old, F.lit("cached")).otherwise(F.lit("fresh"))).withColumn("parse_status", F.when(old, F.lit("ok")).otherwise(F.col("parse_status"))).withColumn("skip_reason", F.when(~old, F.col("skip_reason")))
+    changed = {
+        "source_origin": F.when(old, F.lit("cached")).otherwise(F.lit("fresh")),
+        "parse_status": F.when(old, F.lit("ok")).otherwise(F.col("parse_status")),
+        "skip_reason": F.when(F.coalesce(~old, F.lit(True)), F.col("skip_reason")),
+    }
+    return records.withColumns(changed)
 
 
 def with_cache(records: DataFrame, previous: DataFrame) -> DataFrame:
