@@ -74,3 +74,13 @@ def record_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int
         step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def packed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` and extra columns, so that no column name can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *extra)
+
+
+def unpacked(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``packed`` rows again, some of them replaced."""
+    return rows.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))

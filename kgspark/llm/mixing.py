@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, text_or_empty, written
+from .common import WORD, packed, text_or_empty, unpacked, written
 
 BLOCK_WORDS = 32
 SHARD_WORDS = 32_768
@@ -176,7 +176,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in every column share their copies evenly, rounded.
     """
-    plan = mix(docs, **options).groupBy("t").agg(F.floor(F.avg("copies") + F.lit(0.5)).cast("int").alias("copies_")).where("copies_ > 0")
-    keyed = docs.withColumn("t_", row_key(docs))
-    joined = keyed.join(plan, keyed["t_"] == plan["t"]).withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies_")))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = mix(docs, **options).groupBy("t").agg(F.floor(F.avg("copies") + F.lit(0.5)).cast("int").alias("copies")).where("copies > 0")
+    rows = packed(docs, row_key(docs).alias("t")).join(plan, "t")
+    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs.columns)

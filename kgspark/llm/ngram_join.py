@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, record_batches, text_or_empty, written
+from .common import WORD, packed, record_batches, text_or_empty, unpacked, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -353,8 +353,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     found = written(classes(docs))
     one = found.groupBy("class_id").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "k1", "k2")).alias("w")).select("w.k1", "w.k2", "w.rep_id")
-    names = [f"`{c}`" for c in docs.columns]
-    keyed = docs.select("*", *(c.alias(f"{n}_") for c, n in zip(_keys(text_or_empty()), ("k1", "k2"), strict=True)))
-    wordless = keyed.where(~text_or_empty().rlike(WORD)).select(*names)
-    kept = keyed.join(one, (F.col("k1_") == F.col("k1")) & (F.col("k2_") == F.col("k2"))).where(F.col("`doc_id`").eqNullSafe(F.col("rep_id")))
-    return kept.dropDuplicates(["k1_", "k2_"]).select(*names).unionByName(wordless)
+    text = text_or_empty()
+    rows = packed(docs, *_keys(text), F.col("doc_id"), text.rlike(WORD).alias("some"))
+    kept = rows.where("some").join(one, ["k1", "k2"]).where("doc_id <=> rep_id").dropDuplicates(["k1", "k2"])
+    return unpacked(kept, docs.columns).unionByName(unpacked(rows.where("not some"), docs.columns))

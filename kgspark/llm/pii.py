@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty
+from .common import let, packed, text_or_empty, unpacked
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "secret")
@@ -318,8 +318,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where it exists, is the new length; a null text stays null.
     """
-    others = [c for c in docs.columns if c != "text"]
-    rows = with_spans(docs.select(*(F.col(f"`{c}`") for c in others), "text", F.col("text").isNull().alias("null_")), *(f"`{c}`" for c in others), "null_")
+    rows = with_spans(packed(docs, F.col("text")), "row")
     name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def rebuilt(spans: Column) -> Column:
@@ -331,11 +330,12 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col("text_"), acc["at"] + 1)))
 
     ordered = F.sort_array(F.transform("spans_", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
-    text = F.when(F.col("null_"), F.lit(None).cast("string")).when(F.size("spans_") == 0, F.col("text_")).otherwise(let(ordered, rebuilt))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in others:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.when(F.col("row.text").isNull(), F.lit(None).cast("string")).when(F.size("spans_") == 0, F.col("text_")).otherwise(let(ordered, rebuilt))
+    rows = rows.withColumn("new_", text)
+    changed = {"text": F.col("new_")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("new_").cast(docs.schema["n_chars"].dataType)
+    return unpacked(rows, docs.columns, **changed)
 
 
 # --------------------------------------------------------------------------- oracle
