@@ -133,16 +133,15 @@ def mix(docs: DataFrame, weights=cycled_weights, block_words: int = BLOCK_WORDS,
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     want = targets(sizes, weights(len(found)), epochs)
-    shards = max(1, -(-sum(sizes) // shard_words))
-    table = [(k, r["source"], s, t, round(t / block_words) if t < epochs * s else 1 << 60) for k, (r, s, t) in enumerate(zip(found, sizes, want, strict=True))]
-    sources = spark.createDataFrame(table, f"sx int, source {docs.schema['source'].dataType.simpleString()}, source_size long, target double, quota long")
+    table = [(k, r["source"], s, t, round(t / block_words) if t < epochs * s else 1 << 60, max(1, -(-s // shard_words))) for k, (r, s, t) in enumerate(zip(found, sizes, want, strict=True))]
+    sources = spark.createDataFrame(table, f"sx int, source {docs.schema['source'].dataType.simpleString()}, source_size long, target double, quota long, shards long")
     renamed = sources.withColumnRenamed("source", "source_")
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "t"), F.lit(shards)))
-    placed = placed.join(F.broadcast(renamed.drop("quota")), F.col("source").eqNullSafe(F.col("source_"))).drop("source", "source_")
+    placed = rows.join(F.broadcast(renamed.drop("quota")), F.col("source").eqNullSafe(F.col("source_")))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "t"), F.col("shards"))).drop("source", "source_", "shards")
 
     cell_cap = F.ceil(F.col("size") * epochs / block_words).cast("long")
     levels = [written(placed.groupBy("sx", "shard").agg(F.sum("size").alias("size")).withColumn("cap", cell_cap))]
-    width = shards
+    width = max((row[-1] for row in table), default=1)
     while width > FAN:
         width = -(-width // FAN)
         levels.append(levels[-1].groupBy("sx", F.floor(F.col("shard") / FAN).alias("shard")).agg(F.sum("size").alias("size"), F.sum("cap").alias("cap")))

@@ -133,7 +133,7 @@ def candidate_features(kind: str, value: str, before: str, after: str) -> list[i
         sum("A" <= c <= "Z" for c in value),
         int(re.search(CUES, before[-CONTEXT:].lower()) is not None),
         int(re.search(ASSIGNED, before) is not None),
-        int(re.search(r"[A-Za-z0-9_@.%+/=-]$", before) is not None or re.match(r"[A-Za-z0-9_@%+/=-]|[.][A-Za-z0-9]", after) is not None),
+        int(re.search(r"[A-Za-z0-9_@.%+/-]$", before) is not None or re.match(r"[A-Za-z0-9_@%+/=-]|[.][A-Za-z0-9]", after) is not None),
         len(re.findall("[_/-]", value)),
     ]
 
@@ -264,7 +264,7 @@ def feature_columns(kind: str, x: Column) -> dict[str, Column]:
         "n_upper": count("[A-Z]"),
         "cued": flag(F.lower(before).rlike(CUES)),
         "assigned": flag(before.rlike(ASSIGNED)),
-        "glued": flag(before.rlike(r"[A-Za-z0-9_@.%+/=-]$") | after.rlike(r"^(?:[A-Za-z0-9_@%+/=-]|[.][A-Za-z0-9])")),
+        "glued": flag(before.rlike(r"[A-Za-z0-9_@.%+/-]$") | after.rlike(r"^(?:[A-Za-z0-9_@%+/=-]|[.][A-Za-z0-9])")),
         "n_dashes": count("[_/-]"),
     }
 
@@ -377,7 +377,7 @@ f as (
     length(regexp_replace(value, '[^A-Z]', '', 'g')) as n_upper,
     case when regexp_matches(lower(before), {quote(CUES)}) then 1 else 0 end as cued,
     case when regexp_matches(before, {quote(ASSIGNED)}) then 1 else 0 end as assigned,
-    case when regexp_matches(before, '[A-Za-z0-9_@.%+/=-]$') or regexp_matches(after, '^(?:[A-Za-z0-9_@%+/=-]|[.][A-Za-z0-9])') then 1 else 0 end as glued,
+    case when regexp_matches(before, '[A-Za-z0-9_@.%+/-]$') or regexp_matches(after, '^(?:[A-Za-z0-9_@%+/=-]|[.][A-Za-z0-9])') then 1 else 0 end as glued,
     length(regexp_replace(value, '[^_/-]', '', 'g')) as n_dashes
   from l
 ),

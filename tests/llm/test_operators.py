@@ -1,0 +1,471 @@
+"""Each operator against a brute-force version, a round trip or held-out accuracy, and on odd rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import heapq
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kgspark.llm import html_blocks, line_rules, mixing, mpeg_ts, ngram_join, packing, piece_nbest, pii, quality_qda, toxicity_cnn
+from kgspark.llm import queries as llm
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+# ------------------------------------------------------------------ 1
+
+
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=8), st.integers(0, 60), st.integers(0, 30))
+@settings(max_examples=200, deadline=None)
+def test_sainte_lague_is_highest_quotients(weights, seats, cap):
+    caps = [cap + k % 3 for k in range(len(weights))]
+    expected, heap = [0] * len(weights), [(-w, k) for k, w in enumerate(weights) if w > 0 and caps[k] > 0]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, k = heapq.heappop(heap)
+        expected[k] += 1
+        if expected[k] < caps[k]:
+            heapq.heappush(heap, (-weights[k] / (2 * expected[k] + 1), k))
+    assert mixing.sainte_lague(weights, seats, caps) == expected
+
+
+def test_targets_reshare_excess():
+    assert mixing.targets([100, 0, 1000], [1.0, 5.0, 1.0]) == [300.0, 0.0, 800.0]
+    assert sum(mixing.targets([10, 20, 30], [1.0, 2.0, 3.0])) == pytest.approx(60)
+
+
+def test_mix_meets_targets_and_repeats(spark, small):
+    found = rows(llm.op1_mixing(spark, small))
+    again = rows(llm.op1_mixing(spark, small))
+    key = lambda r: (r["doc_id"], r["taken"])
+    assert sorted(found, key=key) == sorted(again, key=key)
+    docs = {r["doc_id"]: r for r in rows(spark.read.parquet(f"{small}/documents.parquet"))}
+    total = collections.Counter()
+    for r in found:
+        assert r["size"] == len(WORD.findall(docs[r["doc_id"]]["text"])) and 0 <= r["taken"] <= 3 * r["size"]
+        total[docs[r["doc_id"]]["source"]] += r["taken"]
+    for r in found:
+        assert abs(total[docs[r["doc_id"]]["source"]] - r["target"]) <= mixing.BLOCK_WORDS
+
+
+def test_mix_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 4)
+    docs = spark.range(600).selectExpr("id as doc_id", "case when id % 3 > 0 then 'hot' else concat('s', id % 7) end as source", "repeat('w ', cast(5 + id % 11 as int)) as text")
+    found = rows(mixing.mix(docs, shard_words=300))
+    by = collections.defaultdict(lambda: [0, 0.0])
+    source = {r["doc_id"]: r["source"] for r in rows(docs)}
+    for r in found:
+        by[source[r["doc_id"]]][0] += r["taken"]
+        by[source[r["doc_id"]]][1] = r["target"]
+    for taken, target in by.values():
+        assert taken == pytest.approx(target, rel=0.02, abs=mixing.BLOCK_WORDS)
+
+
+def test_mix_odd_rows(spark, odd):
+    found = rows(mixing.mix(odd))
+    assert len(found) == odd.count()
+    assert all(r["taken"] == 0 for r in found if r["size"] == 0)
+    assert mixing.mixed(odd).columns == odd.columns
+    assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ 2
+
+
+@given(st.binary(max_size=2000), st.integers(50, 700))
+@settings(max_examples=100, deadline=None)
+def test_stream_round_trip(data, unit):
+    found = mpeg_ts.demux(mpeg_ts.mux(data, unit))
+    assert found.payload == data
+    assert found.continuity_errors == 0 and found.errors == ([] if data else ["empty"])
+    assert [u[0] for u in found.units] == [k * mpeg_ts.UNIT_TICKS for k in range(len(found.units))]
+
+
+def test_damaged_stream_is_reported():
+    media = bytearray(mpeg_ts.mux(bytes(range(256)) * 20))
+    lost = bytes(media[: 5 * 188] + media[6 * 188 :])
+    assert mpeg_ts.demux(lost).continuity_errors == 1 and "pes-short" in mpeg_ts.demux(lost).errors
+    media[188 + 12] ^= 1
+    assert "pmt-crc" in mpeg_ts.demux(bytes(media)).errors
+    assert mpeg_ts.demux(b"\x47junk").errors and mpeg_ts.demux(None).errors == ["empty"]
+
+
+def test_media_digest(spark, odd):
+    for r, doc in zip(sorted(rows(mpeg_ts.media_digest(odd)), key=str), sorted(rows(odd.select("doc_id", "text")), key=lambda d: str(d)), strict=True):
+        assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= max(64, r["n_bytes"])
+    texts = {hashlib.sha256(mpeg_ts.padded((d["text"] or "").encode())).hexdigest(): mpeg_ts.padded((d["text"] or "").encode()) for d in rows(odd.select("text"))}
+    for r in rows(mpeg_ts.media_digest(odd)):
+        assert r["tail_crc32"] == zlib.crc32(texts[r["payload_sha256"]][-64:])
+    media = mpeg_ts.encode_media(odd)
+    assert mpeg_ts.unit_index(media).count() >= media.count()
+
+
+# ------------------------------------------------------------------ 3
+
+
+def brute_line_rules(docs, min_docs, share, keep):
+    def norm(line):
+        return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip())
+
+    lines = lambda t: [x for x in t.split("\n") if WORD.search(x)]
+    hosts, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for d in docs:
+        text = d["text"] or ""
+        hosts[d["source"]].add(text)
+        for line in lines(text):
+            seen[d["source"], norm(line)].add(text)
+    out = []
+    for d in docs:
+        words, own = WORD.findall(d["text"] or ""), lines(d["text"] or "")
+        grams = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        covered = {j for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for j in (i, i + 1, i + 2)}
+        limit = max(min_docs, share * len(hosts[d["source"]]))
+        gone = sum(len(WORD.findall(x)) for x in own if len(seen[d["source"], norm(x)]) > limit)
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        out.append((d["doc_id"], len(words), len(covered), len(own) - len(set(own)), gone, failed, not failed and len(words) - gone >= keep * len(words)))
+    return sorted(out, key=str)
+
+
+def test_line_rules_match_brute_force(spark, odd):
+    line = "this line is on very many pages of the host and has no number 7"
+    extra = [(100 + k, line.replace("7", str(k)) + "\n" + " ".join(f"u{k}_{j}" for j in range(60 if k % 2 else 8)), "en", "z") for k in range(20)]
+    docs = odd.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string"))
+    found = rows(line_rules.judge(docs))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["n_removed_words"], r["base_failed"], r["kept"]) for r in found), key=str)
+    assert got == brute_line_rules(rows(docs), line_rules.MIN_DOCS, line_rules.SHARE, line_rules.KEEP_SHARE)
+    assert any(g[4] for g in got)
+    assert line_rules.judge(odd.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ 4
+
+
+def all_paths(tool, chunk):
+    def walk(i):
+        if i == len(chunk):
+            yield 0.0, ()
+            return
+        for j in range(i + 1, min(len(chunk), i + tool.longest) + 1):
+            piece = chunk[i:j]
+            if piece in tool.ids:
+                score, own = tool.scores[piece], (tool.ids[piece],)
+            elif j == i + 1:
+                score, own = tool.unknown, tuple(tool.bytes[b] for b in piece.encode())
+            else:
+                continue
+            for s, rest in walk(j):
+                yield score + s, own + rest
+
+    return sorted(walk(0), key=lambda r: -r[0])
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return piece_nbest.vocabulary()
+
+
+@given(st.text(alphabet="theranig, .é▁日\n", min_size=1, max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_n_best_matches_all_paths(text):
+    tool = piece_nbest.vocabulary()
+    chunks = tool.chunks(text)
+    tool.learn([chunks])
+    ids, scores, changes = tool.encode(chunks, 4)
+    expected = all_paths(tool, " " + text)[:4]
+    assert np.allclose(scores, [e[0] for e in expected])
+    assert tool.decode(np.frombuffer(ids, np.int32).tolist()) == text
+    assert len(changes) == len(scores) - 1
+    for chunk in chunks:
+        best = tool.search(chunk, 3)
+        assert np.allclose([b[0] for b in best], [e[0] for e in all_paths(tool, chunk)[:3]])
+
+
+def test_encoding_round_trip(spark, odd):
+    found = piece_nbest.encoded(odd, keep=("doc_id", "text"))
+    back = piece_nbest.decoded(found.withColumnRenamed("text", "old"), keep=("doc_id", "old"))
+    assert all((r["old"] or "") == r["text"] for r in rows(back))
+    assert piece_nbest.encoded(odd.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ 5
+
+
+def brute_links(docs):
+    sets = []
+    for d in docs:
+        w = WORD.findall(d["text"] or "")
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links, parent = [0] * len(docs), list(range(len(docs)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                links[a] += 1
+                links[b] += 1
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    groups = collections.defaultdict(list)
+    for k in range(len(docs)):
+        groups[root(k)].append(docs[k]["doc_id"])
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in groups.items()}
+    return sorted(((d["doc_id"], least[root(k)], links[k]) for k, d in enumerate(docs)), key=str)
+
+
+def test_join_matches_brute_force(spark, monkeypatch, odd):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(400)}" for _ in range(80)]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    extra = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(extra)
+    found = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in rows(ngram_join.near_duplicates(docs))), key=str)
+    assert found == brute_links(rows(docs))
+    kept = rows(ngram_join.deduplicated(odd))
+    assert ngram_join.deduplicated(odd).columns == odd.columns
+    assert {r["doc_id"] for r in kept} == {1, 2, 3, 4, 8, 9, 10, 11, 12} and len(kept) == 9
+    assert ngram_join.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_join_on_documents(spark, small):
+    docs = rows(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    found = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in rows(llm.op5_ngram_join(spark, small))), key=str)
+    assert found == brute_links(docs)
+
+
+def test_posterior_threshold():
+    for n in (32, 160):
+        m = ngram_join.least_matches(n)
+        beta = np.random.default_rng(0).beta(m, n - m + 2, 200_000)
+        assert (beta >= 0.8).mean() < 1e-4 and m < 0.8 * n
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(63).selectExpr("id + 1 as u", "id as v").union(spark.createDataFrame([(100, 101), (101, 102)], "u long, v long"))
+    found = {r["node"]: r["root"] for r in rows(ngram_join.components(edges))}
+    assert all(found[k] == 0 for k in range(64)) and found[102] == found[101] == found[100] == 100
+
+
+# ------------------------------------------------------------------ 6
+
+
+def test_blocks_of_damaged_markup():
+    assert html_blocks.blocks(None) == [] and html_blocks.blocks("") == []
+    found = html_blocks.blocks("<p>a<b>b</b>&amp;c<br>d<p>e<script>x</script><style>p{}</style><!-- n --><ul><li>f<li>g</ul>tail &lt")
+    assert [b.text for b in found] == ["ab&c d", "e", "f", "g", "tail <"]
+    assert [b.text for b in html_blocks.blocks("<div title='a>b'>x</div><p unclosed")] == ["x"]
+
+
+def test_labeller_on_unseen_layouts():
+    model = html_blocks.trained()
+    rng = np.random.default_rng(12345)
+    made = [html_blocks.marked(html_blocks.training_page(rng)) for _ in range(100)]
+    labels = model.label([b for b, _ in made])
+    right = np.concatenate([a == (b > 0) for a, (_, b) in zip(labels, made, strict=True)])
+    assert right.mean() > 0.98
+    page = '<html><body><header><h2>Site</h2></header><nav><a href="/">Home</a></nav><div class="cookie-banner">We use cookies</div><article><h1>Title here</h1><p>First paragraph of text.</p><p>All rights reserved.</p></article><section id="comments"><p>Nice post</p></section><form><label>Search</label></form><footer>Imprint</footer></body></html>'
+    assert html_blocks.extract_texts(model, [page, None, ""]) == ["Title here First paragraph of text. All rights reserved.", "", ""]
+
+
+def test_pages(spark, small):
+    pages = {r["page_id"]: r["html"] for r in rows(spark.read.parquet(f"{small}/pages.parquet"))}
+    for r in rows(llm.op6_html_blocks(spark, small)):
+        main = re.sub(r"</?b>", "", pages[r["page_id"]].split("<article>")[1].split("</article>")[0])
+        import html
+
+        assert r["text"] == " ".join(html.unescape(re.sub("<[^>]*>", " ", main)).split())
+        assert r["n_chars"] == len(r["text"])
+    odd_pages = spark.createDataFrame([(1, None, None, 3), (None, "u", "", 4)], "page_id long, url string, html string, n_chars long")
+    assert {(r["text"], r["n_chars"]) for r in rows(html_blocks.main_texts(odd_pages))} == {("", 0)}
+
+
+# ------------------------------------------------------------------ 7
+
+
+def luhn(digits):
+    total = sum(int(c) if k % 2 == 0 else int(c) * 2 % 10 + int(c) // 5 for k, c in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def brute_base(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    )
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, good in kinds for m in re.finditer(p, text) if good(m[0])]
+
+
+TRICKY = [
+    "a@b.c@d.e a@b.c-x_y@z.w .@x.y %%@-.-. a@b a@b.",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 4.5.6.7 12.34.56.78.",
+    "4111-1111-1111-1111 4111 1111 1111 1112 5500000000000004- 12 34",
+    "+1 (017) 555-7713 +1+2+3 +4 () 5 +12345678901234567 +49.30.1234567",
+    "é日本 jo@ex.org ü +1 (826) 555-4081 190.137.223.204 𝒳 10.0.0.1",
+    "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" user123456789012345@mail.com 9807915762804490",
+    "9" * 5000 + " " + "a" * 5000 + "@ " + "1 " * 3000,
+    "",
+]
+
+
+def test_personal_data_matches_brute_force(spark, odd):
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(100 + k, t) for k, t in enumerate(TRICKY)], "doc_id long, text string"))
+    texts = collections.defaultdict(list)
+    for d in rows(docs):
+        texts[d["doc_id"]].append(d["text"] or "")
+    for r in rows(pii.personal_data(docs)):
+        base = brute_base(texts[r["doc_id"]][0])
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        own = [s for s in r["spans"].split(",") if s]
+        assert [s for s in own if s.split(":")[0] in pii.BASE] == base
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s.startswith(k + ":") for s in own) for k in pii.KINDS]
+    tricky = {r["doc_id"]: r for r in rows(pii.personal_data(docs))}
+    assert tricky[105]["n_secret"] == 1 and tricky[105]["n_account"] == 1
+
+
+def test_trees_agree_everywhere(spark):
+    trees, cut = pii.fitted()
+    x, y = pii.generated(np.random.default_rng(77), 600)
+    chosen = (pii.predict(trees, x) >= cut) & (x[:, pii.FEATURES.index("glued")] == 0)
+    assert (chosen == (y == 1)).mean() > 0.95
+
+
+def test_redaction(spark, odd):
+    found = pii.redacted(odd)
+    assert found.columns == odd.columns and found.count() == odd.count()
+    by = {r["doc_id"]: r for r in rows(found)}
+    assert by[10]["text"] == "mail me at [EMAIL] or [PHONE], card [CARD], host [IP]" and by[10]["n_chars"] == len(by[10]["text"])
+    assert by[1]["text"] is None and by[2]["text"] == ""
+    assert pii.redacted(odd.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ 8, 9
+
+
+def accuracy(spark, sf_dir, found, label):
+    truth = {r["doc_id"]: r[label] for r in rows(spark.read.parquet(f"{sf_dir}/labels.parquet"))}
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in found if r["held_out"] and r["doc_id"] in truth]
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % (3 if label == "quality" else 5) == (1 if label == "quality" else 0)) == r["held_out"] for r in found)
+    return sum(a == b for a, b in held) / len(held)
+
+
+def test_quality_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    found = rows(llm.op8_quality_qda(spark, sf_dir))
+    assert accuracy(spark, sf_dir, found, "quality") > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
+
+
+def test_toxicity_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    found = rows(llm.op9_toxicity_cnn(spark, sf_dir))
+    assert accuracy(spark, sf_dir, found, "toxic") > 0.85
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+@pytest.mark.parametrize("operator", [quality_qda.quality, toxicity_cnn.toxicity])
+def test_classifiers_on_odd_rows(odd, labels, operator):
+    found = rows(operator(odd, labels))
+    assert len(found) == odd.count() and all(0 <= r["score"] <= 1 for r in found)
+    neutral = rows(operator(odd, labels.limit(0)))
+    assert {r["score"] for r in neutral} == {0.5}
+    assert operator(odd.limit(0), labels).count() == 0
+    assert quality_qda.good_documents(odd, labels).columns == odd.columns
+
+
+def test_discriminant_matches_dense_formula():
+    rng = np.random.default_rng(4)
+    n = len(quality_qda.FEATURES)
+    x = np.concatenate([rng.normal(0, 1, (200, n)), rng.normal(1, 2, (200, n))])
+    x[:, 0] = 5
+    y = np.repeat([0, 1], 200)
+    model = quality_qda.fit(x, y)
+    z = (quality_qda.smoothed(x, model.usual) - model.centre) / model.scale
+    dense = []
+    for mean, inverse in zip(model.means, model.inverse_factors, strict=True):
+        cov = np.linalg.inv(inverse.T @ inverse)
+        d = z - mean
+        dense.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * math.log(np.linalg.det(cov)))
+    assert np.allclose(model.margins(x), dense[1] - dense[0])
+
+
+def test_pooling_matches_plain_loops():
+    texts = ["a b c", "", "d", "the quick brown fox idiot here", None, "e f"]
+    model = toxicity_cnn.train(["nice words here", "bad idiot words"] * 8, np.array([0, 1] * 8), epochs=2)
+    ids, every, starts = toxicity_cnn.indexed(texts)
+    vectors, pooled = model.vectors(ids), model.pooled(ids, every, starts)
+    for k in range(len(texts)):
+        own = vectors[every[starts[k] : starts[k + 1]]]
+        for j, weights in enumerate(model.filters):
+            width = len(weights)
+            outs = [sum(own[at + i] @ weights[i] for i in range(width)) for at in range(len(own) - width + 1)]
+            columns = slice(j * toxicity_cnn.FILTERS, (j + 1) * toxicity_cnn.FILTERS)
+            plain = np.maximum(0, np.max(outs, axis=0) + model.bias[columns]) if outs else np.zeros(toxicity_cnn.FILTERS)
+            assert np.allclose(pooled[k, columns], plain, atol=1e-4)
+
+
+# ------------------------------------------------------------------ 10
+
+
+@given(st.lists(st.integers(1, 40), max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_best_fit_matches_linear_search(sizes):
+    found = packing.best_fit_decreasing(sizes, 40)
+    free = []
+    for size in sorted(sizes, reverse=True):
+        fit = [k for k in range(len(free)) if free[k] >= size]
+        if fit:
+            free[min(fit, key=lambda k: free[k])] -= size
+        else:
+            free.append(40 - size)
+    assert sorted(k for r in found for k in r) == list(range(len(sizes)))
+    assert sorted(40 - sum(sizes[k] for k in r) for r in found) == sorted(free)
+
+
+def test_packing_round_trip(spark, odd):
+    packed = packing.pack(odd, row=512, shard_bytes=200_000)
+    for r in rows(packed):
+        assert r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] <= 512
+        assert r["position_resets"] == r["cu_seqlens"][:-1] and len(r["ids"]) == 2 * r["n_tokens"]
+    parts = collections.defaultdict(dict)
+    for r in rows(packing.unpack(packed)):
+        parts[r["doc_id"]].setdefault(r["part"], []).append(r["piece"])
+    for d in rows(odd.where("text <> ''").select("doc_id", "text").distinct()):
+        copies = max(len(v) for v in parts[d["doc_id"]].values())
+        assert b"".join(parts[d["doc_id"]][k][0] for k in sorted(parts[d["doc_id"]])) == d["text"].encode()
+        assert copies == (2 if d["doc_id"] == 4 else 1)
+    assert packing.pack(odd.limit(0)).count() == 0
+    padded = packing.pack(odd.where("doc_id = 8"), row=16, pad_id=7).first()
+    assert len(padded["ids"]) == 32
+
+
+def test_chunked_encoding_equals_whole(odd):
+    tool = packing.encoder()
+    for text in ("a  b\n\nc d's 12  ", " \t x", "ünïcode  — test\r\n", *(r["text"] for r in rows(odd.where("doc_id in (4, 10, 12)").select("text")))):
+        assert tool.encode(text).tolist() == tool.base.encode_ordinary(text)
+        assert tool.decode(tool.encode(text)) == text
