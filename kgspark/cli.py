@@ -6,6 +6,7 @@ Exit codes: 1 general, 3 secrets left, 4 encryption required, 5 rule pack.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import sys
 from pathlib import Path
@@ -103,6 +104,30 @@ def git(store: Store, repo: str, conf: configuration.Config) -> dict:
     return {"commits": store.table("git_entities").count(), "links": store.table("git_links").count()}
 
 
+def record_run(store: Store, conf: configuration.Config, out: dict) -> str:
+    """Appends the run's stage rows to the table of runs, each stage's input being the one before; the run's id."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    inputs = lifecycle.inputs_hash(store.table("ingest_records")).first()[0]
+    config_hash = sha(conf.snapshot())
+    run_id, rows = "run_" + sha(inputs + config_hash), []
+    for stage in ("ingest", "extract", "link", "index"):
+        outputs = sha(lifecycle.canonical_json({"stage": stage, "inputs": inputs, "counts": out[stage]}))
+        rows.append((run_id, stage, inputs, config_hash, outputs, "ok", conf.snapshot()))
+        inputs = outputs
+    schema = "run_id string, stage string, inputs_hash string, config_hash string, outputs_hash string, status string, config string"
+    store.spark.createDataFrame(rows, schema).withColumn("started_at", F.current_timestamp()).write.mode("append").parquet(f"{store.root}/runs")
+    return run_id
+
+
+def rebuild(store: Store, source: str, conf: configuration.Config, key: bytes) -> dict:
+    """All stages, the audit, and a row for each stage."""
+    configuration.check_rule_packs(conf)
+    out = {"ingest": ingest(store, source, conf, key), "extract": extract(store), "link": link(store), "index": index(store)}
+    counts = {"documents": out["ingest"]["n_ok"], "entities": out["extract"]["entities"], "links": out["link"]["links"], "index_terms": out["index"]["terms"]}
+    out["warnings"] = lifecycle.throughput_warnings(counts)
+    return out | {"run_id": record_run(store, conf, out), "postcondition": validate(store, conf.section("redaction")["detectors"])}
+
+
 def list_entities(store: Store, a: argparse.Namespace) -> dict:
     rows = predicates.filtered(store.table("entities"), a.type or [], a.where or [])
     if a.group_by:
@@ -143,6 +168,9 @@ def parser() -> argparse.ArgumentParser:
         sub.add_parser(name)
     for name in ("ingest", "import", "rebuild", "git-provenance"):
         sub.add_parser(name).add_argument("source")
+    again = sub.add_parser("replay")
+    again.add_argument("run_id")
+    again.add_argument("source")
     for name in ("git-who", "git-log", "git-introduced", "git-history"):
         sub.add_parser(name).add_argument("path")
     q = sub.add_parser("query")
@@ -202,9 +230,13 @@ def run(a: argparse.Namespace) -> dict:
     if a.command in ("ingest", "import"):
         return ingest(store, a.source, conf, key)
     if a.command == "rebuild":
-        configuration.check_rule_packs(conf)
-        out = {"ingest": ingest(store, a.source, conf, key), "extract": extract(store), "link": link(store), "index": index(store)}
-        return out | {"postcondition": validate(store, conf.section("redaction")["detectors"])}
+        return rebuild(store, a.source, conf, key)
+    if a.command == "replay":
+        stored = store.table("runs").where(F.col("run_id") == a.run_id).orderBy(F.col("started_at").desc()).first()
+        if stored is None:
+            return {"status": "not_found", "run_id": a.run_id}
+        again = rebuild(store, a.source, configuration.Config(json.loads(stored["config"])), key)
+        return again | {"same_run": again["run_id"] == a.run_id}
     if a.command in ("extract", "link", "index"):
         return {"extract": extract, "link": link, "index": index}[a.command](store)
     if a.command == "validate-store":

@@ -145,3 +145,34 @@ def quality_gate(measured: float, target: float, allowance: float = 0.0) -> bool
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Determinism gate: equal multisets of rows."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def keyed_latest(records: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One record for each key: the last in the given order."""
+    row = F.max_by(F.struct(*records.columns), F.struct(*order)).alias("r")
+    return records.groupBy(F.col(key).alias("key_")).agg(row).select("r.*")
+
+
+def current_documents(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """Documents whose path and hash are among the run's readable records."""
+    good = records.where("parse_status = 'ok'").select(F.col("path").alias("source_path"), "source_hash").distinct()
+    return documents.join(good, ["source_path", "source_hash"], "left_semi")
+
+
+def provenance_rows(artifacts: DataFrame, rule: str, run: str) -> DataFrame:
+    """(artifact_id, source_path, source_hash, rule_id, input_hash, run_id); a run's rows replace its earlier ones."""
+    return artifacts.select(F.col("id").alias("artifact_id"), "source_path", "source_hash", F.lit(rule).alias("rule_id"), F.col("source_hash").alias("input_hash"), F.lit(run).alias("run_id"))
+
+
+def incomplete(records: DataFrame, required: tuple[str, ...] = ("id", "type", "name", "canonical_key")) -> DataFrame:
+    """(id, missing): records that lack required fields, and which."""
+    fields = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) if c in records.columns else F.lit(c) for c in required)))
+    return records.select("id", F.array_join(fields, ",").alias("missing")).where("missing <> ''")
+
+
+def with_rule_confidence(claims: DataFrame, rules: dict[str, float], default: float = 1.0) -> DataFrame:
+    """``confidence`` from the rule that made a claim."""
+    if not rules:
+        return claims.withColumn("confidence", F.lit(default))
+    table = F.create_map(*(x for k, v in sorted(rules.items()) for x in (F.lit(k), F.lit(float(v)))))
+    return claims.withColumn("confidence", F.coalesce(F.try_element_at(table, F.col("rule_id")), F.lit(default)))

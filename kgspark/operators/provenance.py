@@ -189,3 +189,16 @@ def git_history(commits: DataFrame, commit_files: DataFrame, tags: DataFrame, pa
 def reverse_index(links: DataFrame) -> DataFrame:
     """file id, commit ids: the commits of every file, sorted."""
     return links.where("type = 'modifies'").groupBy("to_id").agg(F.array_sort(F.collect_set("from_id")).alias("from_ids"))
+
+
+def lineage_of(links: DataFrame, path: str) -> DataFrame:
+    """The ``succeeded_from`` links that start at a path's file entity."""
+    return links.where("type = 'succeeded_from'").where(F.col("from_id") == ids.entity_id(F.concat(F.lit("file:"), F.lit(path))))
+
+
+def author_parts(raw) -> tuple:
+    """(name, email) columns of ``Name <email>``; without brackets all of it is the name."""
+    found = F.regexp_extract(raw, r"^\s*(.*?)\s*<([^<>]*)>\s*$", 1)
+    mail = F.regexp_extract(raw, r"^\s*(.*?)\s*<([^<>]*)>\s*$", 2)
+    bracketed = raw.rlike(r"^\s*.*?\s*<[^<>]*>\s*$")
+    return F.when(bracketed, found).otherwise(F.trim(raw)), F.when(bracketed, mail).otherwise(F.lit(""))

@@ -490,6 +490,51 @@ def user_sessions(spark, sf_dir):
     return incremental.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+@query("select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) where k = 1")
+def keyed_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return lifecycle.keyed_latest(rows, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(with_views("docs") + "\nselect document_id from docs where doc_id % 5 = 0 and doc_id % 7 <> 0")
+def current_documents(spark, sf_dir):
+    docs = views.documents(spark, sf_dir)
+    status = F.when(F.col("doc_id") % 5 == 0, F.lit("ok")).otherwise(F.lit("skipped"))
+    digest = F.when(F.col("doc_id") % 7 == 0, F.lit("other")).otherwise(F.col("source_hash"))
+    records = docs.select(F.col("source_path").alias("path"), digest.alias("source_hash"), status.alias("parse_status"))
+    return lifecycle.current_documents(docs, records).select("document_id")
+
+
+@query(with_views("docs") + "\nselect document_id as artifact_id, source_path, source_hash, 'rule.v1' as rule_id, source_hash as input_hash, 'run_1' as run_id from docs")
+def provenance_index(spark, sf_dir):
+    return lifecycle.provenance_rows(views.documents(spark, sf_dir).withColumnRenamed("document_id", "id"), "rule.v1", "run_1")
+
+
+@query(with_views("entities") + "\nselect id, 'source_path' || case when author_email is null then ',author_email' else '' end as missing from entities where source_path is null")
+def incomplete_records(spark, sf_dir):
+    return lifecycle.incomplete(views.entities(spark, sf_dir).where("source_path is null"), ("id", "source_path", "author_email"))
+
+
+@query(RENAMES + "\nselect old_path, new_path, commit_sha from best where k = 1 and new_path = (select min(new_path) from best where k = 1)")
+def file_lineage(spark, sf_dir):
+    renames = _renames(spark, sf_dir)
+    start = renames.agg(F.min("new_path")).first()[0]
+    return provenance.lineage_of(provenance.lineage_links(renames), start).select("old_path", "new_path", "commit_sha")
+
+
+@query("select c_custkey, c_name as name, lower(c_mktsegment) || '@x.org' as email from customer")
+def author_parsing(spark, sf_dir):
+    raw = F.concat(F.lit(" "), "c_name", F.lit("  <"), F.lower("c_mktsegment"), F.lit("@x.org> "))
+    name, email = provenance.author_parts(raw)
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), email.alias("email"))
+
+
+@query("select l_orderkey, l_linenumber::bigint as line, case l_returnflag when 'R' then 0.5 when 'A' then 0.9 else 1.0 end::double as confidence from lineitem")
+def rule_confidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.col("l_returnflag").alias("rule_id"))
+    return lifecycle.with_rule_confidence(rows, {"R": 0.5, "A": 0.9}).drop("rule_id")
+
+
 # ------------------------------------------------------------------ redaction
 
 

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark import cli, config, jobs, plugins
+from kgspark import cli, config, jobs, plugins, tools
 from kgspark.functions import ids, text
 from kgspark.operators import chunking, claims, exports, graph, indexes, lifecycle, markdown, ner, provenance, redaction
 from kgspark.sources import connection, files, history
@@ -362,6 +362,14 @@ def test_command_line(spark, tmp_path, capsys):
 
     code, out = call("rebuild", str(src))
     assert code == 0 and out["ingest"] == {"n_ok": 3, "n_skipped": 0, "n_failed": 0} and out["postcondition"]["status"] == "pass"
+    again = call("replay", out["run_id"], str(src))[1]
+    assert again["same_run"] and again["extract"] == out["extract"]
+    assert tools.call("list", {"type": ["ag:note"], "count_only": True}, store) == {"count": 3}
+    assert tools.call("list", {"limit": "x"}, store)["error"]["code"] == "invalid_input"
+    assert tools.call("node", {"id": "y" * 5000}, store)["error"]["code"] == "invalid_input"
+    assert tools.call("nothing", {}, store)["error"]["code"] == "not_found"
+    assert tools.call("jobs", {"verb": "run", "name": "n", "file": "/gone"}, store)["error"]["code"] == "internal"
+    assert len(tools.manifest()) >= 24
     code, out = call("list", "--type", "ag:note", "--sort", "name", "--limit", "2")
     assert [r["name"] for r in out["results"]] == ["a", "adr-1"] and out["total"] == 3 and out["truncated"]
     assert call("list", "--group-by", "type")[1]["groups"]["ag:technology"] == 1
