@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import chunking, claims, exports, graph, indexes, lifecycle, markdown, ner, provenance, redaction
+from ..sources import files
 from ..streaming import incremental
 from . import predicates, views
 from .views import REPO, table, with_views
@@ -535,6 +536,57 @@ def rule_confidence(spark, sf_dir):
     return lifecycle.with_rule_confidence(rows, {"R": 0.5, "A": 0.9}).drop("rule_id")
 
 
+# ------------------------------------------------------------------ sources
+
+EXT = "case p_size % 5 when 0 then '.md' when 1 then '.doc' when 2 then '.py' when 3 then '.PDF' else '' end"
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    size = F.col("p_size") % 5
+    ext = F.when(size == 0, F.lit(".md")).when(size == 1, F.lit(".doc")).when(size == 2, F.lit(".py")).when(size == 3, F.lit(".PDF")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("notes/b"), F.col("p_size").cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"), ext).alias("source_path"))
+
+
+@query(f"select p_partkey, case lower({EXT}) when '.doc' then 'failed' when '.md' then 'ok' when '.pdf' then 'ok' else 'skipped' end as parse_status, case when {EXT} = '.doc' then 'unsupported_doc_format' end as status_reason from part")
+def extension_split(spark, sf_dir):
+    return files.with_parse_status(_paths(spark, sf_dir)).select("p_partkey", "parse_status", "status_reason")
+
+
+@query(f"with p as (select p_partkey, 'notes/b' || p_size || '/p' || p_partkey || {EXT} as path from part) select p_partkey, path as source_path from p where not (path like '%.py' or path like 'notes/b1_/%')")
+def exclude_globs(spark, sf_dir):
+    return _paths(spark, sf_dir).where(~text.matches_any(F.col("source_path"), ["*.py", "notes/b1?/*"]))
+
+
+@query("select o_orderkey, '\"order ' || o_orderkey || '\"' as title, o_orderpriority || ', x' as tags, o_orderstatus as status from orders where o_orderkey % 3 <> 0 union all select o_orderkey, null, null, null from orders where o_orderkey % 3 = 0")
+def frontmatter_fields(spark, sf_dir):
+    body = F.concat(F.lit('---\ntitle: "order '), F.col("o_orderkey").cast("string"), F.lit('"\nTags: '), "o_orderpriority", F.lit(", x\nauthor: y\nstatus:"), "o_orderstatus", F.lit("\n---\n# body\ntitle: not this"))
+    own = F.when(F.col("o_orderkey") % 3 != 0, body).otherwise(F.concat(F.lit("x\n"), body))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", claims.frontmatter(own).alias("f"))
+    return rows.select("o_orderkey", *(F.try_element_at("f", F.lit(k)).alias(k) for k in ("title", "tags", "status")))
+
+
+@query("select p_partkey, 'ag:' || p_brand as kind from part where p_partkey % 2 = 0 union all select p_partkey, 'x:' || p_brand from part where p_partkey % 2 = 1")
+def namespaces(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("x:"), "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.namespaced(kind).alias("kind"))
+
+
+@query(with_views("entities") + "\nselect id, 3 + (author_email is not null)::int + (source_path is not null)::int as n_properties from entities")
+def property_maps(spark, sf_dir):
+    rows = views.entities(spark, sf_dir)
+    return rows.select("id", F.size(exports.properties(["name", "type", "canonical_key", "author_email", "source_path"])).alias("n_properties"))
+
+
+@query("select 'CREATE CONSTRAINT kg' || lower(n) || '_id_unique IF NOT EXISTS FOR (n:Kg' || n || ') REQUIRE n.id IS UNIQUE;' as line from (values ('Commit'), ('File'), ('AuthorIdentity')) v(n)")
+def cypher_constraints(spark, sf_dir):
+    return exports.constraint_lines(_nodes(spark, sf_dir))
+
+
+@query(with_views("commits", "commit_files", "tags", "branches") + SELECT.replace("select head_sha from branches)", "select head_sha from branches union select sha from commit_files where path like 'parts/p11%')").replace("k <= 500", "k <= 50"))
+def commit_select_hot_paths(spark, sf_dir):
+    return provenance.select_commits(*_history(spark, sf_dir), budget=50, hot_paths=["parts/p11*"])
+
+
 # ------------------------------------------------------------------ redaction
 
 
