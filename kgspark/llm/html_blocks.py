@@ -16,6 +16,7 @@ ignored. Pages are read whole.
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -246,9 +247,10 @@ class Model:
         two = {k: np.zeros_like(v) for k, v in self.p.items()}
         count = 0
         for _ in range(epochs):
-            order = rng.permutation(len(pages))
-            for low in range(0, len(order), BATCH):
-                group = sorted(order[low : low + BATCH], key=lambda k: len(marks[k]))
+            # Pages of about one length share a batch, so little of it is padding.
+            order = np.argsort([len(m) + 4 * rng.random() for m in marks])
+            for low in BATCH * rng.permutation(-(-len(order) // BATCH)):
+                group = order[low : low + BATCH]
                 own = [pages[k] for k in group]
                 x, mask, sizes, _ = self._padded(own)
                 drop = (rng.random((1, x.shape[1], PATH_SIZE)) > 0.1).astype(np.float32)
@@ -313,11 +315,11 @@ def training_page(rng: np.random.Generator) -> str:
     """One generated page; text of main blocks begins with U+E000, all other with U+E001."""
     syllables = "an er in on th re st en or ti ion ca lo mu pe ri sa to ver um qua de le ß é ö ñ ing au ch".split()
 
-    def pick(x):
-        return x[int(rng.integers(len(x)))]
+    draw = random.Random(int(rng.integers(1 << 62)))
+    pick = draw.choice
 
     def word() -> str:
-        return "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
+        return "".join(draw.choices(syllables, k=draw.randrange(1, 4)))
 
     def prose(low: int, high: int) -> str:
         out = [word() for _ in range(rng.integers(low, high + 1))]
