@@ -14,11 +14,11 @@ NO_COOCCURRENCE = ("ag:section", "ag:technology", "ag:reference")
 
 
 def _durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a checkpoint in the shared folder, or nothing where none is set."""
+    """A hop computed once: a table in the shared folder, or kept by Spark with its lineage where none is set."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
+        return df.persist()
     path = f"{folder.rstrip('/')}/hop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
