@@ -194,10 +194,9 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in surviving(lanes, left, right, band[left]):
                 found.setdefault(int(left[k]), []).append(int(rid[right[k]]))
                 found.setdefault(int(right[k]), [])
-        rows = sorted(found)
-        taken = [table.column(k).take(pa.array(rows, pa.int64())).combine_chunks() for k in (0, 1, 2, 5)]
-        taken = [c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], pa.int64()) for c in taken]
-        yield pa.RecordBatch.from_arrays([*taken, pa.array([found[r] for r in rows], pa.list_(pa.int64()))], names=[*CELL, "rid", "partners"])
+        rows = np.array(sorted(found), np.int64)
+        taken = [pa.array(table.column(k).to_numpy()[rows], pa.int64()) for k in (0, 1, 2, 5)]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array([found[int(r)] for r in rows], pa.list_(pa.int64()))], names=[*CELL, "rid", "partners"])
 
 
 def similarities(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:

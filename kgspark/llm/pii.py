@@ -16,6 +16,7 @@ long run costs linear time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -119,8 +120,6 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate:
 
 def candidate_features(kind: str, value: str, before: str, after: str) -> list[int]:
     """The features of one candidate, in the order of ``FEATURES``."""
-    import re
-
     letters = sum(c.isascii() and c.isalpha() for c in value)
     return [
         int(kind == "secret"),
