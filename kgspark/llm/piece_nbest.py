@@ -36,7 +36,7 @@ N_BEST = 4
 UNKNOWN_LOSS = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 SPACE_MARK = "▁"
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
-MEMO = 300_000
+MEMO = 150_000
 VECTOR_CHARS = 64
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,7 +144,7 @@ class Pieces:
             for start, score, number in self.edges(chunk, place):
                 count += 1
                 heapq.heappush(queue, (-(behind + score + ahead[start]), count, start, behind + score, ((start, place, number), path)))
-        if len(self.searched) >= MEMO // 4:
+        if len(self.searched) >= MEMO // 8:
             self.searched.clear()
         if len(chunk) <= VECTOR_CHARS:
             self.searched[chunk, n] = out
