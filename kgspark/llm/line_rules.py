@@ -87,12 +87,12 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
     """(host_, frequent): for each host with any, the hashes of its boilerplate lines."""
     text = text_or_empty()
     lines = F.array_distinct(F.transform(lines_with_words(text), lambda line: F.xxhash64(normalised(line))))
-    picked = docs.select(F.col(host).alias("host_"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), lines.alias("lines"))
-    # One row for each line, and the marker null for the document itself.
-    rows = picked.select("host_", "a", "b", F.explode(F.concat(F.array(F.lit(None).cast("long")), "lines")).alias("line")).distinct()
-    counts = rows.groupBy("host_", "line").agg(F.count(F.lit(1)).alias("n"))
-    hosts = counts.where("line is null").select("host_", F.greatest(F.lit(float(min_docs)), F.col("n") * share).alias("limit_"))
-    over = counts.where(F.col("line").isNotNull() & (F.col("n") > min_docs)).alias("c").join(hosts.alias("h"), F.expr("c.host_ <=> h.host_ and c.n > h.limit_"))
+    picked = docs.select(F.col(host).alias("host_"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), lines.alias("lines"))
+    # The number of documents needs no lines, so it is counted on its own: that scan only hashes texts.
+    hosts = picked.select("host_", "a", "b").distinct().groupBy("host_").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * share).alias("limit_"))
+    rows = picked.select("host_", "a", "b", F.explode("lines").alias("line")).distinct()
+    counts = rows.groupBy("host_", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
+    over = counts.alias("c").join(hosts.alias("h"), F.expr("c.host_ <=> h.host_ and c.n > h.limit_"))
     return over.groupBy("c.host_").agg(F.sort_array(F.collect_list("c.line")).alias("frequent"))
 
 
