@@ -153,7 +153,7 @@ def _path_slots(path: tuple[str, ...]) -> np.ndarray:
 
 def _inputs(page: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     paths = [_path_slots(b.path) for b in page]
-    words = [np.array([zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in WORDS.findall(b.text[:400])] or [0], np.int64) for b in page]
+    words = [np.array([zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in WORDS.findall(b.text)] or [0], np.int64) for b in page]
     n = len(page)
     figures = np.array([[np.log1p(len(b.text)) / 6, b.linked / max(1, len(b.text)), np.log1p(b.text.count(" ")) / 5, sum(map(b.text.count, ".,;!?")) / max(1, len(b.text)) * 10, k / max(1, n - 1), b.depth / 10, 1.0] for k, b in enumerate(page)], np.float32)
     return paths, words, figures

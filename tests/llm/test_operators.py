@@ -290,6 +290,16 @@ def test_labeller_on_unseen_layouts():
     assert html_blocks.extract_texts(model, [page, None, ""]) == ["Title here First paragraph of text. All rights reserved.", "", ""]
 
 
+def test_words_of_the_whole_block_are_read():
+    begin = "neutral words " * 40  # 560 characters
+    one, two = (html_blocks.blocks(f"<p>{begin}{tail}</p>") for tail in ("plain prose", "accept all cookies"))
+    slots = [html_blocks._inputs(b)[1][0] for b in (one, two)]
+    assert [len(s) for s in slots] == [82, 83]
+    a, b = (html_blocks.trained().embedded(html_blocks._inputs(x)) for x in (one, two))
+    words = slice(html_blocks.PATH_SIZE, html_blocks.PATH_SIZE + html_blocks.WORD_SIZE)
+    assert not np.allclose(a[:, words], b[:, words])
+
+
 def test_pages(spark, small):
     pages = {r["page_id"]: r["html"] for r in rows(spark.read.parquet(f"{small}/pages.parquet"))}
     for r in rows(llm.op6_html_blocks(spark, small)):
