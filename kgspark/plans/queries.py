@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
@@ -630,11 +630,21 @@ def section_parents(spark, sf_dir):
 
 
 def _as_markdown(spark, sf_dir) -> DataFrame:
-    """Documents as markdown: their lines as headings, code and links in turn."""
+    """Documents as markdown: all their lines, whole, as headings, code and beside links in turn."""
     docs = views.documents(spark, sf_dir)
+
+    def code(x: Column) -> Column:
+        # More ticks than the line has, so that its own ticks do not end the span.
+        ticks = F.repeat(F.lit("`"), F.regexp_count(x, F.lit("`")) + 1)
+        inside = F.when(F.contains(x, F.lit("`")), F.concat(F.lit(" "), x, F.lit(" "))).otherwise(x)
+        return F.when(F.trim(x) == "", x).otherwise(F.concat(F.lit("Uses "), ticks, inside, ticks, F.lit(" here.")))
+
+    def link(x: Column, i: Column) -> Column:
+        return F.concat(F.lit("See [x](d"), (F.col("doc_id") + i).cast("string"), F.lit(".txt) and <https://example.com/>. "), x)
+
     lines = F.transform(
-        F.slice(F.split("text", "\n"), 1, 40),
-        lambda x, i: F.when(i % 4 == 0, F.concat(F.repeat(F.lit("#"), (i % 12 / 4 + 1).cast("int")), F.lit(" "), F.left(x, F.lit(40)))).when(i % 4 == 1, F.concat(F.lit("Uses `"), F.left(x, F.lit(6)), F.lit("` here."))).when(i % 4 == 2, F.concat(F.lit("See [x](d"), (F.col("doc_id") + i).cast("string"), F.lit(".txt) and <https://example.com/>."))).otherwise(x),
+        F.split("text", "\n"),
+        lambda x, i: F.when(i % 4 == 0, F.concat(F.repeat(F.lit("#"), (i % 12 / 4 + 1).cast("int")), F.lit(" "), x)).when(i % 4 == 1, code(x)).when(i % 4 == 2, link(x, i)).otherwise(x),
     )
     return docs.withColumn("text", F.array_join(lines, "\n\n"))
 
