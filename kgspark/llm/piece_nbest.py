@@ -50,7 +50,8 @@ class Pieces:
         tool = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [tool.id_to_piece(k).replace(SPACE_MARK, " ") for k in range(tool.get_piece_size())]
         self.bytes = {int(self.pieces[k][3:5], 16): k for k in range(len(self.pieces)) if tool.is_byte(k)}
-        self.byte_of = {v: k for k, v in self.bytes.items()}
+        byte_of = {v: k for k, v in self.bytes.items()}
+        self.raw = [bytes([byte_of[k]]) if k in byte_of else p.encode("utf-8", "surrogatepass") for k, p in enumerate(self.pieces)]
         usual = [k for k in range(len(self.pieces)) if not (tool.is_byte(k) or tool.is_control(k) or tool.is_unknown(k) or tool.is_unused(k))]
         if any(re.search(r"[^ ] |\n", self.pieces[k]) for k in usual):
             raise ValueError("a piece reaches across a chunk's end")
@@ -278,8 +279,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids."""
-        raw = b"".join(bytes([self.byte_of[k]]) if k in self.byte_of else self.pieces[k].encode("utf-8", "surrogatepass") for k in ids)
-        return raw.decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -290,8 +290,11 @@ def vocabulary(path: str = MODEL) -> Pieces:
 ENCODED = "ids array<int>, n_pieces int, scores array<double>, changes array<string>"
 
 
-def encoded(docs: DataFrame, n: int = N_BEST, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the N best segmentations of every whole text."""
+def encoded(docs: DataFrame, n: int = N_BEST, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """``keep`` columns and the N best segmentations of every whole text.
+
+    With ``check`` the ids are decoded again, and ``lossless`` says whether that gives the text back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = vocabulary(path)
@@ -304,10 +307,11 @@ def encoded(docs: DataFrame, n: int = N_BEST, path: str = MODEL, keep: tuple[str
             ends = np.cumsum([0, *map(len, whole)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole)))
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(np.diff(ends)), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=[*keep, "ids", "n_pieces", "scores", "changes"])
+            back = [pa.array([tool.decode(w.tolist()) == t for w, t in zip(whole, texts, strict=True)], pa.bool_())] if check else []
+            yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(np.diff(ends)), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.string())), *back], names=[*keep, "ids", "n_pieces", "scores", "changes", *(["lossless"] if check else [])])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_or_empty().alias("text_")).mapInArrow(run, f"{schema}, {ENCODED}")
+    return docs.select(*keep, text_or_empty().alias("text_")).mapInArrow(run, f"{schema}, {ENCODED}{', lossless boolean' if check else ''}")
 
 
 def decoded(rows: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

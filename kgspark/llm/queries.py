@@ -23,7 +23,7 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_nbest.encoded(table(spark, sf_dir, "documents"))
+    return piece_nbest.encoded(table(spark, sf_dir, "documents"), check=True)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,13 @@ def test_encoding_round_trip(spark, odd):
     assert piece_nbest.encoded(odd.limit(0)).count() == 0
 
 
+def test_query_decodes_what_it_encodes(spark, small, odd):
+    found = rows(llm.op4_piece_nbest(spark, small))
+    assert len(found) == spark.read.parquet(f"{small}/documents.parquet").count() and all(r["lossless"] for r in found)
+    assert all(r["lossless"] for r in rows(piece_nbest.encoded(odd, check=True)))
+    assert "lossless" not in piece_nbest.encoded(odd).columns
+
+
 # ------------------------------------------------------------------ 5
 
 
