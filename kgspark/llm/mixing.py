@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Every source gets a target number of words from its weight. Targets are dealt
-out as blocks of equal size, by highest quotients w / (2k + 1): first from a
-source to groups of shards, then down to shards, so that every (source, shard)
-cell has an integer quota and no apportionment has more than ``FAN`` parties.
+out as blocks of equal size, by highest quotients w / (2k + 1): first to the
+sources, then from a source to groups of shards and down to shards, so that every
+(source, shard) cell has an integer quota and no apportionment inside a source
+has more than ``FAN`` parties.
 Inside a cell the documents stand in a seeded order on a ring of words; the
 cell's quota is the run of blocks that starts at a seeded block, going round
 again where the mix repeats a source.
@@ -94,6 +95,19 @@ def targets(sizes: Sequence[int], weights: Sequence[float], epochs: int = MAX_EP
     return out
 
 
+def source_quotas(sizes: Sequence[int], want: Sequence[float], epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS) -> list[int]:
+    """Blocks of each source: those below their limit share the blocks of all their targets by highest quotients.
+
+    A source at its limit is taken whole, ``epochs`` times; its cells' caps bound it.
+    """
+    out = [1 << 60] * len(sizes)
+    below = [k for k, (s, t) in enumerate(zip(sizes, want, strict=True)) if t < epochs * s]
+    seats = round(sum(want[k] for k in below) / block_words)
+    for k, q in zip(below, sainte_lague([want[k] for k in below], seats, [-(-epochs * sizes[k] // block_words) for k in below]), strict=True):
+        out[k] = q
+    return out
+
+
 def cycled_weights(n: int) -> list[float]:
     """1, 2, 3, repeating."""
     return [float(1 + k % 3) for k in range(n)]
@@ -133,7 +147,8 @@ def mix(docs: DataFrame, weights=cycled_weights, block_words: int = BLOCK_WORDS,
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     want = targets(sizes, weights(len(found)), epochs)
-    table = [(k, r["source"], s, t, round(t / block_words) if t < epochs * s else 1 << 60, max(1, -(-s // shard_words))) for k, (r, s, t) in enumerate(zip(found, sizes, want, strict=True))]
+    quota = source_quotas(sizes, want, epochs, block_words)
+    table = [(k, r["source"], s, t, q, max(1, -(-s // shard_words))) for k, (r, s, t, q) in enumerate(zip(found, sizes, want, quota, strict=True))]
     sources = spark.createDataFrame(table, f"sx int, source {docs.schema['source'].dataType.simpleString()}, source_size long, target double, quota long, shards long")
     renamed = sources.withColumnRenamed("source", "source_")
     placed = rows.join(F.broadcast(renamed.drop("quota")), F.col("source").eqNullSafe(F.col("source_")))

@@ -76,6 +76,16 @@ def test_mix_in_levels(spark, monkeypatch):
         assert taken == pytest.approx(target, rel=0.02, abs=mixing.BLOCK_WORDS)
 
 
+def test_blocks_of_all_sources_are_apportioned(spark):
+    quotas = mixing.source_quotas([13] * 100 + [5], [13.0] * 100 + [15.0])
+    assert quotas[100] > 3 and sum(quotas[:100]) == round(1300 / 32) == 41
+    assert mixing.source_quotas([1000, 20, 20], [1000.0, 20.0, 20.0]) == mixing.sainte_lague([1000, 20, 20], round(1040 / 32), [94, 2, 2])
+    assert mixing.source_quotas([], []) == []
+    docs = spark.range(100).selectExpr("id as doc_id", "concat('s', id) as source", "repeat('w ', 13) as text")
+    found = rows(mixing.mix(docs, weights=lambda n: [1.0] * n))
+    assert abs(sum(r["taken"] for r in found) - 1300) <= mixing.BLOCK_WORDS / 2
+
+
 def test_mix_odd_rows(spark, odd):
     found = rows(mixing.mix(odd))
     assert len(found) == odd.count()
