@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import record_batches
 
 PATH_SLOTS, WORD_SLOTS, PATH_SIZE, WORD_SIZE, FIGURES, HIDDEN = 4096, 4096, 20, 6, 7, 20
+#: Blocks of a group of pages, padding counted, and steps whose gates are held at once: what bounds memory.
+CELLS, RUN = 16_384, 1024
 TRAIN_PAGES, EPOCHS, BATCH, RATE, SEED = 900, 8, 30, 0.01, 5
 
 # Fixed values of HTML: elements by how they cut and nest text.
@@ -40,21 +42,53 @@ RAW = frozenset("script style noscript template iframe svg object textarea math
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
+_COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+_PLAIN = r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)"
+MARK = re.compile(rf"""{_COMMENT}|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|{_PLAIN}""", re.S)
+#: The marks once a quote of a tag was never closed: from there on quotes mean nothing.
+LOOSE_MARK = re.compile(rf"{_COMMENT}|()()()(?!)|{_PLAIN}", re.S)
 NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACES = re.compile(r"\s+")
 WORDS = re.compile(r"\w+")
 
 
+@dataclass(eq=False, slots=True)
+class Place:
+    """An element of a path: what it adds to the path of its parent.
+
+    ``slots`` are the slots of its tag and names that no ancestor has, ``near``
+    those of the path's last two tags; a path is a chain of places, so blocks
+    share it and a page needs memory in proportion to its length.
+    """
+
+    parent: Place | None
+    slots: tuple[int, ...]
+    near: tuple[int, ...]
+    level: int
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Place
     text: str
     linked: int  # characters inside links
     depth: int
 
 
+ROOT = Place(None, (), (), 0)
+
+
+@lru_cache(maxsize=65536)
+def _slot(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % PATH_SLOTS
+
+
+@lru_cache(maxsize=65536)
+def _word_slot(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     found = []
     for value in NAMES.findall(attributes):
@@ -62,19 +96,68 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class _Stack:
+    """The open elements of a page; every step costs a constant time for each element opened."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.places: list[Place] = []
+        self.outer: list[int] = []  # indexes of the elements that are not inline
+        self.open: dict[str, list[int]] = {}
+        self.slots: set[int] = set()
+
+    def top(self) -> Place:
+        return self.places[-1] if self.places else ROOT
+
+    def last(self, *tags: str) -> int:
+        """The innermost open element with one of these tags, -1 without any."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def innermost(self) -> int:
+        """The innermost open element that is not inline, -1 without any."""
+        return self.outer[-1] if self.outer else -1
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        place = self.top()
+        if tag not in INLINE or names:
+            fresh = tuple(dict.fromkeys(x for x in map(_slot, ("<" + tag, *names)) if x not in self.slots))
+            self.slots.update(fresh)
+            place = Place(place, fresh, (*place.near[-1:], _slot("^<" + tag)), place.level + 1)
+        self.open.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.outer.append(len(self.tags))
+        self.tags.append(tag)
+        self.places.append(place)
+
+    def cut(self, size: int) -> None:
+        """Closes all but the ``size`` outermost elements."""
+        while len(self.tags) > size:
+            tag, place = self.tags.pop(), self.places.pop()
+            self.open[tag].pop()
+            if self.outer and self.outer[-1] == len(self.tags):
+                self.outer.pop()
+            if place is not self.top():
+                self.slots.difference_update(place.slots)
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in page order; raw and head elements have none."""
+    """The leaf blocks of a page in page order; raw and head elements have none.
+
+    A tag whose quotes never close ends at the next ``>``, and quotes mean
+    nothing after it. Time and memory are linear in the length of the page.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     pieces: list[str] = []
     state = {"linked": 0, "path": None}
+    endless: set[str] = set()  # raw elements that are not closed any more
 
     def flush() -> None:
         if pieces:
             text = SPACES.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                out.append(Block(state["path"] or (), text, state["linked"], len(stack)))
+                out.append(Block(state["path"] or ROOT, text, state["linked"], len(stack.tags)))
             pieces.clear()
         state["linked"], state["path"] = 0, None
 
@@ -82,24 +165,21 @@ def blocks(page: str | None) -> list[Block]:
         if not text:
             return
         if state["path"] is None and not text.isspace():
-            path: list[str] = []
-            for tag, names in stack:
-                if tag not in INLINE or names:
-                    path.append("<" + tag)
-                    path.extend(names)
-            state["path"] = tuple(path)
-        if any(tag == "a" for tag, _ in stack[-4:]):
+            state["path"] = stack.top()
+        if stack.open.get("a"):
             state["linked"] += len(text)
         pieces.append(text)
 
-    at, end = 0, len(page)
+    at, end, marks = 0, len(page), MARK
     while at < end:
-        mark = MARK.search(page, at)
+        mark = marks.search(page, at)
         if mark is None:
             add(page[at:])
             break
         add(page[at : mark.start()])
         at = mark.end()
+        if mark[5]:
+            marks = LOOSE_MARK
         tag = (mark[2] or mark[5] or "").lower()
         if not tag:
             continue
@@ -107,56 +187,76 @@ def blocks(page: str | None) -> list[Block]:
         if closing:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = stack.last(tag)
+            if k >= 0 and (tag not in INLINE or k > stack.innermost()):
+                stack.cut(k)
             continue
         if tag == "br":
             pieces.append(" ")
             continue
         if tag in RAW or tag == "title":
             if not attributes.endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                stop = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if stop is None:
+                    endless.add(tag)
                 at = stop.end() if stop else (end if tag in ("script", "style") else at)
             continue
         if tag not in INLINE:
             flush()
-        if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and 0 <= stack.last("p") == stack.innermost():
+            stack.cut(stack.last("p"))
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag or (tag in ("dt", "dd") and stack[k][0] in ("dt", "dd")) or (tag in ("td", "th") and stack[k][0] in ("td", "th")):
-                    del stack[k:]
-                    break
-                if stack[k][0] in SIBLINGS[tag]:
-                    break
+            k = stack.last(tag, *next((pair for pair in (("dt", "dd"), ("td", "th")) if tag in pair), ()))
+            if k > stack.last(*SIBLINGS[tag]):
+                stack.cut(k)
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, _names(attributes)))
+            stack.push(tag, _names(attributes))
     flush()
     return out
 
 
-@lru_cache(maxsize=65536)
-def _path_slots(path: tuple[str, ...]) -> np.ndarray:
-    """Slots of the path's tokens, of the innermost ones once more apart."""
-    near = ["^" + p for p in path if p[0] == "<"][-2:]
-    return np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % PATH_SLOTS for p in dict.fromkeys((*path, *near))], np.int64)
-
-
-def _inputs(page: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    paths = [_path_slots(b.path) for b in page]
-    words = [np.array([zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in WORDS.findall(b.text)] or [0], np.int64) for b in page]
-    n = len(page)
-    figures = np.array([[np.log1p(len(b.text)) / 6, b.linked / max(1, len(b.text)), np.log1p(b.text.count(" ")) / 5, sum(map(b.text.count, ".,;!?")) / max(1, len(b.text)) * 10, k / max(1, n - 1), b.depth / 10, 1.0] for k, b in enumerate(page)], np.float32)
-    return paths, words, figures
+class Inputs:
+    """What the model reads of some pages: their places, and words and figures of their blocks.
+
+    Places stand by level, so that a path's sum is its parent's and its own.
+    """
+
+    def __init__(self, pages: list[list[Block]]):
+        self.sizes = [len(p) for p in pages]
+        every = [b for p in pages for b in p]
+        found: dict[int, Place] = {}
+        for b in every:
+            place = b.path
+            while place is not None and id(place) not in found:
+                found[id(place)] = place
+                place = place.parent
+        places = sorted(found.values(), key=lambda x: x.level)
+        row = {id(x): k for k, x in enumerate(places)}
+        self.parent = np.array([row[id(x.parent)] if x.parent is not None else 0 for x in places], np.int64)
+        self.levels = np.searchsorted([x.level for x in places], np.arange(places[-1].level + 2)).tolist() if places else []
+        self.slots, self.slot_rows = self._flat([x.slots for x in places])
+        self.place = np.array([row[id(b.path)] for b in every], np.int64)
+        self.near, self.near_rows = self._flat([b.path.near for b in every])
+        spoken = [list(map(_word_slot, WORDS.findall(b.text.lower()))) or [0] for b in every]
+        self.counts = np.array([len(x) for x in spoken], np.int64)
+        self.words, _ = self._flat(spoken)
+        self.figures = np.array(
+            [
+                [np.log1p(len(b.text)) / 6, b.linked / max(1, len(b.text)), np.log1p(b.text.count(" ")) / 5, sum(map(b.text.count, ".,;!?")) / max(1, len(b.text)) * 10, k / max(1, len(p) - 1), min(b.depth, 50) / 10, 1.0]
+                for p in pages
+                for k, b in enumerate(p)
+            ],
+            np.float32,
+        ).reshape(-1, FIGURES)
+
+    @staticmethod
+    def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((x for own in lists for x in own), np.int64, int(sizes.sum())), np.repeat(np.arange(len(lists)), sizes)
+
+    def starts(self) -> np.ndarray:
+        """The first block of every page, and the number of all."""
+        return np.cumsum([0, *self.sizes])
 
 
 class Model:
@@ -173,21 +273,39 @@ class Model:
         self.p |= {"o": rng.normal(0, 0.2, 2 * HIDDEN), "s": rng.normal(0, 0.1, wide), "z": np.zeros(1)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def embedded(self, inputs) -> np.ndarray:
-        paths, words, figures = inputs
-        a = np.add.reduceat(self.p["path"][np.concatenate(paths)], np.cumsum([0, *(len(x) for x in paths[:-1])]), axis=0)
-        b = np.add.reduceat(self.p["word"][np.concatenate(words)], np.cumsum([0, *(len(x) for x in words[:-1])]), axis=0)
-        b /= np.array([len(x) for x in words], np.float32)[:, None]
-        return np.concatenate([a, b, figures], 1)
+    def embedded(self, inputs: Inputs) -> np.ndarray:
+        """The input vector of every block."""
+        sums = np.zeros((len(inputs.parent), PATH_SIZE), np.float32)
+        np.add.at(sums, inputs.slot_rows, self.p["path"][inputs.slots])
+        for low, high in zip(inputs.levels[1:], inputs.levels[2:], strict=False):
+            sums[low:high] += sums[inputs.parent[low:high]]
+        a = sums[inputs.place]
+        np.add.at(a, inputs.near_rows, self.p["path"][inputs.near])
+        b = np.add.reduceat(self.p["word"][inputs.words], np.cumsum(inputs.counts) - inputs.counts, axis=0) if len(inputs.words) else np.zeros((0, WORD_SIZE), np.float32)
+        return np.concatenate([a, b / inputs.counts[:, None].astype(np.float32), inputs.figures], 1)
+
+    def _spread(self, inputs: Inputs, dx: np.ndarray, grads: dict) -> None:
+        """Adds the gradients of the embeddings from those of the input vectors."""
+        np.add.at(grads["path"], inputs.near, dx[inputs.near_rows, :PATH_SIZE])
+        sums = np.zeros((len(inputs.parent), PATH_SIZE), np.float32)
+        np.add.at(sums, inputs.place, dx[:, :PATH_SIZE])
+        for low, high in reversed(list(zip(inputs.levels[1:], inputs.levels[2:], strict=False))):
+            np.add.at(sums, inputs.parent[low:high], sums[low:high])
+        np.add.at(grads["path"], inputs.slots, sums[inputs.slot_rows])
+        own = dx[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] / inputs.counts[:, None]
+        np.add.at(grads["word"], inputs.words, np.repeat(own, inputs.counts, axis=0))
 
     def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """Hidden states (T, B, HIDDEN); ``x`` is (T, B, wide), ``mask`` (T, B). Rows beyond a page's end hold state."""
         steps, width = x.shape[:2]
+        gates_x, low = None, 0
         h = c = np.zeros((width, HIDDEN), np.float32)
-        gates_x = x @ self.p["x" + side] + self.p["c" + side]
         out = np.zeros((steps, width, HIDDEN), np.float32)
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-            g = gates_x[t] + h @ self.p["h" + side]
+            if gates_x is None or not low <= t < low + RUN:
+                low = t // RUN * RUN
+                gates_x = x[low : low + RUN] @ self.p["x" + side] + self.p["c" + side]
+            g = gates_x[t - low] + h @ self.p["h" + side]
             gate = 1 / (1 + np.exp(-np.clip(g[:, : 3 * HIDDEN], -30, 30)))
             i, f, o = np.split(gate, 3, 1)
             new = np.tanh(g[:, 3 * HIDDEN :])
@@ -216,14 +334,14 @@ class Model:
             dc = dc2 * f + dc * (1 - m)
         return dx
 
-    def _padded(self, pages: list) -> tuple[np.ndarray, np.ndarray, list[int], list[np.ndarray]]:
-        sizes = [len(p[2]) for p in pages]
-        rows = [self.embedded(p) for p in pages]
-        x = np.zeros((max(sizes), len(pages), rows[0].shape[1]), np.float32)
+    def _padded(self, inputs: Inputs) -> tuple[np.ndarray, np.ndarray]:
+        """Input vectors (T, B, wide) and mask (T, B) of pages side by side."""
+        rows, starts = self.embedded(inputs), inputs.starts()
+        x = np.zeros((max(inputs.sizes), len(inputs.sizes), rows.shape[1]), np.float32)
         mask = np.zeros(x.shape[:2], np.float32)
-        for k, row in enumerate(rows):
-            x[: sizes[k], k], mask[: sizes[k], k] = row, 1
-        return x, mask, sizes, rows
+        for k, size in enumerate(inputs.sizes):
+            x[:size, k], mask[:size, k] = rows[starts[k] : starts[k + 1]], 1
+        return x, mask
 
     def _logits(self, x: np.ndarray, hf: np.ndarray, hb: np.ndarray) -> np.ndarray:
         return np.concatenate([hf, hb], 2) @ self.p["o"] + x @ self.p["s"] + self.p["z"][0]
@@ -231,15 +349,41 @@ class Model:
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, whether each of its blocks is main text."""
         out: list[np.ndarray] = [np.zeros(0, bool) for _ in pages]
-        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        for low in range(0, len(order), 64):
-            group = order[low : low + 64]
-            x, mask, sizes, _ = self._padded([_inputs(pages[k]) for k in group])
-            logits = self._logits(x, self._run(x, mask, "f"), self._run(x, mask, "b"))
-            for column, k in enumerate(group):
-                out[k] = logits[: sizes[column], column] > 0
+        group: list[int] = []
+        for k in sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k])):
+            if group and len(pages[k]) * (len(group) + 1) > CELLS:
+                self._label(pages, group, out)
+                group = []
+            group.append(k)
+        if group:
+            self._label(pages, group, out)
         return out
 
+    def _label(self, pages: list[list[Block]], group: list[int], out: list[np.ndarray]) -> None:
+        inputs = Inputs([pages[k] for k in group])
+        x, mask = self._padded(inputs)
+        logits = self._logits(x, self._run(x, mask, "f"), self._run(x, mask, "b"))
+        for column, k in enumerate(group):
+            out[k] = logits[: inputs.sizes[column], column] > 0
+
+    def gradients(self, inputs: Inputs, x: np.ndarray, mask: np.ndarray, y: np.ndarray, drop: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of all blocks; ``drop`` is what the paths were multiplied by."""
+        kept = {"f": [], "b": []}
+        hf, hb = (self._run(x, mask, s, kept[s]) for s in ("f", "b"))
+        logits = self._logits(x, hf, hb)
+        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - y) * mask / mask.sum()
+        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+        hidden = np.concatenate([hf, hb], 2)
+        grads["o"] = np.tensordot(error, hidden, ([0, 1], [0, 1]))
+        grads["s"] = np.tensordot(error, x, ([0, 1], [0, 1]))
+        grads["z"][0] = error.sum()
+        dh = error[:, :, None] * self.p["o"]
+        dx = error[:, :, None] * self.p["s"]
+        dx = dx + self._back(x, dh[:, :, :HIDDEN], "f", kept["f"], grads) + self._back(x, dh[:, :, HIDDEN:], "b", kept["b"], grads)
+        dx[:, :, :PATH_SIZE] *= drop
+        self._spread(inputs, np.concatenate([dx[:size, column] for column, size in enumerate(inputs.sizes)]), grads)
+        return grads
+
     def train(self, pages: list, marks: list[np.ndarray], epochs: int = EPOCHS, seed: int = SEED) -> None:
         """Adam on the mean cross entropy of all blocks of a batch of pages."""
         rng = np.random.default_rng(seed)
@@ -251,30 +395,14 @@ class Model:
             order = np.argsort([len(m) + 4 * rng.random() for m in marks])
             for low in BATCH * rng.permutation(-(-len(order) // BATCH)):
                 group = order[low : low + BATCH]
-                own = [pages[k] for k in group]
-                x, mask, sizes, _ = self._padded(own)
+                own = Inputs([pages[k] for k in group])
+                x, mask = self._padded(own)
                 drop = (rng.random((1, x.shape[1], PATH_SIZE)) > 0.1).astype(np.float32)
                 x[:, :, :PATH_SIZE] *= drop
                 y = np.zeros(x.shape[:2], np.float32)
                 for column, k in enumerate(group):
-                    y[: sizes[column], column] = marks[k]
-                kept = {"f": [], "b": []}
-                hf, hb = (self._run(x, mask, s, kept[s]) for s in ("f", "b"))
-                logits = self._logits(x, hf, hb)
-                error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - y) * mask / mask.sum()
-                grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-                hidden = np.concatenate([hf, hb], 2)
-                grads["o"] = np.tensordot(error, hidden, ([0, 1], [0, 1]))
-                grads["s"] = np.tensordot(error, x, ([0, 1], [0, 1]))
-                grads["z"][0] = error.sum()
-                dh = error[:, :, None] * self.p["o"]
-                dx = error[:, :, None] * self.p["s"]
-                dx = dx + self._back(x, dh[:, :, :HIDDEN], "f", kept["f"], grads) + self._back(x, dh[:, :, HIDDEN:], "b", kept["b"], grads)
-                dx[:, :, :PATH_SIZE] *= drop
-                for column, (paths, words, _) in enumerate(own):
-                    for t, (slots, heard) in enumerate(zip(paths, words, strict=True)):
-                        grads["path"][slots] += dx[t, column, :PATH_SIZE]
-                        np.add.at(grads["word"], heard, dx[t, column, PATH_SIZE : PATH_SIZE + WORD_SIZE] / len(heard))
+                    y[: len(marks[k]), column] = marks[k]
+                grads = self.gradients(own, x, mask, y, drop)
                 count += 1
                 for k, g in grads.items():
                     one[k] = 0.9 * one[k] + 0.1 * g
@@ -433,7 +561,7 @@ def trained(pages: int = TRAIN_PAGES, seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     made = [m for m in (marked(training_page(rng)) for _ in range(pages)) if len(m[0])]
     model = Model(seed)
-    model.train([_inputs(b) for b, _ in made], [m for _, m in made])
+    model.train([b for b, _ in made], [m for _, m in made])
     return model
 
 
