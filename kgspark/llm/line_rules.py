@@ -3,18 +3,20 @@
 A line is normalised (trimmed, lower case, white space runs to one space, digit
 runs to 0) and hashed. For each host the distinct documents that hold a line are
 counted; documents with the same text count once, so copies alone make no line
-frequent. A line is boilerplate above ``max(min_docs, share x documents of the
-host)``. Boilerplate lines are removed, and a document that keeps less than
-``keep_share`` of its words is rejected.
+frequent. A line is boilerplate in more than ``share`` of the host's documents,
+but never in ``min_docs`` or fewer and always in more than ``max_docs``, so the
+limit does not grow with a large host. Boilerplate lines are removed, and a
+document that keeps less than ``keep_share`` of its words is rejected.
 
-The number of boilerplate lines of a host is bounded: each is in at least
-``share`` of its documents, so there are at most (mean lines of a document) /
-``share`` of them. They are joined to the documents as one array for each host;
-a host's documents are never gathered.
+Texts are read once: figures and line hashes are written as a table, and counts
+and verdicts come from it. Lines meet their host's boilerplate in a shuffled join
+on (host, line). Lines that make up more than 1 / ``HEAVY`` of all lines, so at
+most ``HEAVY``, would be hot keys there; they are broadcast instead. Counts meet
+the host's limit with a salt, so a hot host is spread.
 
 Defined results: a null text has no words and fails the base rules; a null host
 is a host of its own; repeated rows each get a row and count once as documents;
-extra columns are ignored.
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, native_words, text_or_empty
+from .common import SPACE, let, native_words, text_or_empty, written
 
-MIN_DOCS = 5
+MIN_DOCS, MAX_DOCS = 5, 20
 SHARE = 0.05
+HEAVY, SALTS = 4096, 32
 KEEP_SHARE = 0.3
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -60,11 +63,13 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host_, the base figures, and arrays of line hashes and line sizes."""
+    """doc_id, host_, two hashes of the text, the base figures, and arrays of line hashes and line sizes."""
     picked = docs.select("doc_id", F.col(host).alias("host_"), text_or_empty().alias("text_"))
     counted = picked.select(
         "doc_id",
         "host_",
+        F.xxhash64("text_").alias("a"),
+        F.xxhash64(F.lit(1), "text_").alias("b"),
         let(
             native_words(F.col("text_")),
             lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")),
@@ -80,33 +85,43 @@ def base_features(docs: DataFrame, host: str = "source") -> DataFrame:
             ),
         ).alias("l"),
     )
-    return counted.select("doc_id", "host_", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.hashes", "l.sizes")
-
-
-def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host_, frequent): for each host with any, the hashes of its boilerplate lines."""
-    text = text_or_empty()
-    lines = F.array_distinct(F.transform(lines_with_words(text), lambda line: F.xxhash64(normalised(line))))
-    picked = docs.select(F.col(host).alias("host_"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), lines.alias("lines"))
-    # The number of documents needs no lines, so it is counted on its own: that scan only hashes texts.
-    hosts = picked.select("host_", "a", "b").distinct().groupBy("host_").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * share).alias("limit_"))
-    rows = picked.select("host_", "a", "b", F.explode("lines").alias("line")).distinct()
-    counts = rows.groupBy("host_", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    over = counts.alias("c").join(hosts.alias("h"), F.expr("c.host_ <=> h.host_ and c.n > h.limit_"))
-    return over.groupBy("c.host_").agg(F.sort_array(F.collect_list("c.line")).alias("frequent"))
-
-
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """The base figures, base_failed, the words in removed lines, and kept."""
-    rows = base_features(docs, host).alias("d")
-    frequent = frequent_lines(docs, host, min_docs, share).withColumnRenamed("host_", "host_f")
-    joined = rows.join(frequent, F.expr("host_ <=> host_f"), "left")
-    hit = F.zip_with("hashes", "sizes", lambda h, n: F.when(F.array_contains("frequent", h), n).otherwise(F.lit(0)))
-    removed = F.when(F.col("frequent").isNull(), F.lit(0)).otherwise(F.aggregate(hit, F.lit(0), lambda a, n: a + n)).cast("long")
+    return counted.select("doc_id", "host_", "a", "b", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.hashes", "l.sizes")
+
+
+def line_counts(stored: DataFrame, min_docs: int, max_docs: int, share: float) -> DataFrame:
+    """(host_, line, uses, frequent) of the lines that are boilerplate or heavy; ``uses`` counts all rows."""
+    total = stored.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    texts = stored.select("host_", "a", "b", F.explode("hashes").alias("line")).groupBy("host_", "line", "a", "b").agg(F.count(F.lit(1)).alias("uses"))
+    counts = texts.groupBy("host_", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("uses").alias("uses"))
+    heavy = F.col("uses") * HEAVY > total
+    counts = counts.where((F.col("n") > min_docs) | heavy).withColumn("salt", F.pmod("line", F.lit(SALTS)))
+    hosts = stored.select("host_", "a", "b").distinct().groupBy("host_").agg(F.count(F.lit(1)).alias("docs"))
+    limits = hosts.select("host_", F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), F.col("docs") * share)).alias("limit_"))
+    limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = counts.alias("c").join(limits.alias("h"), F.expr("c.host_ <=> h.host_ and c.salt = h.salt"))
+    marked = joined.select("c.host_", "line", heavy.alias("heavy"), ((F.col("n") > min_docs) & (F.col("n") > F.col("limit_"))).alias("frequent"))
+    return written(marked.where("heavy or frequent"))
+
+
+def removed_words(stored: DataFrame, counts: DataFrame) -> DataFrame:
+    """(rid, n_removed_words) of the documents with boilerplate lines."""
+    lines = stored.select("rid", "host_", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).select("rid", "host_", F.col("x.hashes").alias("line"), F.col("x.sizes").alias("size"))
+    heavy = counts.where("heavy").select(F.col("host_").alias("host_h"), F.col("line").alias("line_h"), F.col("frequent").alias("known"))
+    light = counts.where("frequent and not heavy").select(F.col("host_").alias("host_f"), F.col("line").alias("line_f"))
+    lines = lines.join(F.broadcast(heavy), F.expr("host_ <=> host_h and line = line_h"), "left")  # at most HEAVY rows
+    rest = lines.where("known is null").join(light, F.expr("host_ <=> host_f and line = line_f"), "left_semi")
+    both = lines.where("known").select("rid", "size").unionByName(rest.select("rid", "size"))
+    return both.groupBy("rid").agg(F.sum("size").cast("long").alias("n_removed_words"))
+
+
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_docs: int = MAX_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The base figures, base_failed, kept, and the words in removed lines."""
+    stored = written(base_features(docs, host).withColumn("rid", F.monotonically_increasing_id()))
+    removed = removed_words(stored, line_counts(stored, min_docs, max_docs, share))
+    out = stored.drop("hashes", "sizes").join(removed, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = joined.withColumn("n_removed_words", removed).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= keep_share * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words")
+    return out.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words")
 
 
 ORACLE = rf"""
@@ -133,7 +148,7 @@ l as (
   from raw where regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 dup as (select rid, count(*) - count(distinct line) as n_dup_lines from l group by rid),
-h as (select source, greatest({float(MIN_DOCS)}, count(distinct coalesce(text, '')) * {SHARE}) as lim from d group by source),
+h as (select source, least({float(MAX_DOCS)}, greatest({float(MIN_DOCS)}, count(distinct text) * {SHARE})) as lim from d group by source),
 f as (
   select l.source, norm from l join h on l.source is not distinct from h.source
   group by l.source, norm, lim having count(distinct text) > lim and count(distinct text) > {MIN_DOCS}
