@@ -44,6 +44,11 @@ def decision_claims(docs: DataFrame) -> DataFrame:
     return rows.select(ids.claim_id(F.concat(F.lit("decision:"), F.col("title"))).alias("id"), F.lit("decision").alias("type"), F.lit("decided").alias("predicate"), F.col("title").alias("object"), "source_path")
 
 
+def decision_index(claims: DataFrame) -> DataFrame:
+    """(id, title, source_path) of the decisions among claims."""
+    return claims.where("type = 'decision'").select("id", F.col("object").alias("title"), "source_path")
+
+
 def log_claims(docs: DataFrame) -> DataFrame:
     """Lines of .log and .txt files that name an error, each claim once."""
     lines = docs.where(F.lower("source_path").rlike(r"\.(log|txt)$")).select(F.explode(F.split("text", "\n")).alias("line"), "source_path")

@@ -37,6 +37,13 @@ def adjacency_lists(links: DataFrame) -> DataFrame:
     return adjacency(links).groupBy("from_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
+def all_hits(index: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
+    """kind, id, score: entities by an exact term with score 1, and chunks that hold the query, without a score."""
+    entities = keyword_lookup(index, query).select(F.lit("entity").alias("kind"), "id", "score")
+    inside = F.contains(F.lower("text"), F.lit(query.strip().lower()))
+    return entities.unionByName(chunks.where(inside).select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.lit(None).cast("double").alias("score")))
+
+
 def ranked_hits(hits: DataFrame, step: float = 0.0, tie: str = "id"):
     """Score (rounded to ``step``) descending, then the tie-break as text."""
     from ..functions.text import rounded_score

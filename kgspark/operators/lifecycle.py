@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ids
 
@@ -36,6 +37,27 @@ def inputs_hash(records: DataFrame, column: str = "source_hash") -> DataFrame:
     return records.agg(ids.set_digest(F.col(column)).alias("inputs_hash"))
 
 
+def json_text(columns: list[str], schema) -> Column:
+    """A row as canonical JSON (sorted keys, ``", "`` and ``": "``), as ``canonical_json`` writes it for ASCII values."""
+    parts = []
+    for c in sorted(columns):
+        value = F.col(f"`{c}`")
+        text = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1) if isinstance(schema[c].dataType, T.StringType) else value.cast("string")
+        parts.append(F.concat(F.lit(f"{json.dumps(c)}: "), F.when(value.isNull(), F.lit("null")).otherwise(text)))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def outputs_hash(records: DataFrame, key: str | None = None) -> DataFrame:
+    """One digest of the canonical JSON of all records in the order of ``key`` (else of their JSON).
+
+    Like ``inputs_hash`` it is defined over the whole list, so one task holds the JSON of a run's records.
+    """
+    line = json_text(records.columns, records.schema)
+    order = F.col(key).cast("string") if key else line
+    sorted_lines = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), line.alias("v")))), lambda x: x["v"])
+    return records.agg(ids.digest(F.concat(F.lit("["), F.array_join(sorted_lines, ", "), F.lit("]"))).alias("outputs_hash"))
+
+
 def run_diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "source_hash") -> DataFrame:
     """(path, change) of added, removed and changed paths between two runs."""
     a, b = old.select(F.col(key).alias("a_"), F.col(value).alias("old_")), new.select(F.col(key).alias("b_"), F.col(value).alias("new_"))
@@ -55,8 +77,23 @@ def normalised_legacy(records: DataFrame) -> DataFrame:
     return records.withColumns(changed)
 
 
+STATUSES, ORIGINS = ("ok", "failed", "skipped"), ("fresh", "cached")
+
+
+def checked_records(records: DataFrame) -> DataFrame:
+    """``records``, failing at the first row with an unknown status or origin, or one that is cached but not ok."""
+    status, origin = F.col("parse_status"), F.col("source_origin")
+    good = F.coalesce(status.isin(*STATUSES) & origin.isin(*ORIGINS) & ((origin != "cached") | (status == "ok")), F.lit(False))
+    return records.withColumn("parse_status", F.when(good, status).otherwise(F.raise_error(F.concat(F.lit("bad source record: "), F.concat_ws(", ", status, origin))).cast("string")))
+
+
 def with_cache(records: DataFrame, previous: DataFrame) -> DataFrame:
-    """``cached`` where the previous run has the same path and hash."""
+    """``cached`` where the previous run has the same path and hash.
+
+    Of previous records with a ``complete`` column only complete ones count.
+    """
+    if "complete" in previous.columns:
+        previous = previous.where("complete")
     old = previous.select(F.col("path").alias("p_"), F.col("source_hash").alias("h_")).distinct()
     joined = records.join(old, (F.col("path") == F.col("p_")) & (F.col("source_hash") == F.col("h_")), "left")
     return joined.withColumn("source_origin", F.when(F.col("p_").isNotNull(), F.lit("cached")).otherwise(F.lit("fresh"))).drop("p_", "h_")
@@ -88,6 +125,18 @@ def budget_status(source_bytes: DataFrame, store_bytes: DataFrame, factor: float
     return rows.withColumn("ratio", F.round(ratio, 6)).withColumn("status", F.when(ratio >= BLOCK_AT, F.lit("block")).when(ratio >= WARN_AT, F.lit("warn")).otherwise(F.lit("ok")))
 
 
+class BudgetExceeded(RuntimeError):
+    """The store has outgrown its budget."""
+
+
+def enforce_budget(status: DataFrame) -> dict[str, object]:
+    """The one row of ``budget_status`` as a mapping; raises where it says block."""
+    found = status.first().asDict()
+    if found["status"] == "block":
+        raise BudgetExceeded(f"store of {found['used']} bytes is over its limit of {found['limit']:.0f}")
+    return found
+
+
 def throughput_warnings(counts: dict[str, int]) -> list[dict[str, str]]:
     """Warnings for stages that produced nothing from something."""
     rules = (("no_entities", "entities", "documents"), ("no_links", "links", "entities"), ("empty_index", "index_terms", "entities"))
@@ -137,6 +186,11 @@ class Migrations:
         return df
 
 
+def gate_matrix(rows: DataFrame) -> DataFrame:
+    """``passed`` of rows with measured, target and allowance: a missing measurement fails."""
+    return rows.withColumn("passed", F.coalesce(F.col("measured") <= F.col("target") * (1 + F.col("allowance")), F.lit(False)))
+
+
 def quality_gate(measured: float, target: float, allowance: float = 0.0) -> bool:
     """Whether a measurement stays within a target and its relative allowance."""
     return measured <= target * (1 + allowance)

@@ -27,6 +27,7 @@ RULES = {
     "resolves_to_document": "link.markdown.resolves_to_document.v1",
 }
 EXTERNAL = ("http", "https", "ftp", "ftps", "mailto")
+SNIPPET = 500
 TOKENS = "source_path string, source_hash string, position long, kind string, level int, text string, target string, line long"
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^\s`]*)")
@@ -158,7 +159,7 @@ def sections(tokens: DataFrame) -> DataFrame:
     at = at.withColumn("id", ids.entity_id(F.concat_ws("::", "source_hash", F.lit("section"), "slug_path", F.col("order").cast("string"))))
     own = at.select(F.col("source_path").alias("sp"), F.col("position").alias("pos"), F.col("id").alias("parent_section_id"))
     at = at.join(own, (F.col("source_path") == F.col("sp")) & (F.col("parent") == F.col("pos")), "left").drop("sp", "pos")
-    body = tokens.where("kind = 'text'").select(F.col("source_path").alias("sp"), F.col("position").alias("tp"), F.col("text").alias("body"))
+    body = tokens.where("kind = 'text'").select(F.col("source_path").alias("sp"), F.col("position").alias("tp"), F.left("text", F.lit(SNIPPET)).alias("body"))
     ends = at
     after = Window.partitionBy("source_path").orderBy("position").rowsBetween(1, Window.unboundedFollowing)
     end = F.lit(None).cast("long")
@@ -166,7 +167,7 @@ def sections(tokens: DataFrame) -> DataFrame:
         end = F.when(F.col("level") == level, F.min(F.when(F.col("level") <= level, F.col("position"))).over(after)).otherwise(end)
     ends = ends.withColumn("end", end)
     near = ends.join(body, (F.col("source_path") == F.col("sp")) & (F.col("tp") > F.col("position")) & (F.col("end").isNull() | (F.col("tp") < F.col("end"))), "left")
-    snippet = F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tp", "body"))), lambda s: s["body"]), " "), F.lit(500))
+    snippet = F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tp", "body"))), lambda s: s["body"]), " "), F.lit(SNIPPET))
     keys = ["source_path", "source_hash", "id", "text", "slug_path", "level", "order", "parent_section_id", "line"]
     return near.groupBy(*keys).agg(snippet.alias("body_snippet")).withColumnRenamed("text", "name").withColumn("type", F.lit("ag:section"))
 
@@ -247,3 +248,117 @@ def markdown_links(section_rows: DataFrame, technology_rows: DataFrame, referenc
     rule = F.element_at(F.create_map(*(x for k, v in RULES.items() for x in (F.lit(k), F.lit(v)))), F.col("type"))
     out = out.where("from_id is not null").withColumn("rule_id", rule)
     return out.select(ids.link_id(F.col("rule_id"), F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id", "type", "rule_id").distinct()
+
+
+# Words that name a technology, and how it is written.
+TECHNOLOGIES = {
+    "python": "Python",
+    "javascript": "JavaScript",
+    "typescript": "TypeScript",
+    "rust": "Rust",
+    "go": "Go",
+    "java": "Java",
+    "php": "PHP",
+    "ruby": "Ruby",
+    "bash": "Bash",
+    "shell": "Shell",
+    "html": "HTML",
+    "css": "CSS",
+    "sql": "SQL",
+    "holy c": "Holy C",
+    "c++": "C++",
+    "react": "React",
+    "angular": "Angular",
+    "vue": "Vue",
+    "next.js": "Next.js",
+    "nextjs": "Next.js",
+    "fastapi": "FastAPI",
+    "flask": "Flask",
+    "django": "Django",
+    "express": "Express",
+    "node.js": "Node.js",
+    "nodejs": "Node.js",
+    "phaser": "Phaser",
+    "three.js": "Three.js",
+    "d3.js": "D3.js",
+    "pyside6": "PySide6",
+    "qt": "Qt",
+    "vite": "Vite",
+    "openai": "OpenAI",
+    "anthropic": "Anthropic",
+    "claude": "Claude",
+    "langchain": "LangChain",
+    "langgraph": "LangGraph",
+    "spacy": "spaCy",
+    "networkx": "NetworkX",
+    "pytorch": "PyTorch",
+    "tensorflow": "TensorFlow",
+    "huggingface": "HuggingFace",
+    "sentence-transformers": "Sentence-Transformers",
+    "whisper": "Whisper",
+    "deepgram": "Deepgram",
+    "neo4j": "Neo4j",
+    "postgresql": "PostgreSQL",
+    "postgres": "PostgreSQL",
+    "mongodb": "MongoDB",
+    "redis": "Redis",
+    "sqlite": "SQLite",
+    "duckdb": "DuckDB",
+    "janusgraph": "JanusGraph",
+    "dgraph": "Dgraph",
+    "chroma": "Chroma",
+    "docker": "Docker",
+    "kubernetes": "Kubernetes",
+    "terraform": "Terraform",
+    "github actions": "GitHub Actions",
+    "playwright": "Playwright",
+    "cypress": "Cypress",
+    "jest": "Jest",
+    "pytest": "pytest",
+    "prometheus": "Prometheus",
+    "mcp": "MCP",
+    "graphql": "GraphQL",
+    "rest": "REST",
+    "rdf": "RDF",
+    "sparql": "SPARQL",
+    "json-rpc": "JSON-RPC",
+    "websocket": "WebSocket",
+    "sse": "SSE",
+    "pydantic": "Pydantic",
+    "sqlalchemy": "SQLAlchemy",
+    "alembic": "Alembic",
+    "rdflib": "RDFLib",
+    "stripe": "Stripe",
+}
+
+
+def _by_shape(rows: DataFrame, kind: str, key: Column) -> DataFrame:
+    """id, type, name, canonical_key, source_path, line: each key of a document once, at its first line."""
+    first = rows.withColumn("canonical_key", key).groupBy("source_path", "canonical_key").agg(F.min(F.struct("line", "name")).alias("f"))
+    return first.select(ids.entity_id(F.col("canonical_key")).alias("id"), F.lit(kind).alias("type"), F.col("f.name").alias("name"), "canonical_key", "source_path", F.col("f.line").alias("line"))
+
+
+def known_technologies(docs: DataFrame, names: dict[str, str] = TECHNOLOGIES) -> DataFrame:
+    """Technologies by word, whatever its case, with no letter beside it; no Python."""
+    word = lambda k: f"(?i)(?<![A-Za-z]){re.escape(k)}(?![A-Za-z])"
+    before = lambda k: F.split("text", word(k), 2)[0]
+    line = lambda k: F.size(F.split(before(k), "\n")).cast("long")
+    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(word(k)), F.struct(F.lit(v).alias("name"), line(k).alias("line"))) for k, v in names.items())))
+    rows = docs.select("source_path", F.explode(found).alias("t")).select("source_path", "t.name", "t.line")
+    return _by_shape(rows, "ag:technology", F.concat(F.lit("tech:"), F.translate(F.lower("name"), " .", "__")))
+
+
+def content_entities(docs: DataFrame) -> DataFrame:
+    """Headings, known technologies and link targets of (source_path, text) by line patterns, without a tokenizer.
+
+    The older, coarser form of ``sections``, ``technologies`` and ``references``: marks inside fences count.
+    """
+    lines = docs.select("source_path", F.posexplode(F.split("text", "\n")).alias("at", "x")).withColumn("line", F.col("at").cast("long") + 1)
+    heading = r"^#{1,6}\s+(.+)$"
+    heads = lines.where(F.col("x").rlike(heading)).select("source_path", "line", F.trim(F.regexp_extract("x", heading, 1)).alias("name"))
+    link = r"\[([^\]]+)\]\(([^)]+)\)"
+    pairs = F.arrays_zip(F.regexp_extract_all("x", F.lit(link), F.lit(1)).alias("name"), F.regexp_extract_all("x", F.lit(link), F.lit(2)).alias("url"))
+    links = lines.where(F.contains("x", F.lit("]("))).select("source_path", "line", F.explode(pairs).alias("l")).select("source_path", "line", F.trim("l.name").alias("name"), F.trim("l.url").alias("url")).where("not startswith(url, '#')")
+    out = _by_shape(heads, "ag:section", F.concat_ws(":", F.lit("section"), "source_path", F.replace(F.lower("name"), F.lit(" "), F.lit("_"))))
+    out = out.unionByName(known_technologies(docs))
+    return out.unionByName(_by_shape(links, "ag:reference", F.concat_ws(":", F.lit("ref"), "source_path", F.left(ids.digest(F.col("url")), F.lit(16)))))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +44,21 @@ MARKER = r"<<redacted:[a-z_]+:[0-9a-f]{12}>>"
 GAP = ' "'
 
 
+#: Detectors that a configuration adds, by name.
+CUSTOM: dict[str, Detector] = {}
+
+
+def register(detector: Detector) -> None:
+    """Adds a detector that ``chosen`` finds by its name; its pattern must read the same in Python and Java."""
+    re.compile(detector.pattern)
+    if not re.fullmatch("[a-z_]+", detector.category):
+        raise ValueError(f"category {detector.category!r} cannot stand in a marker")
+    CUSTOM[detector.name] = detector
+
+
 def chosen(names: Iterable[str] = DEFAULT) -> list[Detector]:
     """Detectors by name, in the order asked for; unknown names are left out."""
-    known = {d.name: d for d in DETECTORS}
+    known = {d.name: d for d in DETECTORS} | CUSTOM
     return [known[n] for n in names if n in known]
 
 
@@ -83,9 +96,62 @@ def redactor(key: bytes, names: Iterable[str] = DEFAULT):
     return redact
 
 
+def _holds_text(kind: T.DataType) -> bool:
+    """Whether values of a type can hold strings."""
+    if isinstance(kind, T.StructType):
+        return any(_holds_text(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.MapType):
+        return _holds_text(kind.valueType)
+    return _holds_text(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.StringType)
+
+
+def redact_any(value: object, key: bytes, detectors: list[Detector], kind: T.DataType) -> object:
+    """Every string inside a nested value redacted; map keys stay."""
+    if value is None or not _holds_text(kind):
+        return value
+    if isinstance(kind, T.StringType):
+        return redact_value(value, key, detectors)[0]
+    if isinstance(kind, T.ArrayType):
+        return [redact_any(v, key, detectors, kind.elementType) for v in value]
+    if isinstance(kind, T.MapType):
+        return [(k, redact_any(v, key, detectors, kind.valueType)) for k, v in value]
+    return {f.name: redact_any(value[f.name], key, detectors, f.dataType) for f in kind.fields}
+
+
+def _nested_redacted(df: DataFrame, key: bytes, names: Iterable[str], columns: list[str]) -> DataFrame:
+    detectors, schema = chosen(names), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns)
+            for c in columns:
+                at = batch.schema.get_field_index(c)
+                values = [redact_any(v, key, detectors, schema[c].dataType) for v in arrays[at].to_pylist()]
+                arrays[at] = pa.array(values, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+    return df.mapInArrow(run, schema)
+
+
 def redacted(df: DataFrame, key: bytes, names: Iterable[str] = DEFAULT) -> DataFrame:
-    """Every string column and array of strings redacted, other columns as they are."""
-    redact = redactor(key, names)
+    """Every string redacted, in columns, arrays, structs and map values; other values as they are.
+
+    Strings that no detector matches never leave the JVM: the redacting function gets null for them.
+    """
+    found = chosen(names)
+    redact_all = redactor(key, names)
+
+    def redact(c: Column) -> Column:
+        if not found:
+            return c
+        suspect = c.rlike(found[0].pattern)
+        for d in found[1:]:
+            suspect = suspect | c.rlike(d.pattern)
+        return F.coalesce(redact_all(F.when(suspect, c)), c)
+
+    nested = [f.name for f in df.schema.fields if _holds_text(f.dataType) and not isinstance(f.dataType, T.StringType) and f.dataType != T.ArrayType(T.StringType())]
+    if nested and found:
+        df = _nested_redacted(df, key, names, nested)
     columns = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")

@@ -117,6 +117,11 @@ def truncated(total: int, limit: int | None, offset: int = 0) -> bool:
     return limit is not None and total > offset + limit
 
 
+def truncated_column(total: Column, limit: int | None, offset: int = 0) -> Column:
+    """``truncated`` of a column of totals."""
+    return F.lit(False) if limit is None else total > offset + limit
+
+
 def grouped(df: DataFrame, field: str) -> DataFrame:
     """group, n: counts by a field's text; missing values form the group ``_missing``."""
     column, _ = field_column(df, field)

@@ -191,10 +191,28 @@ def chunk_citations(spark, sf_dir):
     return _chunks(spark, sf_dir).join(docs, "document_id").select("chunk_id", F.concat_ws("#", "source_path", F.col("order").cast("string")).alias("citation"), "source_hash")
 
 
-@query("select conv_id::varchar as document_id, 'seg_' || left(sha256(conv_id || ':paragraph:0:' || trim(text)), 24) as segment_id, trim(text) as text from conversations where turn = 0 and trim(text) <> ''")
+SEGMENTS = """with t as (select conv_id || '/' || turn as document_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n'), lambda x: trim(x)), lambda x: x <> '') as parts from conversations),
+seg as (select document_id, generate_subscripts(parts, 1) - 1 as "order", unnest(parts) as text from t)"""
+SEGMENT_ID = "'seg_' || left(sha256(document_id || ':paragraph:' || \"order\" || ':' || text), 24)"
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("document_id"), "text")
+
+
+@query(SEGMENTS + f'\nselect document_id, "order"::bigint as "order", {SEGMENT_ID} as segment_id, text from seg')
 def segment_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("document_id"), "text")
-    return chunking.segments(rows).where(F.col("order") == 0).select("document_id", "segment_id", "text")
+    return chunking.segments(_turns(spark, sf_dir)).select("document_id", "order", "segment_id", "text")
+
+
+@query(SEGMENTS + f""", w as (select conv_id || '/' || turn as document_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') as w from conversations),
+c as (select document_id, unnest(range(case when len(w) = 0 then 0 when len(w) <= 30 then 1 else ceil((len(w) - 30) / 24)::bigint + 1 end)) as "order" from w),
+r as (select document_id, min("order") as a, max("order") as b, string_agg({SEGMENT_ID}, ',' order by "order") as segs from seg group by document_id)
+select c.document_id, c."order", r.a::bigint as paragraph_start, r.b::bigint as paragraph_end, r.segs as segment_ids from c join r using (document_id)""")
+def chunk_ranges(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    found = chunking.with_ranges(chunking.chunks(turns, 30, 6), chunking.segments(turns))
+    return found.select("document_id", "order", "paragraph_start", "paragraph_end", F.array_join("segment_ids", ",").alias("segment_ids"))
 
 
 @query(with_views("docs") + "\nselect document_id, case when doc_id % 7 = 0 then sha256(text || '+') else source_hash end as source_hash, array_to_string(list_sort(case when doc_id % 10 in (0, 1) or doc_id % 7 <> 0 then [case when doc_id % 7 = 0 and doc_id % 10 <> 1 then sha256(text || '+') else source_hash end] else [source_hash, sha256(text || '+')] end), ',') as history from docs where doc_id % 10 <> 1 or doc_id % 7 <> 0 union all select document_id, source_hash, source_hash from docs where doc_id % 10 = 1 and doc_id % 7 = 0")
@@ -281,7 +299,7 @@ def neighbors_d3(spark, sf_dir):
     return graph.neighbors(views.links(spark, sf_dir), _first_order(spark, sf_dir), 3)
 
 
-@query(with_views("links") + f"\nselect from_id, to_id, type, coalesce(confidence, 1.0) as confidence, rule_id from links where from_id = ({START}) and to_id = (select min(to_id) from links where from_id = ({START}))")
+@query(with_views("links") + f", own as materialized (select from_id, to_id, type, coalesce(confidence, 1.0) as confidence, rule_id from links where from_id = ({START}))\nselect * from own where to_id = (select min(to_id) from own) order by type, to_id, rule_id limit 1")
 def why_connected(spark, sf_dir):
     rows, start = views.links(spark, sf_dir), _first_order(spark, sf_dir)
     target = rows.where(F.col("from_id") == start).agg(F.min("to_id")).first()[0]
@@ -470,8 +488,8 @@ def changed_since(spark, sf_dir):
 
 @query("select event_id as run_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as started_at from events order by ts desc, event_id desc limit 1")
 def latest_run(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"), "ts")
-    return rows.orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(1).select("run_id", "started_at")
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"))
+    return lifecycle.latest_run(runs).select("run_id", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"))
 
 
 @query(with_views("entities", "links") + ", gone as (select id from entities where type = 'file' and mention_count < 10)\nselect id from links where from_id not in (select id from gone) and to_id not in (select id from gone)")
@@ -486,9 +504,12 @@ def changes_by_hour(spark, sf_dir):
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss"))
 
 
-@query()
+@query("""with e as (select user_id, ts, case when ts <= lag(ts) over w + interval 30 minute then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+g as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+select user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') as session_start, strftime(max(ts) + interval 30 minute, '%Y-%m-%dT%H:%M:%S.%f') as session_end, count(*) as n from g group by user_id, k""")
 def user_sessions(spark, sf_dir):
-    return incremental.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    rows = incremental.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select("user_id", *(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")), "n")
 
 
 @query("select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) where k = 1")
@@ -511,9 +532,9 @@ def provenance_index(spark, sf_dir):
     return lifecycle.provenance_rows(views.documents(spark, sf_dir).withColumnRenamed("document_id", "id"), "rule.v1", "run_1")
 
 
-@query(with_views("entities") + "\nselect id, 'source_path' || case when author_email is null then ',author_email' else '' end as missing from entities where source_path is null")
+@query(with_views("entities") + "\nselect id, concat_ws(',', case when source_path is null then 'source_path' end, case when author_email is null then 'author_email' end) as missing from entities where source_path is null or author_email is null")
 def incomplete_records(spark, sf_dir):
-    return lifecycle.incomplete(views.entities(spark, sf_dir).where("source_path is null"), ("id", "source_path", "author_email"))
+    return lifecycle.incomplete(views.entities(spark, sf_dir), ("id", "source_path", "author_email"))
 
 
 @query(RENAMES + "\nselect old_path, new_path, commit_sha from best where k = 1 and new_path = (select min(new_path) from best where k = 1)")
@@ -571,10 +592,10 @@ def namespaces(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.namespaced(kind).alias("kind"))
 
 
-@query(with_views("entities") + "\nselect id, 3 + (author_email is not null)::int + (source_path is not null)::int as n_properties from entities")
+@query(with_views("entities") + "\nselect id, concat_ws(';', 'name=' || name, 'type=' || type, 'canonical_key=' || canonical_key, 'author_email=' || author_email, 'source_path=' || source_path) as properties from entities")
 def property_maps(spark, sf_dir):
-    rows = views.entities(spark, sf_dir)
-    return rows.select("id", F.size(exports.properties(["name", "type", "canonical_key", "author_email", "source_path"])).alias("n_properties"))
+    entries = F.map_entries(exports.properties(["name", "type", "canonical_key", "author_email", "source_path"]))
+    return views.entities(spark, sf_dir).select("id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("properties"))
 
 
 @query("select 'CREATE CONSTRAINT kg' || lower(n) || '_id_unique IF NOT EXISTS FOR (n:Kg' || n || ') REQUIRE n.id IS UNIQUE;' as line from (values ('Commit'), ('File'), ('AuthorIdentity')) v(n)")
@@ -596,12 +617,22 @@ def redaction_scan(spark, sf_dir):
     return redaction.misses(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
 
-@query()
+def _quoted(text_: str) -> str:
+    return "'" + text_.replace("'", "''") + "'"
+
+
+DETECTED = redaction.chosen()
+LEFT = "regexp_replace(text, " + _quoted(redaction.MARKER) + ", " + _quoted(redaction.GAP) + ", 'g')"
+FOUND = " + ".join(f"regexp_matches(t, {_quoted(d.pattern)})::int" for d in DETECTED)
+
+
+@query(" union all ".join(f"select {_quoted(d.category)} as category, coalesce(sum(len(regexp_extract_all(text, {_quoted(d.pattern)}))), 0)::bigint as n from documents" for d in DETECTED))
 def redaction_summary(spark, sf_dir):
     return redaction.redaction_summary(table(spark, sf_dir, "documents"), "text")
 
 
-@query()
+@query(f"""with d as (select lang, coalesce({LEFT}, '') as t from documents), m as (select lang, {FOUND} as n from d)
+select coalesce(lang, '_total') as profile, count(*) as scanned, sum(n)::bigint as misses, case when sum(n) > 0 then 'fail' else 'pass' end as status from m group by rollup (lang)""")
 def validate_store(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("profile"))
     found = redaction.misses(docs.select("doc_id", "text"), "doc_id")
@@ -611,12 +642,40 @@ def validate_store(spark, sf_dir):
 
 @query()
 def redact_text(spark, sf_dir):
-    return redaction.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), b"k" * 32)
+    return redaction.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
-@query()
+KEY = b"k" * 32
+
+
+def _hmac_sql(value: str) -> str:
+    """HMAC-SHA-256 of an SQL text value under ``KEY``, in hex."""
+    pad = lambda x: "'" + "".join(f"\\x{b ^ x:02X}" for b in KEY.ljust(64, b"\0")) + "'::blob"
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({value}))))"
+
+
+@query(f"select c_custkey, {_hmac_sql('c_name')} as digest from customer")
 def keyed_digests(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", redaction.keyed_digest(F.col("c_name"), b"k" * 32).alias("digest"))
+    return table(spark, sf_dir, "customer").select("c_custkey", redaction.keyed_digest(F.col("c_name"), KEY).alias("digest"))
+
+
+MARKED = "'<<redacted:credential:' || left(" + _hmac_sql("replace(c_name, '#', '')") + ", 12) || '>>'"
+
+
+@query(f"""with m as (select c_custkey, c_mktsegment as seg, 'token=' || {MARKED} as mark from customer)
+select c_custkey, seg || ' ' || mark || ' end' as line, mark as inner_text, seg as first, mark as second, mark as by_key, seg as item from m""")
+def redact_payload(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    secret = F.concat(F.lit("token="), F.replace("c_name", F.lit("#"), F.lit("")))
+    rows = c.select(
+        "c_custkey",
+        F.concat_ws(" ", "c_mktsegment", secret, F.lit("end")).alias("line"),
+        F.struct(F.col("c_custkey").alias("n"), F.struct(secret.alias("text")).alias("inner")).alias("payload"),
+        F.array(F.struct(F.col("c_mktsegment").alias("v")), F.struct(secret.alias("v"))).alias("list"),
+        F.create_map(F.lit("k"), F.array("c_mktsegment", secret)).alias("map"),
+    )
+    out = redaction.redacted(rows, KEY)
+    return out.select("c_custkey", "line", F.col("payload.inner.text").alias("inner_text"), F.col("list")[0]["v"].alias("first"), F.col("list")[1]["v"].alias("second"), F.col("map")["k"][1].alias("by_key"), F.col("map")["k"][0].alias("item"))
 
 
 # ------------------------------------------------------------------ markdown, entities, claims
@@ -674,14 +733,107 @@ def markdown_links(spark, sf_dir):
     return markdown.markdown_links(sections, techs, refs, markdown.owners(tokens, sections, notes), notes, tokens)
 
 
-@query("""with r as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as target from pages)
-select page_id, target, 'unresolved' as resolution from r where target not like '%.%' or target like '%.' or target like '%,'""")
+@query(with_views("docs") + """, r as (select 'pages/' || page_id as source_path, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as target from pages)
+select source_path, target, 'unresolved' as resolution, null::varchar as target_document_id from r
+union all select source_path, 'HTTPS://example.com' || target, 'external', null from r
+union all select 'pages/x/y', '.././' || '../' || source_path || '?q=1#part', 'internal', document_id from docs
+union all select 'pages/x/y', '../' || source_path, 'unresolved', null from docs
+union all select 'pages/x/y', 'tel:' || doc_id, 'unresolved', null from docs""")
 def reference_classes(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("target"))
-    rows = rows.withColumn("source_path", F.concat(F.lit("pages/"), F.col("page_id").cast("string")))
+    hrefs = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("source_path"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("target"))
     docs = views.documents(spark, sf_dir).select("source_path", "document_id")
-    found = markdown.classified(rows, docs).select("page_id", "target", "resolution")
-    return found.where(~F.contains("target", F.lit(".")) | F.col("target").endswith(".") | F.col("target").endswith(","))
+    own = views.documents(spark, sf_dir).select("source_path", F.col("doc_id").cast("string").alias("d"))
+    refs = hrefs.unionByName(hrefs.withColumn("target", F.concat(F.lit("HTTPS://example.com"), "target")))
+    for target in (F.concat(F.lit(".././../"), "source_path", F.lit("?q=1#part")), F.concat(F.lit("../"), "source_path"), F.concat(F.lit("tel:"), "d")):
+        refs = refs.unionByName(own.select(F.lit("pages/x/y").alias("source_path"), target.alias("target")))
+    return markdown.classified(refs, docs).select("source_path", "target", "resolution", "target_document_id")
+
+
+@query("select p_partkey, 'a/c/p' || p_partkey || case when p_partkey % 2 = 0 then '.md' else '/x' end as path from part")
+def collapsed_paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    raw = F.concat(F.lit("../a/./b"), (k % 9).cast("string"), F.lit("/..//c/p"), k.cast("string"), F.when(k % 2 == 0, F.lit(".md")).otherwise(F.lit("/x/y/../")))
+    return table(spark, sf_dir, "part").select("p_partkey", markdown.collapsed_path(raw).alias("path"))
+
+
+# Notes in markdown, one for each order: a heading, a text with a code span and a link, and a fence for each item.
+NOTES_SQL = """with recursive i as (
+  select 'notes/o' || l_orderkey || '.md' as source_path, sha256('notes/o' || l_orderkey || '.md') as h, max(l_partkey) as p, max(l_suppkey) as s,
+    row_number() over (partition by l_orderkey order by l_linenumber) - 1 as k from lineitem group by l_orderkey, l_linenumber),
+n as (select *, 1 + p % 6 as level, 'Item p' || p || ' n' || k as name, 'item-p' || p || '-n' || k as slug, 'Uses Tool' || s % 7 || ' and see d end ' || k || '.' as body from i),
+par as (select a.*, (select max(b.k) from n b where b.source_path = a.source_path and b.k < a.k and b.level < a.level) as parent,
+  (select min(b.k) from n b where b.source_path = a.source_path and b.k > a.k and b.level <= a.level) as stop from n a),
+paths as (select source_path, k, slug as slug_path from par where parent is null
+  union all select c.source_path, c.k, q.slug_path || '/' || c.slug from par c join paths q on c.source_path = q.source_path and c.parent = q.k),
+sec as (select par.*, slug_path, 'ent_' || sha256(h || '::section::' || slug_path || '::' || par.k) as id from par join paths using (source_path, k)),
+spans as (select source_path, h, 5 * k + 2 as position, 'Tool' || s % 7 as name, 'code_inline' as origin, k from i union all select source_path, h, 5 * k + 4, 'Lang' || p % 3, 'fence', k from i),
+tech as (select source_path, h, lower(name) as canonical_key, min(position) as position, arg_min(name, position) as name, arg_min(origin, position) as origin from spans group by all),
+techs as (select *, 'ent_' || sha256(h || '::technology::' || canonical_key) as id, row_number() over (partition by source_path order by position) - 1 as first_seen_order from tech),
+known as (select distinct source_path, 'doc_' || left(sha256(source_path), 24) as document_id from i),
+refs as (select i.source_path, i.h, k, 'o' || p || '.md' as target, 'ent_' || sha256(i.h || '::reference::o' || p || '.md::' || k) as id, document_id from i left join known on known.source_path = 'notes/o' || p || '.md')"""
+
+
+def _notes(spark, sf_dir) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    rows = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "s"))).alias("items"))
+
+    def item(x: Column, k: Column) -> Column:
+        n = k.cast("string")
+        p = x["p"].cast("string")
+        return F.concat(F.repeat(F.lit("#"), (1 + x["p"] % 6).cast("int")), F.lit(" Item p"), p, F.lit(" n"), n, F.lit("\n\nUses `Tool"), (x["s"] % 7).cast("string"), F.lit("` and see [d](o"), p, F.lit(".md) end "), n, F.lit(".\n\n```Lang"), (x["p"] % 3).cast("string"), F.lit("\n# not a heading\n```"))
+
+    path = F.concat(F.lit("notes/o"), F.col("l_orderkey").cast("string"), F.lit(".md"))
+    return rows.select(path.alias("source_path"), ids.digest(path).alias("source_hash"), ids.document_id(path).alias("document_id"), F.array_join(F.transform("items", item), "\n").alias("text"))
+
+
+@query(NOTES_SQL + """
+select a.source_path, a.id, a.name, a.level::int as level, a.k::bigint as "order", a.slug_path, b.id as parent_section_id,
+  left((select string_agg(c.body, ' ' order by c.k) from n c where c.source_path = a.source_path and c.k >= a.k and (a.stop is null or c.k < a.stop)), 500) as body_snippet
+from sec a left join sec b on b.source_path = a.source_path and b.k = a.parent""")
+def note_sections(spark, sf_dir):
+    return markdown.sections(markdown.token_rows(_notes(spark, sf_dir))).select("source_path", "id", "name", "level", "order", "slug_path", "parent_section_id", "body_snippet")
+
+
+@query(NOTES_SQL + "\nselect source_path, id, name, canonical_key, origin, first_seen_order::bigint as first_seen_order from techs")
+def note_technologies(spark, sf_dir):
+    return markdown.technologies(markdown.token_rows(_notes(spark, sf_dir))).select("source_path", "id", "name", "canonical_key", "origin", "first_seen_order")
+
+
+@query(NOTES_SQL + "\nselect source_path, id, 'd' as name, target, case when document_id is null then 'unresolved' else 'internal' end as resolution, document_id as target_document_id, k::bigint as \"order\" from refs")
+def note_references(spark, sf_dir):
+    docs = _notes(spark, sf_dir)
+    return markdown.references(markdown.token_rows(docs), docs.select("source_path", "document_id")).select("source_path", "id", "name", "target", "resolution", "target_document_id", "order")
+
+
+@query(NOTES_SQL + """, note as (select source_path, 'ent_' || sha256(replace(replace(source_path, 'notes/', ''), '.md', '')) as id from known),
+e as (
+  select coalesce(b.id, note.id) as from_id, a.id as to_id, 'contains_section' as type from sec a join note using (source_path) left join sec b on b.source_path = a.source_path and b.k = a.parent
+  union all select sec.id, techs.id, 'mentions_technology' from spans join techs on techs.source_path = spans.source_path and techs.canonical_key = lower(spans.name) join sec on sec.source_path = spans.source_path and sec.k = spans.k
+  union all select sec.id, refs.id, 'references' from refs join sec using (source_path, k)
+  union all select id, document_id, 'resolves_to_document' from refs where document_id is not null)
+select distinct 'lnk_' || sha256('link.markdown.' || type || '.v1:' || from_id || ':' || to_id) as id, from_id, to_id, type from e""")
+def note_links(spark, sf_dir):
+    docs = _notes(spark, sf_dir)
+    tokens, named = markdown.token_rows(docs), claims.notes(docs)
+    sections, techs = markdown.sections(tokens), markdown.technologies(tokens)
+    refs = markdown.references(tokens, docs.select("source_path", "document_id"))
+    return markdown.markdown_links(sections, techs, refs, markdown.owners(tokens, sections, named), named, tokens).select("id", "from_id", "to_id", "type")
+
+
+@query("select p_partkey, 'Title ' || p_partkey || chr(10) || chr(10) || p_name || ' and ' || p_brand || ' in ' || p_type || ' here' as text from part")
+def stripped_markdown(spark, sf_dir):
+    raw = F.concat(F.lit("## Title "), F.col("p_partkey").cast("string"), F.lit("\n```py\n# code\n```\n**"), "p_name", F.lit("**   and [`"), "p_brand", F.lit("`](x.md) in ![*"), "p_type", F.lit("*](y.png) citeturn1search2 here "))
+    return table(spark, sf_dir, "part").select("p_partkey", text.without_markdown(raw).alias("text"))
+
+
+EXTENSIONS = (".md", ".MD", ".txt", ".py", ".pdf", "", ".tar.rst", ".")
+
+
+@query("select p_partkey, e as extension from (select p_partkey, [" + ", ".join(map(_quoted, EXTENSIONS)) + "][p_partkey % 8 + 1] as e from part) where e in ('.md', '.MD', '.txt', '.pdf', '.tar.rst')")
+def natural_language_paths(spark, sf_dir):
+    e = F.array(*map(F.lit, EXTENSIONS))[(F.col("p_partkey") % 8).cast("int")]
+    path = F.concat(F.lit("a.b/p"), F.col("p_partkey").cast("string"), e)
+    return table(spark, sf_dir, "part").where(text.natural_language_source(path)).select("p_partkey", e.alias("extension"))
 
 
 @query(with_views("docs") + "\nselect 'ent_' || sha256('d' || doc_id) as id, 'd' || doc_id as name, source_path from docs")
@@ -692,9 +844,9 @@ def notes(spark, sf_dir):
 ADR = "regexp_replace(string_split(text, chr(10))[1], '^[# ]+|[# ]+$', '', 'g')"
 
 
-@query(with_views("docs") + f"\nselect 'clm_' || sha256('decision:' || {ADR}) as id, {ADR} as object, 'adr/adr-' || doc_id || '.md' as source_path from docs where doc_id % 3 = 0 and {ADR} <> ''")
+@query(with_views("docs") + f"\nselect 'clm_' || sha256('decision:' || {ADR}) as id, {ADR} as object, 'adr/adr-' || doc_id || '.md' as source_path from docs where {ADR} <> ''")
 def adr_claims(spark, sf_dir):
-    docs = views.documents(spark, sf_dir).where("doc_id % 3 = 0").withColumn("source_path", F.concat(F.lit("adr/adr-"), F.col("doc_id").cast("string"), F.lit(".md")))
+    docs = views.documents(spark, sf_dir).withColumn("source_path", F.concat(F.lit("adr/adr-"), F.col("doc_id").cast("string"), F.lit(".md")))
     return claims.decision_claims(docs).select("id", "object", "source_path")
 
 
@@ -735,9 +887,39 @@ def ner_rollup(spark, sf_dir):
     return ner.filtered(rows).withColumn("aliases", F.array_join("aliases", "|"))
 
 
-@query("with m as (select distinct l_orderkey, 'ent_' || sha256('file:parts/p' || l_partkey || '.txt') as id from lineitem where l_quantity > 30) select distinct 'lnk_' || sha256('ner.cooccurrence.v1:' || a.id || ':' || b.id) as id, a.id as from_id, b.id as to_id from m a join m b on a.l_orderkey = b.l_orderkey and a.id < b.id")
+MENTIONS_SQL = r"""with c as (select 'c' || c_custkey as chunk_id, 'Dr. ' || ['Anna', 'Bert', 'Cleo', 'Dora'][c_custkey % 4 + 1] || ' ' || ['Stone', 'Field', 'Rivers'][c_nationkey % 3 + 1] || ' of ' || c_mktsegment || ' paid $' || (100 + c_custkey % 900) || ' on 2021-03-' || (10 + c_custkey % 20) || case when c_custkey % 5 = 0 then ' for a GPU' else '' end || '.' as text from customer),
+s as (select chunk_id, text, type, unnest(regexp_extract_all(text, p)) as surface from c, (values ('ner:money', '[$€£¥]\s?\d[\d,.]*\d'), ('ner:date', '\b\d{4}-\d{2}-\d{2}\b'), ('ner:person', '\b(?:Dr\.\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b'), ('ner:org', '\b[A-Z]{2,}\b')) v(type, p)),
+m as (select chunk_id, type, surface, strpos(text, surface) - 1 as start, regexp_replace(lower(surface), '^(?:dr\.\s+)+', '') as canonical_key from s),
+e as (select 'ent_' || sha256(type || ':' || canonical_key) as id, type, canonical_key, max(surface) as name, count(*) as mention_count, count(distinct chunk_id) as chunk_count, string_agg(distinct surface, '|' order by surface) as aliases from m group by type, canonical_key),
+good as (select * from e where not (type = 'ner:org' and length(name) <= 4))"""
+
+
+def _mentioning(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    pick = lambda names, i: F.array(*map(F.lit, names))[i.cast("int")]
+    body = F.concat(
+        *(F.lit("Dr. "), pick(("Anna", "Bert", "Cleo", "Dora"), k % 4), F.lit(" "), pick(("Stone", "Field", "Rivers"), F.col("c_nationkey") % 3), F.lit(" of "), "c_mktsegment", F.lit(" paid $")),
+        *((100 + k % 900).cast("string"), F.lit(" on 2021-03-"), (10 + k % 20).cast("string"), F.when(k % 5 == 0, F.lit(" for a GPU")).otherwise(F.lit("")), F.lit(".")),
+    )
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), F.lit("a.md").alias("source_path"), body.alias("text"))
+
+
+@query(MENTIONS_SQL + "\nselect id, type, canonical_key, name, mention_count, chunk_count, aliases from good")
+def mentioned_entities(spark, sf_dir):
+    return ner.filtered(ner.rolled_up(ner.mentions(ner.readable(_mentioning(spark, sf_dir))))).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query(MENTIONS_SQL + """
+select 'lnk_' || sha256('ner.mention.v1:' || good.id || ':' || chunk_id || ':' || start) as id, good.id as from_id, chunk_id as to_id, 'MENTIONED_IN' as type, start::bigint as span_start, (start + length(surface))::bigint as span_end, surface as surface_form
+from m join good using (type, canonical_key)""")
+def mention_links(spark, sf_dir):
+    found = ner.mentions(ner.readable(_mentioning(spark, sf_dir)))
+    return ner.mention_links(found, ner.filtered(ner.rolled_up(found)))
+
+
+@query("with m as (select distinct l_orderkey, 'ent_' || sha256('file:parts/p' || l_partkey || '.txt') as id from lineitem) select distinct 'lnk_' || sha256('ner.cooccurrence.v1:' || a.id || ':' || b.id) as id, a.id as from_id, b.id as to_id from m a join m b on a.l_orderkey = b.l_orderkey and a.id < b.id")
 def ner_cooccurrence(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(ids.entity_id(F.concat(F.lit("file:"), views.path())).alias("id"), F.col("l_orderkey").alias("chunk_id"))
+    rows = table(spark, sf_dir, "lineitem").select(ids.entity_id(F.concat(F.lit("file:"), views.path())).alias("id"), F.col("l_orderkey").alias("chunk_id"))
     return ner.cooccurrence_links(rows).select("id", "from_id", "to_id")
 
 
@@ -793,15 +975,107 @@ def graphml_nodes(spark, sf_dir):
     return _nodes(spark, sf_dir).select("id", exports.graphml_line().alias("line"))
 
 
-@query()
+@query(with_views("entities") + NODES + """
+select id, '{"id":"' || id || '","type":"' || type || '","label":"' || label || '","name":"' || name || '","canonical_key":"' || canonical_key || '"' || coalesce(',"source_path":"' || source_path || '"', '') || '}' as line from nodes""")
 def json_nodes(spark, sf_dir):
     return _nodes(spark, sf_dir).select("id", exports.json_line().alias("line"))
 
 
-@query(with_views("entities") + "\nselect 'entity' as kind, id, name, type from entities order by id limit 1")
+@query(with_views("entities", "docs") + CHUNKS + NODES + f"""
+select id, type, label, name, source_path from nodes
+union all select document_id, 'document', ':KgDocument', document_id, source_path from docs
+union all select {CHUNK_ID}, 'chunk', ':KgChunk', {CHUNK_ID}, source_path from chunks""")
+def all_nodes(spark, sf_dir):
+    docs = views.documents(spark, sf_dir)
+    parts = _chunks(spark, sf_dir).join(docs.select("document_id", "source_path", "source_hash"), "document_id")
+    rows = views.entities(spark, sf_dir).withColumn("source_hash", F.lit(None).cast("string"))
+    return exports.graph_nodes(rows, docs, parts).select("id", "type", "label", "name", "source_path")
+
+
+@query(with_views("entities", "docs") + CHUNKS + f"""
+(select 'entity' as kind, id, name, type from entities order by id limit 1)
+union all (select 'document', document_id, source_path, 'document' from docs order by 2 limit 1)
+union all (select 'chunk', {CHUNK_ID}, document_id, 'chunk' from chunks order by 2 limit 1)""")
 def node_view(spark, sf_dir):
-    rows = views.entities(spark, sf_dir)
-    return exports.node_view(rows, views.documents(spark, sf_dir), _chunks(spark, sf_dir), rows.agg(F.min("id")).first()[0])
+    rows, docs, parts = views.entities(spark, sf_dir), views.documents(spark, sf_dir), _chunks(spark, sf_dir)
+    found = [exports.node_view(rows, docs, parts, df.agg(F.min(c)).first()[0]) for df, c in ((rows, "id"), (docs, "document_id"), (parts, "chunk_id"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(with_views("entities", "docs") + CHUNKS + TERMS + f"""
+select 'entity' as kind, id, 1.0::double as score from terms where term = 'order' union all select 'chunk', {CHUNK_ID}, null from chunks where contains(lower(text), 'order')""")
+def search_hits(spark, sf_dir):
+    return indexes.all_hits(indexes.keyword_index(views.entities(spark, sf_dir)), _chunks(spark, sf_dir), "Order")
+
+
+@query(with_views("entities") + "\nselect type, count(*) as total, count(*) > 1500 as truncated, count(*) > 500 as next_truncated from entities group by type")
+def truncated_pages(spark, sf_dir):
+    totals = views.entities(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("total"))
+    return totals.select("type", "total", predicates.truncated_column(F.col("total"), 1000, 500).alias("truncated"), predicates.truncated_column(F.col("total"), 500).alias("next_truncated"))
+
+
+@query(with_views("links", recursive=True) + BFS.format(where="true", start=START, last=1))
+def neighbors_stored(spark, sf_dir):
+    return graph.neighbors(indexes.adjacency(views.links(spark, sf_dir)), _first_order(spark, sf_dir), 2)
+
+
+@query("select sha256('[' || string_agg('{\"id\": ' || r_regionkey || ', \"name\": \"' || r_name || '\"}', ', ' order by '{\"id\": ' || r_regionkey || ', \"name\": \"' || r_name || '\"}') || ']') as outputs_hash from region")
+def outputs_hash(spark, sf_dir):
+    return lifecycle.outputs_hash(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("id")))
+
+
+@query("select doc_id, upper(lang) as language, n_chars + 1 as size, 'v3' as schema_version from documents")
+def migrated_records(spark, sf_dir):
+    steps = lifecycle.Migrations()
+    steps.register("v1", "v2", lambda df: df.withColumnRenamed("lang", "language").withColumn("schema_version", F.lit("v2")))
+    steps.register("v2", "v3", lambda df: df.withColumns({"language": F.upper("language"), "size": F.col("n_chars") + 1, "schema_version": F.lit("v3")}).drop("n_chars"))
+    return steps.migrate(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "v1", "v3")
+
+
+@query("select p_partkey::varchar as document_id, coalesce(case when p_partkey % 3 = 0 then p_name end, case when p_partkey % 2 = 0 then p_brand end) as title, case when p_partkey % 2 = 0 then p_type end as project from part")
+def merged_metadata(spark, sf_dir):
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    new = part.select(k.cast("string").alias("document_id"), F.when(k % 3 == 0, F.col("p_name")).alias("title"), F.lit(None).cast("string").alias("project"))
+    old = part.where("p_partkey % 2 = 0").select(k.cast("string").alias("document_id"), F.col("p_brand").alias("title"), F.col("p_type").alias("project"))
+    return lifecycle.merged_metadata(new, old, "document_id", ["title", "project"])
+
+
+@query("select l_orderkey, l_linenumber::bigint as line, l_quantity <= 25 * 1.1::double as passed from lineitem")
+def quality_gates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").cast("double").alias("measured"), F.lit(25.0).alias("target"), F.lit(0.1).alias("allowance"))
+    return lifecycle.gate_matrix(rows).select("l_orderkey", "line", "passed")
+
+
+@query(with_views("docs") + f"\nselect 'clm_' || sha256('decision:' || {ADR}) as id, {ADR} as title, 'adr/adr-' || doc_id || '.md' as source_path from docs where {ADR} <> ''")
+def decision_index(spark, sf_dir):
+    docs = views.documents(spark, sf_dir).withColumn("source_path", F.concat(F.lit("adr/adr-"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return claims.decision_index(claims.decision_claims(docs).unionByName(claims.log_claims(docs)))
+
+
+@query("select p_partkey::varchar as source_path, unnest(case p_partkey % 3 when 0 then ['python', 'postgresql'] when 1 then ['docker'] else []::varchar[] end) as technology from part")
+def known_technologies(spark, sf_dir):
+    k = F.col("p_partkey")
+    body = F.when(k % 3 == 0, F.lit("Python talks to PostgreSQL; pythonic is no word of it.")).when(k % 3 == 1, F.lit("runs in docker, dockerised")).otherwise(F.lit("nothing here"))
+    found = markdown.known_technologies(table(spark, sf_dir, "part").select(k.cast("string").alias("source_path"), body.alias("text")))
+    return found.select("source_path", F.substring_index("canonical_key", ":", -1).alias("technology"))
+
+
+@query("select distinct event_type || ':' || user_id as source_hash from events")
+def streamed_sources(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    source = incremental.stream_of(spark, f"{sf_dir}/events.parquet", rows.schema)
+    keyed = source.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("source_hash"), F.col("ts").cast("timestamp").alias("ts"))
+    return incremental.run_once(incremental.new_sources(keyed)).select("source_hash")
+
+
+@query("select user_id::varchar as document_id, string_agg(distinct event_type, ',' order by event_type) as hash_history from events group by user_id")
+def streamed_histories(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    source = incremental.stream_of(spark, f"{sf_dir}/events.parquet", rows.schema)
+    keyed = source.select(F.col("user_id").cast("string").alias("document_id"), F.col("event_type").alias("source_hash"))
+    changes = incremental.run_once(incremental.hash_histories(keyed), "update")
+    last = changes.groupBy("document_id").agg(F.max_by("hash_history", F.size("hash_history")).alias("h"))
+    return last.select("document_id", F.array_join("h", ",").alias("hash_history"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

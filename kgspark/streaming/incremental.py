@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY = "document_id string, source_hash string, hash_history array<string>"
@@ -32,19 +35,40 @@ def hash_histories(stream: DataFrame) -> DataFrame:
     """The sorted hashes seen of every document, kept in state; a row for each change."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
+        seen = set(state.get[0]) if state.exists else set()
         last = None
         for frame in frames:
-            for value in frame["source_hash"]:
-                last = value
-                if value not in seen:
-                    seen.append(value)
+            seen.update(frame["source_hash"])
+            last = frame["source_hash"].iloc[-1] if len(frame) else last
         state.update((sorted(seen),))
         yield pd.DataFrame({"document_id": [key[0]], "source_hash": [last], "hash_history": [sorted(seen)]})
 
     return stream.groupBy("document_id").applyInPandasWithState(update, HISTORY, "hashes array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
+def stream_of(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream over the files at a path, which may be one file or a folder."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    # A file source reads folders and patterns; the pattern names the one file, or the folder's files.
+    single = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = single.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(single).isFile()
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]" if single else path)
+
+
+def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what is there now, as a table in the shared folder."""
+    spark = stream.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
+    path = f"{folder}/stream-{uuid.uuid4().hex}"
+
+    def append(batch: DataFrame, number: int) -> None:
+        # The batch's number names its folder, so a retried batch replaces itself.
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(append).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+
+
 def ingest(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts an incremental ingest: every micro-batch goes to ``upsert`` with its number, which makes retries harmless."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert).trigger(availableNow=True).start()
