@@ -11,7 +11,7 @@ Viterbi passes over all distinct chunks of a batch.
 
 The vocabulary is a public one with byte fallback and is never trained; its
 pieces are ranked, and a piece of rank r has the log probability -log(r + 2) up
-to a constant. Characters without a piece become their UTF-8 bytes.
+to a constant, on a grid of 2^-20. Characters without a piece become their UTF-8 bytes.
 
 Defined results: null and empty texts have no pieces and the one score 0; a text
 with a single segmentation has one score; equal scores keep the longer last
@@ -22,11 +22,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 
 from .common import record_batches, text_or_empty
@@ -35,9 +37,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN_LOSS = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 SPACE_MARK = "▁"
-CHUNK = re.compile(r"\n| *[^ \n]+| +")
-MEMO = 150_000
+#: Chunks: a line end, letters, digits or other characters, each with the spaces before it, or spaces alone.
+CHUNK = re.compile(r"\n| *[^\W\d_²]+| *\d{1,3}| *(?:[^\w \n]|[_²])+| +")
+#: Bytes of remembered chunks; one costs about 300 bytes beside its text and ids.
+MEMO_BYTES = 48 << 20
+MEMO_SEARCHES = 20_000
 VECTOR_CHARS = 64
+GRID = 2.0**-20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,16 +59,25 @@ class Pieces:
         byte_of = {v: k for k, v in self.bytes.items()}
         self.raw = [bytes([byte_of[k]]) if k in byte_of else p.encode("utf-8", "surrogatepass") for k, p in enumerate(self.pieces)]
         usual = [k for k in range(len(self.pieces)) if not (tool.is_byte(k) or tool.is_control(k) or tool.is_unknown(k) or tool.is_unused(k))]
-        if any(re.search(r"[^ ] |\n", self.pieces[k]) for k in usual):
+        if any(CHUNK.fullmatch(self.pieces[k]) is None or "\0" in self.pieces[k] for k in usual):
             raise ValueError("a piece reaches across a chunk's end")
         self.ids = {self.pieces[k]: k for k in usual}
-        self.scores = {self.pieces[k]: -float(np.log(r + 2)) for r, k in enumerate(usual)}
+        # Multiples of GRID add up without rounding, so equal totals are equal in every order of addition.
+        self.scores = {self.pieces[k]: -round(float(np.log(r + 2)) / GRID) * GRID for r, k in enumerate(usual)}
         self.unknown = min(self.scores.values()) - UNKNOWN_LOSS
         self.longest = max(map(len, self.ids))
         self.powers = np.array([pow(int(_PRIME), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         self._table()
-        self.memo: dict[str, tuple[bytes, float, float]] = {}
+        self.forget()
         self.searched: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.last: tuple[str, tuple[np.ndarray, ...]] = ("", ())
+
+    def forget(self) -> None:
+        """Empties the memory of solved chunks: their numbers, ids, scores and losses."""
+        self.memo: dict[str, int] = {}
+        self.solved: list[bytes] = []
+        self.gains, self.losses = array("d"), array("d")
+        self.used = 0
 
     # ------------------------------------------------------------ hash table
 
@@ -100,22 +115,74 @@ class Pieces:
 
     # ------------------------------------------------------------ one chunk
 
-    def edges(self, chunk: str, end: int) -> list[tuple[int, float, int]]:
-        """(start, score, id or -1) of the edges that end at a place of a chunk, longest first."""
-        out = []
-        for start in range(max(0, end - self.longest), end):
-            piece = chunk[start:end]
-            if piece in self.ids:
-                out.append((start, self.scores[piece], self.ids[piece]))
-        if not out or out[-1][0] != end - 1:
-            out.append((end - 1, self.unknown, -1))
-        return out
-
-    def forward(self, chunk: str) -> list[float]:
-        """The Viterbi score of every prefix."""
+    def edges(self, chunk: str) -> tuple[Callable[[int], list[tuple[int, float, int]]], list[float]]:
+        """The edges (start, score, id or -1) into every place of a short chunk, longest first, and forward scores."""
+        into: list[list[tuple[int, float, int]]] = [[]]
         best = [0.0]
         for end in range(1, len(chunk) + 1):
-            best.append(max(best[start] + score for start, score, _ in self.edges(chunk, end)))
+            own = [(start, self.scores[piece], self.ids[piece]) for start in range(max(0, end - self.longest), end) if (piece := chunk[start:end]) in self.ids]
+            if not own or own[-1][0] != end - 1:
+                own.append((end - 1, self.unknown, -1))
+            into.append(own)
+            best.append(max(best[start] + score for start, score, _ in own))
+        return into.__getitem__, best
+
+    def long_edges(self, chunk: str) -> tuple[Callable[[int], list[tuple[int, float, int]]], np.ndarray]:
+        """``edges`` of a chunk of any length."""
+        first, start, score, number = self.lattice(chunk)
+
+        def into(end: int) -> list[tuple[int, float, int]]:
+            own = slice(first[end], first[end + 1])
+            return list(zip(start[own].tolist(), score[own].tolist(), number[own].tolist(), strict=True))
+
+        return into, self.forward(chunk)
+
+    def lattice(self, chunk: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, start, score, id or -1) of the edges of a chunk.
+
+        The edges that end at place e are those from ``first[e]`` to
+        ``first[e + 1]``, longest first. The last long chunk's are remembered.
+        """
+        if self.last[0] == chunk:
+            return self.last[1]
+        points = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
+        hashes = np.zeros(len(points) + 1, np.uint64)
+        starts, ends, ids = [], [], []
+        for k in range(1, min(self.longest, len(points)) + 1):
+            hashes = hashes[:-1] * _PRIME + points[k - 1 :] + np.uint64(1)
+            found = self.lookup(hashes)
+            hit = np.arange(len(found)) if k == 1 else np.flatnonzero(found >= 0)
+            starts.append(hit.astype(np.int32))
+            ends.append((hit + k).astype(np.int32))
+            ids.append(found[hit])
+        start, end, number = map(np.concatenate, (starts, ends, ids))
+        order = np.lexsort((start, end))
+        start, number = start[order], number[order]
+        score = np.where(number < 0, self.unknown, self.value[number])
+        first = np.searchsorted(end[order], np.arange(len(points) + 2))
+        self.last = chunk, (first, start, score, number)
+        return self.last[1]
+
+    def forward(self, chunk: str) -> np.ndarray:
+        """The Viterbi score of every prefix."""
+        first, start, score, _ = self.lattice(chunk)
+        best = np.zeros(len(chunk) + 1)
+        for low in range(1, len(chunk) + 1, 1 << 15):
+            high = min(len(chunk) + 1, low + (1 << 15))
+            bounds = first[low : high + 1].tolist()
+            origin, gain = start[bounds[0] : bounds[-1]].tolist(), score[bounds[0] : bounds[-1]].tolist()
+            base = max(0, low - self.longest)
+            own = best[base:low].tolist()
+            at = 0
+            for b in bounds[1:]:
+                top = -np.inf
+                while at < b - bounds[0]:
+                    total = own[origin[at] - base] + gain[at]
+                    if total > top:
+                        top = total
+                    at += 1
+                own.append(top)
+            best[low:high] = own[low - base :]
         return best
 
     def expand(self, chunk: str, path: list[tuple[int, int, int]]) -> tuple[int, ...]:
@@ -126,26 +193,36 @@ class Pieces:
         return tuple(out)
 
     def search(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations of a chunk, best first: backward A* with forward scores."""
+        """The ``n`` best segmentations of a chunk, best first: backward A* with forward scores.
+
+        Of equal totals the one nearest to the chunk's begin leaves the queue
+        first, so ties run straight to the end; a place that was left ``n``
+        times is not left again, as no further path through it can be among
+        the ``n`` best. Work is at most ``n`` times the lattice.
+        """
         found = self.searched.get((chunk, n))
         if found is not None:
             return found
-        ahead = self.forward(chunk)
-        queue = [(-ahead[-1], 0, len(chunk), 0.0, None)]
-        out, count = [], 0
+        edges, ahead = self.edges(chunk) if len(chunk) <= VECTOR_CHARS else self.long_edges(chunk)
+        queue = [(-float(ahead[-1]), len(chunk), 0, 0.0, None)]
+        out, count, left = [], 0, {}
         while queue and len(out) < n:
-            _, _, place, behind, path = heapq.heappop(queue)
+            _, place, _, behind, path = heapq.heappop(queue)
             if place == 0:
-                edges = []
+                chain = []
                 while path is not None:
-                    edges.append(path[0])
+                    chain.append(path[0])
                     path = path[1]
-                out.append((behind, self.expand(chunk, edges)))
+                out.append((behind, self.expand(chunk, chain)))
+                continue
+            times = left.get(place, 0)
+            if times == n:
                 continue
-            for start, score, number in self.edges(chunk, place):
+            left[place] = times + 1
+            for start, score, number in edges(place):
                 count += 1
-                heapq.heappush(queue, (-(behind + score + ahead[start]), count, start, behind + score, ((start, place, number), path)))
-        if len(self.searched) >= MEMO // 8:
+                heapq.heappush(queue, (-(behind + score + ahead[start]), start, count, behind + score, ((start, place, number), path)))
+        if len(self.searched) >= MEMO_SEARCHES:
             self.searched.clear()
         if len(chunk) <= VECTOR_CHARS:
             self.searched[chunk, n] = out
@@ -156,67 +233,68 @@ class Pieces:
     def solve(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
         """(ids, score, loss of the second-best path) of every chunk; the loss is inf where there is one path."""
         out: list = [None] * len(chunks)
-        order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
         groups: dict[int, list[int]] = {}
-        for k in order:
-            size = len(chunks[k])
+        for k, chunk in enumerate(chunks):
+            size = len(chunk)
             if size > VECTOR_CHARS:
-                two = self.search(chunks[k], 2)
+                two = self.search(chunk, 2)
                 out[k] = (np.array(two[0][1], np.int32).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf)
             else:
-                groups.setdefault(size, []).append(k)
+                groups.setdefault(-(-size // 4) * 4 if size <= 24 else VECTOR_CHARS, []).append(k)
         for size, members in groups.items():
-            for low in range(0, len(members), 20_000):
-                part = members[low : low + 20_000]
+            step = max(1, 200_000 // size)
+            for low in range(0, len(members), step):
+                part = members[low : low + step]
                 for k, row in zip(part, self._solve([chunks[k] for k in part], size), strict=True):
                     out[k] = row
         return out
 
     def _solve(self, chunks: list[str], size: int) -> list[tuple[bytes, float, float]]:
-        """``solve`` for chunks of one length, all at once."""
+        """``solve`` for chunks of at most ``size`` characters, all at once; U+0000, which no piece has, fills them up."""
         n = len(chunks)
-        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
-        prefix = np.zeros((n, size + 1), np.uint64)
+        sizes = np.fromiter(map(len, chunks), np.int64, n)
+        # Places come first, so that a place's values of all chunks lie together.
+        points = np.frombuffer("".join([c.ljust(size, "\0") for c in chunks]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+        prefix = np.zeros((size + 1, n), np.uint64)
         for k in range(size):
-            prefix[:, k + 1] = prefix[:, k] * _PRIME + points[:, k] + np.uint64(1)
+            prefix[k + 1] = prefix[k] * _PRIME + points[k]
         longest = min(self.longest, size)
-        ids = np.full((longest + 1, n, size), -1, np.int32)  # by length, chunk and start
+        ids = np.full((size, longest, n), -1, np.int32)  # by start, length - 1 and chunk
         for k in range(1, longest + 1):
-            ids[k, :, : size - k + 1] = self.lookup(prefix[:, k:] - prefix[:, :-k] * self.powers[k])
+            ids[: size - k + 1, k - 1] = self.lookup(prefix[k:] - prefix[:-k] * self.powers[k])
         score = self.value[ids]
-        lone = ids[1] < 0
-        score[1][lone] = self.unknown
-        ahead = np.full((n, size + 1), -np.inf)
-        ahead[:, 0] = 0
-        last = np.zeros((n, size + 1), np.int64)
-        behind = np.full((n, size + 1), -np.inf)
-        behind[:, size] = 0
+        lone = (ids[:, 0] < 0) & (np.arange(size)[:, None] < sizes)
+        score[:, 0][lone] = self.unknown
+        ahead, behind = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        ahead[0], behind[sizes, np.arange(n)] = 0, 0
+        last = np.zeros((size + 1, n), np.int64)
+        rows = np.arange(n)
+        by_start, by_length, by_chunk = score.strides
         for end in range(1, size + 1):
-            for k in range(min(longest, end), 0, -1):
-                total = ahead[:, end - k] + score[k, :, end - k]
-                better = total > ahead[:, end]
-                ahead[better, end] = total[better]
-                last[better, end] = k
+            most = min(longest, end)
+            # The edges into a place, longest first, so that of equal totals the longest wins.
+            into = as_strided(score[end - most :, most - 1 :], (most, n), (by_start - by_length, by_chunk))
+            total = ahead[end - most : end] + into
+            pick = total.argmax(0)
+            ahead[end], last[end] = total[pick, rows], most - pick
             start = size - end
-            for k in range(1, min(longest, end) + 1):
-                behind[:, start] = np.maximum(behind[:, start], score[k, :, start] + behind[:, start + k])
-        rows = np.arange(n)
-        chosen = np.zeros((n, size), np.int64)
-        place = np.full(n, size)
+            np.maximum(behind[start], (score[start, :most] + behind[start + 1 : start + most + 1]).max(0), out=behind[start])
+        chosen = np.zeros((size, n), np.int64)
+        place = sizes.copy()
         while (live := place > 0).any():
             r = rows[live]
-            length = last[r, place[live]]
+            length = last[place[live], r]
             place[live] -= length
-            chosen[r, place[live]] = length
+            chosen[place[live], r] = length
         second = np.full(n, -np.inf)
         for k in range(1, longest + 1):
-            through = ahead[:, : size - k + 1] + score[k, :, : size - k + 1] + behind[:, k:]
-            through[chosen[:, : size - k + 1] == k] = -np.inf
-            second = np.maximum(second, through.max(1))
-        best = ahead[:, size]
+            through = ahead[: size - k + 1] + score[: size - k + 1, k - 1] + behind[k:]
+            through[chosen[: size - k + 1] == k] = -np.inf
+            second = np.maximum(second, through.max(0))
+        best = ahead[sizes, rows]
         loss = np.where(np.isinf(second), np.inf, np.maximum(best - second, 0))
-        where, start = np.nonzero(chosen)
-        number = ids[chosen[where, start], where, start]
+        where, start = np.nonzero(chosen.T)
+        number = ids[start, chosen[start, where] - 1, where]
         if (number >= 0).all():
             edges = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=n))]) * 4
             raw = number.astype(np.int32).tobytes()
@@ -237,10 +315,16 @@ class Pieces:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Solves the chunks that the memory lacks."""
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
+        if self.used > MEMO_BYTES:
+            self.forget()
         new = list({c for text in texts for c in text if c not in self.memo})
-        self.memo.update(zip(new, self.solve(new), strict=True))
+        if new:
+            ids, scores, losses = zip(*self.solve(new), strict=True)
+            self.memo.update(zip(new, range(len(self.solved), len(self.solved) + len(new)), strict=True))
+            self.solved.extend(ids)
+            self.gains.extend(scores)
+            self.losses.extend(losses)
+            self.used += 300 * len(new) + sum(map(len, new)) + sum(map(len, ids))
 
     def encode(self, chunks: list[str], n: int) -> tuple[bytes, list[float], list[str]]:
         """Ids of the best segmentation, scores of the N best, and what each of the others changes.
@@ -249,10 +333,10 @@ class Pieces:
         """
         if not chunks:
             return b"", [0.0], []
-        memo = self.memo
-        solved = [memo[c] for c in chunks]
-        loss = np.array([s[2] for s in solved])
-        score = float(np.array([s[1] for s in solved]).sum())
+        numbers = list(map(self.memo.__getitem__, chunks))
+        spots = np.array(numbers)
+        loss = np.frombuffer(self.losses)[spots]
+        score = float(np.frombuffer(self.gains)[spots].sum())
         few = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 else self._least(loss, n - 1)
         few = [int(k) for k in few if np.isfinite(loss[k])]
         options = [self.search(chunks[k], n) for k in few]
@@ -269,7 +353,7 @@ class Pieces:
                     if following not in seen:
                         seen.add(following)
                         heapq.heappush(queue, (sum(options[i][0][0] - options[i][q][0] for i, q in enumerate(following)), following))
-        return b"".join([s[0] for s in solved]), scores, changes
+        return b"".join(map(self.solved.__getitem__, numbers)), scores, changes
 
     @staticmethod
     def _least(loss: np.ndarray, n: int) -> np.ndarray:
