@@ -6,13 +6,16 @@ logistic of the calibrated difference of the two log densities, computed from
 Mahalanobis distances with Cholesky factors that are inverted once at fitting.
 
 Defined results: null and empty texts have the statistics of no words and get a
-score like any other; repeated rows get equal scores; without labels of both
-classes the model is the neutral one, whose score is 0.5 for every text.
+score like any other; repeated rows get equal scores; an id with clashing labels
+has the greater one, and of a labelled id that many documents have, the one with
+the least statistics is read; without labels of both classes the model is the
+neutral one, whose score is 0.5 for every text; an empty table has no scores.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,30 +34,44 @@ SMOOTHING = 12.0
 WORDS = re.compile(WORD)
 
 # Classes of characters, as code points.
-_UPPER, _LETTER, _DIGIT, _STOP, _SYMBOL, _OTHER = 1, 2, 3, 4, 5, 6
+_UPPER, _LETTER, _DIGIT, _STOP, _SYMBOL = 1, 2, 3, 4, 5
 
 
-def _table() -> np.ndarray:
-    kinds = np.full(0x3000, _OTHER, np.uint8)
-    for c in range(0x3000):
-        x = chr(c)
-        if x.isupper():
-            kinds[c] = _UPPER
-        elif x.isalpha():
-            kinds[c] = _LETTER
-        elif x.isdigit():
-            kinds[c] = _DIGIT
-        elif x in ".,;:'\"-()?":
-            kinds[c] = _STOP
-        elif c > 32 and not x.isspace():
-            kinds[c] = _SYMBOL
-        else:
-            kinds[c] = 0
-    return kinds
+def _kind(c: int) -> int:
+    x = chr(c)
+    if x.isupper():
+        return _UPPER
+    if x.isalpha():
+        return _LETTER
+    if x.isdigit():
+        return _DIGIT
+    if x in ".,;:'\"-()?":
+        return _STOP
+    return _SYMBOL if c > 32 and not x.isspace() else 0
 
 
-_KINDS = _table()
-FEATURES = ("words", "word_length", "length_spread", "upper", "digits", "stops", "symbols", "other", "distinct", "top_word", "runs", "line_length", "lines_repeated", "short_words", "sentence_length", "capital_words", "bigrams_repeated")
+class _Kinds:
+    """The class of every code point, worked out for 256 neighbours when one of them is first seen."""
+
+    def __init__(self):
+        self.table = np.zeros(0x110000, np.uint8)
+        self.known = np.zeros(0x1100, bool)
+        self.learn(range(0x30))
+
+    def learn(self, rows) -> None:
+        for row in rows:
+            self.table[row << 8 : (row + 1) << 8] = [_kind(c) for c in range(row << 8, (row + 1) << 8)]
+            self.known[row] = True
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        if len(points) and points.max() >= 0x3000:
+            rows = np.unique(points >> 8)
+            self.learn(rows[~self.known[rows]].tolist())
+        return self.table[points]
+
+
+_KINDS = _Kinds()
+FEATURES = ("words", "word_length", "length_spread", "upper", "digits", "stops", "symbols", "distinct", "top_word", "runs", "line_length", "lines_repeated", "short_words", "sentence_length", "capital_words", "bigrams_repeated")
 
 
 def statistics(text: str | None) -> list[float]:
@@ -65,7 +82,7 @@ def statistics(text: str | None) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = np.bincount(_KINDS[np.minimum(points, 0x2FFF)], minlength=7)
+    kinds = np.bincount(_KINDS.of(points), minlength=6)
     chars = max(1, int(kinds[1:].sum()))
     rate = lambda k: float(np.log(k / chars + 1e-3))
     sizes = np.fromiter(map(len, words), np.int64, n)
@@ -81,7 +98,6 @@ def statistics(text: str | None) -> list[float]:
         rate(kinds[_DIGIT]),
         rate(kinds[_STOP]),
         rate(kinds[_SYMBOL]),
-        rate(kinds[_OTHER]),
         float(np.log(len(seen)) / max(1.0, np.log(n + 1))),
         float(np.log(max(seen.values()) / n + 1e-2)),
         float(np.log(runs / n + 1e-3)),
@@ -127,10 +143,23 @@ _N = len(FEATURES) - 1
 NEUTRAL = Model(np.zeros(_N), np.zeros(_N), np.ones(_N), (np.zeros(_N),) * 2, (np.eye(_N),) * 2, (0.0, 0.0), 0.0, 0.0)
 
 
+def held_part(y: np.ndarray, least: int = 20) -> np.ndarray:
+    """Every fifth row, for calibration; all rows where that leaves a class with fewer than ``least``."""
+    held = np.arange(len(y)) % 5 == 4
+    return held if min((y[held] == 0).sum(), (y[held] == 1).sum()) >= least else np.ones(len(y), bool)
+
+
 def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE) -> Model:
-    """Class Gaussians by shrinkage, then a logistic calibration of their margin on the same rows."""
+    """Class Gaussians by shrinkage, then a logistic calibration of their margin on rows held out of them."""
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return NEUTRAL
+    held = held_part(y)
+    if held.all():
+        return _fit(x, y, x, y, shrinkage)
+    return _fit(x[~held], y[~held], x[held], y[held], shrinkage)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, x_held: np.ndarray, y_held: np.ndarray, shrinkage: float) -> Model:
     usual = np.median(x[y == 1], axis=0)[1:]
     own = smoothed(x, usual)
     centre, scale = own.mean(0), own.std(0) + 1e-6
@@ -145,6 +174,7 @@ def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE) -> Model:
         factors.append(np.linalg.inv(factor))
         dets.append(float(np.log(np.diag(factor)).sum()))
     raw = Model(usual, centre, scale, tuple(means), tuple(factors), tuple(dets), 1.0, 0.0)
+    x, y = x_held, y_held
     m = np.clip(raw.margins(x), -60, 60)
     a, b = 0.1, float(np.log((y == 1).sum() / (y == 0).sum()))
     for _ in range(50):  # Newton steps of a logistic regression on the margin
@@ -164,18 +194,23 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
-    """(doc_id, text, label_) of at most ``rows`` labelled documents, chosen by the hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, each: bool = False) -> DataFrame:
+    """(doc_id, text, label_) of at most ``rows`` labelled doc_ids (``each``: of each class), chosen by their hash.
 
-    Only the ids are sorted; the texts of the chosen ids are then looked up.
+    Only the ids are sorted; the texts of the chosen ids are then looked up in
+    one scan. An id with clashing labels has the greater one. A doc_id that
+    occurs in several documents gives several rows here: callers reduce them to
+    one before anything reaches the driver.
     """
-    chosen = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label_"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` pairs of numbers
+    known = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label_"))
+    parts = [known.where(F.col("label_") == c) for c in (0, 1)] if each else [known]
+    chosen = [p.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for p in parts]
+    ids = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * `rows` pairs of numbers
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """The model from at most ``rows`` labelled rows outside the held-out fold."""
+    """The model from at most ``rows`` labelled doc_ids outside the held-out fold, one document of each."""
     sample = labelled_sample(docs, labels, "quality", fold(3) != 1, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +219,11 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    found = sorted(sample.select("doc_id", "text", F.col("label_").cast("int")).mapInArrow(run, f"doc_id {ids}, y int, x array<double>").collect())
+    measured = sample.select("doc_id", "text", F.col("label_").cast("int")).mapInArrow(run, f"doc_id {ids}, y int, x array<double>")
+    found = measured.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).collect()
     if not found:
         return NEUTRAL
+    found.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     return fit(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]))
 
 
