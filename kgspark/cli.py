@@ -6,168 +6,74 @@ Exit codes: 1 general, 3 secrets left, 4 encryption required, 5 rule pack.
 from __future__ import annotations
 
 import argparse
-import hashlib
 import json
+import os
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import config as configuration
-from . import jobs
-from .operators import chunking, claims, exports, graph, indexes, lifecycle, markdown, provenance, redaction
+from . import jobs, stages
+from .operators import chunking, exports, graph, indexes, lifecycle, provenance, redaction
 from .plans import predicates
 from .session import session
-from .sources import connection, files, history
+from .sources import connection
+from .stages import Store
 
+#: Rows that a command prints; more is told, and left to exports.
+MOST = 10_000
 
-class Store:
-    """Record tables below a folder, one Parquet table for each kind."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+def _rows(df: DataFrame, most: int = MOST) -> list[dict]:
+    """At most ``most`` rows, each as a mapping."""
+    return [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).limit(most).collect()]
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def has(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def write(self, name: str, df: DataFrame, partition: str | None = None) -> None:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.root}/{name}")
-
-
-def _rows(df: DataFrame) -> list[dict]:
-    return [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()]
-
-
-def ingest(store: Store, source: str, conf: configuration.Config, key: bytes) -> dict:
-    """Files to documents, segments and chunks, secrets replaced first."""
-    found = files.with_parse_status(files.scan(store.spark, source, conf.profile.get("exclude_globs")))
-    docs = redaction.redacted(files.texts(found).where("text <> ''"), key, conf.section("redaction")["detectors"])
-    store.write("documents", docs)
-    docs = store.table("documents")
-    size = conf.section("chunking")
-    segments = chunking.segments(docs)
-    store.write("segments", segments)
-    store.write("chunks", chunking.with_ranges(chunking.chunks(docs, size["tokens"], size["overlap"]), segments))
-    store.write("ingest_records", found.select("source_path", F.sha2("content", 256).alias("source_hash"), "length", "parse_status", "status_reason", "skip_reason"))
-    return lifecycle.ingest_counts(store.table("ingest_records")).first().asDict()
-
-
-def extract(store: Store) -> dict:
-    """Notes, markdown records and claims from documents."""
-    docs = store.table("documents")
-    prose = docs.where(F.lower("source_path").rlike(r"\.(md|markdown)$"))
-    notes, tokens = claims.notes(prose), markdown.token_rows(prose)
-    sections, techs = markdown.sections(tokens), markdown.technologies(tokens)
-    refs = markdown.references(tokens, docs.select("source_path", "document_id"))
-    columns = ["id", "type", "name", "canonical_key", "source_path", "source_hash"]
-    every = notes.select(columns)
-    for part in (sections.withColumnRenamed("slug_path", "canonical_key"), techs, refs.withColumnRenamed("target", "canonical_key")):
-        every = every.unionByName(part.select(columns))
-    store.write("entities", every)
-    store.write("markdown_links", markdown.markdown_links(sections, techs, refs, markdown.owners(tokens, sections, notes), notes, tokens))
-    store.write("claims", claims.decision_claims(docs).unionByName(claims.log_claims(docs)))
-    return {"entities": store.table("entities").count(), "claims": store.table("claims").count()}
-
-
-def link(store: Store) -> dict:
-    """Markdown and co-occurrence links in one table."""
-    columns = ["id", "from_id", "to_id", "type", "rule_id"]
-    rows = graph.cooccurrence(store.table("entities")).select(*columns, "confidence", "authority")
-    rows = rows.unionByName(store.table("markdown_links").select(*columns, F.lit(1.0).alias("confidence"), F.lit("authoritative").alias("authority")))
-    store.write("links", rows)
-    return {"links": store.table("links").count()}
-
-
-def index(store: Store) -> dict:
-    """Keyword and adjacency indexes."""
-    store.write("keyword_index", indexes.keyword_index(store.table("entities")))
-    store.write("adjacency", indexes.adjacency(store.table("links")))
-    return {"terms": store.table("keyword_index").select("term").distinct().count()}
-
-
-def git(store: Store, repo: str, conf: configuration.Config) -> dict:
-    """A repository's history as commit tables, entities and links."""
-    store.spark.dataSource.register(history.GitHistory)
-    for name in history.SCHEMAS:
-        store.write(f"git_{name}", store.spark.read.format("git_history").option("repo", repo).option("table", name).load())
-    c, f, t, b = (store.table(f"git_{n}") for n in ("commits", "commit_files", "tags", "branches"))
-    own = conf.profile.get("git_provenance") or {}
-    kept = provenance.select_commits(c, f, t, b, own.get("max_tier2_commits", 1000), own.get("hot_paths"), own.get("cold_paths"))
-    store.write("git_entities", provenance.commit_nodes(c, kept, repo))
-    store.write("git_links", provenance.git_links(c.join(kept.select("sha"), "sha", "left_semi"), f, t, b, repo))
-    return {"commits": store.table("git_entities").count(), "links": store.table("git_links").count()}
-
-
-def record_run(store: Store, conf: configuration.Config, out: dict) -> str:
-    """Appends the run's stage rows to the table of runs, each stage's input being the one before; the run's id."""
-    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-    inputs = lifecycle.inputs_hash(store.table("ingest_records")).first()[0]
-    config_hash = sha(conf.snapshot())
-    run_id, rows = "run_" + sha(inputs + config_hash), []
-    for stage in ("ingest", "extract", "link", "index"):
-        outputs = sha(lifecycle.canonical_json({"stage": stage, "inputs": inputs, "counts": out[stage]}))
-        rows.append((run_id, stage, inputs, config_hash, outputs, "ok", conf.snapshot()))
-        inputs = outputs
-    schema = "run_id string, stage string, inputs_hash string, config_hash string, outputs_hash string, status string, config string"
-    store.spark.createDataFrame(rows, schema).withColumn("started_at", F.current_timestamp()).write.mode("append").parquet(f"{store.root}/runs")
-    return run_id
-
-
-def rebuild(store: Store, source: str, conf: configuration.Config, key: bytes) -> dict:
-    """All stages, the audit, and a row for each stage."""
-    configuration.check_rule_packs(conf)
-    out = {"ingest": ingest(store, source, conf, key), "extract": extract(store), "link": link(store), "index": index(store)}
-    counts = {"documents": out["ingest"]["n_ok"], "entities": out["extract"]["entities"], "links": out["link"]["links"], "index_terms": out["index"]["terms"]}
-    out["warnings"] = lifecycle.throughput_warnings(counts)
-    return out | {"run_id": record_run(store, conf, out), "postcondition": validate(store, conf.section("redaction")["detectors"])}
+def _told(name: str, df: DataFrame) -> dict:
+    """Rows under a name, and whether there are more of them."""
+    rows = _rows(df, MOST + 1)
+    return {name: rows[:MOST]} | ({"truncated": True} if len(rows) > MOST else {})
 
 
 def list_entities(store: Store, a: argparse.Namespace) -> dict:
-    rows = predicates.filtered(store.table("entities"), a.type or [], a.where or [])
+    rows = predicates.filtered(stages.all_entities(store), a.type or [], a.where or [])
     if a.group_by:
-        counts = {r["group"]: r["n"] for r in predicates.grouped(rows, a.group_by).collect()}
-        return {"groups": counts, "total": sum(counts.values())}
+        groups = _told("groups", predicates.grouped(rows, a.group_by).orderBy(F.col("n").desc(), "group"))
+        return groups | {"groups": {r["group"]: r["n"] for r in groups["groups"]}, "total": rows.count()}
     total = rows.count()
     if a.count_only:
         return {"count": total}
-    page = predicates.ranked(rows, predicates.sort_keys(rows, a.sort, a.desc), a.limit, a.offset)
-    return {"results": _rows(page.drop("rank")), "total": total, "truncated": predicates.truncated(total, a.limit, a.offset)}
+    limit = min(a.limit if a.limit is not None else MOST, MOST)
+    page = predicates.ranked(rows, predicates.sort_keys(rows, a.sort, a.desc), limit, a.offset)
+    return {"results": _rows(page.drop("rank")), "total": total, "truncated": predicates.truncated(total, limit, a.offset)}
 
 
 def search(store: Store, text: str, where: list[str], chunks: bool) -> dict:
-    hits = indexes.keyword_lookup(store.table("keyword_index"), text).join(predicates.filtered(store.table("entities"), where=where), "id")
-    out = {"results": _rows(indexes.ranked_hits(hits))}
+    hits = indexes.keyword_lookup(store.table("keyword_index"), text).join(predicates.filtered(stages.all_entities(store), where=where), "id")
+    out = _told("results", indexes.ranked_hits(hits))
     if chunks and not where:
-        out["chunks"] = _rows(chunking.substring_hits(store.table("chunks"), text).orderBy("document_id", F.col("order").cast("string")))
+        out |= _told("chunks", chunking.substring_hits(store.table("chunks"), text).orderBy("document_id", F.col("order").cast("string")))
     return out
 
 
-def validate(store: Store, names: list[str]) -> dict:
-    """Secrets left in any table of the store; raises where there are some."""
-    found = 0
-    for name, key in (("documents", "document_id"), ("segments", "segment_id"), ("chunks", "chunk_id"), ("entities", "id")):
-        if store.has(name):
-            found += redaction.misses(store.table(name), key, names).count()
-    if found:
-        raise redaction.PostconditionFailed(f"{found} unredacted fields")
-    return {"status": "pass", "misses": 0}
-
-
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kgspark")
     top.add_argument("--store", default=".kg")
     top.add_argument("--config")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("version", "init", "extract", "link", "index", "validate-store"):
+    for name in ("version", "init", "normalize", "extract", "link", "index"):
         sub.add_parser(name)
-    for name in ("ingest", "import", "rebuild", "git-provenance"):
+    for name in ("ingest", "rebuild", "run", "git-provenance"):
         sub.add_parser(name).add_argument("source")
+    i = sub.add_parser("import")
+    i.add_argument("source")
+    i.add_argument("--path", action="append", required=True, help="a file or folder below the source; may be repeated")
+    v = sub.add_parser("validate-store")
+    v.add_argument("--profile")
+    v.add_argument("--all-profiles", action="store_true")
+    v.add_argument("--format", choices=("json", "text"), default="json")
     again = sub.add_parser("replay")
     again.add_argument("run_id")
     again.add_argument("source")
@@ -215,34 +121,34 @@ def run(a: argparse.Namespace) -> dict:
     if a.command == "version":
         return {"version": "0.1.0"}
     if a.command == "init":
-        Path(a.store).mkdir(parents=True, exist_ok=True)
-        (Path(a.store) / "config.json").write_text(configuration.Config().snapshot())
-        return {"created": a.store}
+        return {"created": configuration.scaffold(a.store)}
     conf = configuration.load(a.config)
+    if getattr(a, "profile", None):
+        conf = configuration.Config({**conf.raw, "active_profile": configuration.profile_name(a.profile)})
     if a.command == "jobs" and a.verb == "list":
         return {"jobs": [x.name for x in jobs.load(a.file)]}
     if a.command == "sync-neo4j":
         made = connection.connection(require_tls=a.require_tls)
-        if not a.dry_run:
-            raise NotImplementedError("no database driver is installed; pass a client to operators.exports.sync")
-    store = Store(session(), a.store)
-    key = bytes.fromhex(_key(a.store))
+    store = stages.profile_store(session(), a.store, conf)
+    key = bytes.fromhex(_key(store.root))
     if a.command in ("ingest", "import"):
-        return ingest(store, a.source, conf, key)
-    if a.command == "rebuild":
-        return rebuild(store, a.source, conf, key)
+        return stages.ingest(store, a.source, conf, key, getattr(a, "path", None))
+    if a.command in ("rebuild", "run"):
+        return stages.rebuild(store, a.source, conf, key)
     if a.command == "replay":
         stored = store.table("runs").where(F.col("run_id") == a.run_id).orderBy(F.col("started_at").desc()).first()
         if stored is None:
             return {"status": "not_found", "run_id": a.run_id}
-        again = rebuild(store, a.source, configuration.Config(json.loads(stored["config"])), key)
+        again = stages.rebuild(store, a.source, configuration.Config(json.loads(stored["config"])), key)
         return again | {"same_run": again["run_id"] == a.run_id}
-    if a.command in ("extract", "link", "index"):
-        return {"extract": extract, "link": link, "index": index}[a.command](store)
+    if a.command == "extract":
+        return stages.extract(store, conf)
+    if a.command in ("normalize", "link", "index"):
+        return {"normalize": stages.normalize, "link": stages.link, "index": stages.index}[a.command](store)
     if a.command == "validate-store":
-        return validate(store, conf.section("redaction")["detectors"])
+        return stages.validate_profiles(store.spark, a.store, conf) if a.all_profiles else stages.validate(store, conf)
     if a.command == "git-provenance":
-        return git(store, a.source, conf)
+        return stages.git(store, a.source, conf)
     if a.command.startswith("git-"):
         c, f, t = (store.table(f"git_{n}") for n in ("commits", "commit_files", "tags"))
         answers = provenance.git_history(c, f, t, a.path)
@@ -253,26 +159,25 @@ def run(a: argparse.Namespace) -> dict:
     if a.command == "list":
         return list_entities(store, a)
     if a.command == "node":
-        found = _rows(exports.node_view(store.table("entities"), store.table("documents"), store.table("chunks").drop("source_path"), a.id))
+        found = _rows(exports.node_view(stages.all_entities(store), store.table("documents"), store.table("chunks"), a.id))
         return found[0] if found else {"status": "not_found", "id": a.id}
-    if a.command == "neighbors":
-        return {"neighbors": _rows(graph.neighbors(store.table("links"), a.id, a.depth, a.edge_type, a.min_confidence))}
-    if a.command == "why-connected":
-        return {"path": _rows(graph.why_connected(store.table("links"), a.source, a.target))}
+    if a.command in ("neighbors", "why-connected"):
+        # The stored adjacency is clustered by from_id; without it the links are read.
+        edges = store.table("adjacency") if store.has("adjacency") else indexes.adjacency(stages.all_links(store))
+        if a.command == "neighbors":
+            return _told("neighbors", graph.neighbors(edges, a.id, a.depth, a.edge_type, a.min_confidence))
+        return {"path": _rows(graph.why_connected(edges, a.source, a.target))}
     if a.command == "diff":
         old, new = (store.spark.read.parquet(f"{x}/ingest_records") for x in (a.old, a.new))
-        return {"changes": _rows(lifecycle.run_diff(old, new, "source_path"))}
-    if a.command in ("export", "sync-neo4j"):
-        nodes, links_ = exports.graph_nodes(store.table("entities")), graph.intact(store.table("links"), store.table("entities"))
-        if a.command == "sync-neo4j":
-            return exports.sync(nodes, links_) | {"uri": made.uri}
-        if a.format == "neo4j":
-            return exports.export_cypher(nodes, links_, a.output)
-        line = {"json": exports.json_line, "dot": exports.dot_line, "graphml": exports.graphml_line}[a.format]()
-        exports.write_lines(nodes, line, a.output)
-        return {"nodes": nodes.count()}
+        return _told("changes", lifecycle.run_diff(old, new, "source_path"))
+    if a.command == "sync-neo4j":
+        nodes, links = stages.graph_records(store)
+        connect = None if a.dry_run else connection.driver(made)
+        return exports.sync(redaction.redacted(nodes, key), links, connect, a.dry_run) | {"uri": made.uri} | ({"warning": made.warning} if made.warning else {})
+    if a.command == "export":
+        return stages.export(store, a.format, a.output, conf, key)
     job = {x.name: x for x in jobs.load(a.file)}[a.name]
-    return {"rows": _rows(jobs.run(job, store.table("runs")))}
+    return jobs.report(job, store.table("runs"), os.path.join(a.store, "exports"), lambda text: redaction.redact_value(text, key, redaction.chosen())[0])
 
 
 def _key(store: str) -> str:
@@ -290,8 +195,13 @@ def _key(store: str) -> str:
 def main(argv: list[str] | None = None) -> int:
     codes = ((redaction.PostconditionFailed, 3), (connection.TlsRequired, 4), (configuration.RulePackError, 5))
     try:
-        print(json.dumps(run(parser().parse_args(argv)), ensure_ascii=False))
-        return 0
+        a = parser().parse_args(argv)
+        out = run(a)
+        if getattr(a, "format", None) == "text":
+            print("No secrets left." if out["status"] == "pass" else "SECRETS LEFT: " + ", ".join(k for k, v in out["profiles"].items() if v["status"] == "fail"))
+        else:
+            print(json.dumps(out, ensure_ascii=False))
+        return 3 if out.get("status") == "fail" else 0
     except Exception as error:  # the command line reports every failure as one object
         print(json.dumps({"status": "error", "message": str(error)[:500]}))
         return next((code for kind, code in codes if isinstance(error, kind)), 1)

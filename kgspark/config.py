@@ -93,3 +93,27 @@ def check_rule_packs(config: Config, root: str | Path = ".") -> list[str]:
         if pack is not None and (not isinstance(pack, dict) or not isinstance(pack.get("rules", []), list)):
             raise RulePackError(f"{p} is no rule pack")
     return [str(p) for p in paths]
+
+
+SCAFFOLD = {
+    "config.json": lambda: Config().snapshot(),
+    "config/extractors/core.json": lambda: json.dumps({"rules": []}),
+    "config/link_rules/core.json": lambda: json.dumps({"rules": []}),
+}
+FOLDERS = ("exports/reports", "profiles")
+
+
+def scaffold(root: str | Path) -> list[str]:
+    """Makes a workspace's folders, configuration and empty rule packs; what is there already stays. The paths made."""
+    made = []
+    for name in FOLDERS:
+        if not (Path(root) / name).exists():
+            (Path(root) / name).mkdir(parents=True)
+            made.append(name)
+    for name, text in SCAFFOLD.items():
+        path = Path(root) / name
+        if not path.exists():
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text(), encoding="utf-8")
+            made.append(name)
+    return made

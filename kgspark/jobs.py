@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .config import ConfigError, read
 from .operators import lifecycle
@@ -52,9 +52,32 @@ def load(path: str) -> list[Job]:
     return parse(read(path))
 
 
+def output_path(job: Job, folder: str) -> str:
+    """Where a job's report goes: below ``folder``, which its own path may not leave."""
+    top = os.path.realpath(folder)
+    path = os.path.realpath(os.path.join(top, job.output or f"reports/{job.name}.md"))
+    if os.path.commonpath([top, path]) != top:
+        raise ConfigError(f"the output of job {job.name!r} leaves {folder}")
+    return path
+
+
 def run(job: Job, runs: DataFrame) -> DataFrame:
-    """The job's result, written to its output if it names one."""
-    out = ACTIONS[job.action](runs, job.args)
-    if job.output:
-        out.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(job.output)
-    return out
+    """The runs that a job reports."""
+    return ACTIONS[job.action](runs, job.args)
+
+
+def report(job: Job, runs: DataFrame, folder: str, redact: Callable[[str], str] = str) -> dict[str, Any]:
+    """The job's runs as a report in markdown below ``folder``; its path and how many runs it names.
+
+    A report has a line for each run, so it is written by the driver, line by line.
+    """
+    found = run(job, runs).select("run_id").distinct().orderBy("run_id")
+    path = output_path(job, folder)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    count = 0
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(redact(f"# Changes since {job.args.get('since', '24h')}") + "\n\n")
+        for row in found.toLocalIterator():
+            out.write(redact(f"- {row['run_id']}") + "\n")
+            count += 1
+    return {"job": job.name, "output": path, "runs": count}

@@ -48,8 +48,11 @@ def segments(docs: DataFrame, document: str = "document_id", text: str = "text")
 
 
 def with_ranges(chunk_rows: DataFrame, segment_rows: DataFrame) -> DataFrame:
-    """Chunks with the paragraph range and segment ids of their whole document."""
-    spans = segment_rows.groupBy("document_id").agg(F.min("order").alias("paragraph_start"), F.max("order").alias("paragraph_end"), F.transform(F.array_sort(F.collect_list(F.struct("order", "segment_id"))), lambda s: s["segment_id"]).alias("segment_ids"))
+    """Chunks with the page and paragraph ranges and the segment ids of their whole document; pages count from 1."""
+    page = F.when(F.col("type") == "page", F.col("order") + 1)
+    paragraph = F.when(F.col("type") == "paragraph", F.col("order"))
+    ranges = (F.min(page).alias("page_start"), F.max(page).alias("page_end"), F.min(paragraph).alias("paragraph_start"), F.max(paragraph).alias("paragraph_end"))
+    spans = segment_rows.groupBy("document_id").agg(*ranges, F.transform(F.array_sort(F.collect_list(F.struct("order", "segment_id"))), lambda s: s["segment_id"]).alias("segment_ids"))
     return chunk_rows.join(spans, "document_id", "left")
 
 

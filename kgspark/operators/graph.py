@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..storage import written
 
 # Entity types that never take part in source co-occurrence.
 NO_COOCCURRENCE = ("ag:section", "ag:technology", "ag:reference")
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    """A hop computed once: a table in the shared folder, or kept by Spark with its lineage where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/hop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def allowed_edges(links: DataFrame, edge_types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
     """Edges that a traversal may use; a missing confidence counts as 1."""
     edges = links.select("from_id", "to_id", "type", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "rule_id")
@@ -34,21 +22,29 @@ def allowed_edges(links: DataFrame, edge_types: list[str] | None = None, min_con
     return edges
 
 
+def clustered(links: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The edges written once, in order of ``from_id``: what a traversal of several hops should read."""
+    edges = allowed_edges(links)
+    ranged = edges.repartitionByRange(partitions, "from_id") if partitions else edges.repartitionByRange("from_id")
+    return written(ranged.sortWithinPartitions("from_id"))
+
+
 def neighbors(links: DataFrame, start: str, depth: int = 1, edge_types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
     """hop, from_id, to_id, type, confidence, rule_id of all out-edges within ``depth`` hops.
 
     A node is expanded once, at its least hop; edges back to seen nodes are kept.
-    Each hop is a semi join of the edges with the frontier.
+    Each hop is a semi join of the edges with the frontier; ``clustered`` edges
+    are computed once and let a hop skip the row groups without its nodes.
     """
     edges = allowed_edges(links, edge_types, min_confidence)
     frontier = links.sparkSession.createDataFrame([(start,)], "from_id string")
     seen, found = frontier, []
     for hop in range(1, depth + 1):
-        step = _durable(edges.join(frontier, "from_id", "left_semi").select(F.lit(hop).cast("long").alias("hop"), *edges.columns))
+        step = written(edges.join(frontier, "from_id", "left_semi").select(F.lit(hop).cast("long").alias("hop"), *edges.columns))
         found.append(step)
         if hop == depth:
             break
-        frontier = _durable(step.select(F.col("to_id").alias("from_id")).distinct().join(seen, "from_id", "left_anti"))
+        frontier = written(step.select(F.col("to_id").alias("from_id")).distinct().join(seen, "from_id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -21,6 +21,16 @@ def keyword_lookup(index: DataFrame, query: str) -> DataFrame:
     return index.where(F.col("term") == query.strip().lower()).select("id", F.lit(1.0).alias("score"))
 
 
+def entities_of_term(entities: DataFrame, query: str) -> DataFrame:
+    """Entities that one exact term leads to, with score 1, straight from their names: no index, no shuffle."""
+    term = query.strip().lower()
+    leads = lambda n: (F.trim(F.lower(n)) == term) | F.array_contains(index_tokens(n), term)
+    found = F.coalesce(leads(F.col("name")), F.lit(False))
+    if "aliases" in entities.columns:
+        found = found | F.coalesce(F.exists("aliases", leads), F.lit(False))
+    return entities.where(F.lit(term != "") & found).withColumn("score", F.lit(1.0))
+
+
 def type_index(records: DataFrame, kind: str = "type", key: str = "id") -> DataFrame:
     """(type, id), blank ones left out; clustered by type it is the partitioned scan."""
     return records.select(F.col(kind).alias("type"), F.col(key).alias("id")).where("type <> '' and id <> ''").distinct()

@@ -133,24 +133,31 @@ def lineage_links(renames: DataFrame) -> DataFrame:
     return rows.select(ids.link_id(RULES["succeeded_from"], F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id", F.lit("succeeded_from").alias("type"), F.lit(RULES["succeeded_from"]).alias("rule_id"), "confidence", F.lit("heuristic").alias("authority"), "detection_method", "commit_sha", "old_path", "new_path")
 
 
-def detect_renames(adds: DataFrame, deletes: DataFrame, similarity=None) -> DataFrame:
+def detect_renames(adds: DataFrame, deletes: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """Pairs of an added and a deleted file of one commit: same blob 1.0, similar 0.8, same base name elsewhere 0.6.
 
-    ``adds`` and ``deletes`` have commit_sha, path and blob_sha. ``similarity`` is
-    an optional column over (old_path, new_path) pairs, 0.7 or more counting.
+    ``adds`` and ``deletes`` have commit_sha, path and blob_sha; ``similar`` has
+    the pairs (commit_sha, old_path, new_path, score) that a comparison of
+    contents found, of which scores of 70 and more count. Each added file gets
+    its best pair, the first old path among equals. An added file meets only the
+    two first old paths of its blob or name, one of which is not its own, so no
+    commit is paired all with all.
     """
-    a = adds.select("commit_sha", F.col("path").alias("new_path"), F.col("blob_sha").alias("new_blob"))
-    d = deletes.select("commit_sha", F.col("path").alias("old_path"), F.col("blob_sha").alias("old_blob"))
     base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
-    pairs = a.join(d, "commit_sha").where("old_path <> new_path")
-    exact = F.col("new_blob") == F.col("old_blob")
-    alike = similarity >= 0.7 if similarity is not None else F.lit(False)
-    named = base("new_path") == base("old_path")
-    method = F.when(exact, F.lit("exact")).when(alike, F.lit("similarity")).when(named, F.lit("basename"))
-    score = F.when(exact, F.lit(1.0)).when(alike, F.lit(0.8)).when(named, F.lit(0.6))
-    rows = pairs.select("commit_sha", "old_path", "new_path", method.alias("detection_method"), score.alias("confidence")).where("confidence is not null")
-    best = Window.partitionBy("commit_sha", "new_path").orderBy(F.col("confidence").desc(), "old_path")
-    return rows.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    a = adds.select("commit_sha", F.col("path").alias("new_path"), F.col("blob_sha").alias("blob"), base("path").alias("name"))
+    d = deletes.select("commit_sha", F.col("path").alias("old_path"), F.col("blob_sha").alias("blob"), base("path").alias("name"))
+
+    def paired(key: str, method: str, confidence: float) -> DataFrame:
+        order = Window.partitionBy("commit_sha", key).orderBy("old_path")
+        first = d.select("commit_sha", key, "old_path").distinct().withColumn("k", F.row_number().over(order)).where("k <= 2")
+        met = a.select("commit_sha", key, "new_path").distinct().join(first, ["commit_sha", key]).where("old_path <> new_path")
+        return met.groupBy("commit_sha", "new_path").agg(F.min("old_path").alias("old_path")).select("commit_sha", "old_path", "new_path", F.lit(method).alias("detection_method"), F.lit(confidence).alias("confidence"))
+
+    rows = paired("blob", "exact", 1.0).unionByName(paired("name", "basename", 0.6))
+    if similar is not None:
+        rows = rows.unionByName(similar.where("score >= 70 and old_path <> new_path").select("commit_sha", "old_path", "new_path", F.lit("similarity").alias("detection_method"), F.lit(0.8).alias("confidence")))
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "old_path", "detection_method")).alias("b")
+    return rows.groupBy("commit_sha", "new_path").agg(best).select("commit_sha", F.col("b.old_path").alias("old_path"), "new_path", F.col("b.detection_method").alias("detection_method"), (-F.col("b.c")).alias("confidence"))
 
 
 def touching(commits: DataFrame, commit_files: DataFrame, path: str) -> DataFrame:

@@ -246,9 +246,7 @@ def keyword_index(spark, sf_dir):
 
 @query(with_views("entities") + TERMS + "\nselect id, 1.0::double as score, type, name from terms join entities using (id) where term = 'order'")
 def keyword_lookup(spark, sf_dir):
-    rows = views.entities(spark, sf_dir)
-    hits = indexes.keyword_lookup(indexes.keyword_index(rows), "Order")
-    return hits.join(rows.select("id", "type", "name"), "id")
+    return indexes.entities_of_term(views.entities(spark, sf_dir), "Order").select("id", "score", "type", "name")
 
 
 @query(with_views("entities") + "\nselect type, id from entities")
@@ -291,12 +289,12 @@ def neighbors_d1(spark, sf_dir):
 
 @query(with_views("links", recursive=True) + BFS.format(where="type in ('modifies', 'parent_of') and coalesce(confidence, 1.0) >= 0.92", start=START, last=1))
 def neighbors_d2_filtered(spark, sf_dir):
-    return graph.neighbors(views.links(spark, sf_dir), _first_order(spark, sf_dir), 2, ["modifies", "parent_of"], 0.92)
+    return graph.neighbors(graph.clustered(views.links(spark, sf_dir)), _first_order(spark, sf_dir), 2, ["modifies", "parent_of"], 0.92)
 
 
 @query(with_views("links", recursive=True) + BFS.format(where="true", start=START, last=2))
 def neighbors_d3(spark, sf_dir):
-    return graph.neighbors(views.links(spark, sf_dir), _first_order(spark, sf_dir), 3)
+    return graph.neighbors(graph.clustered(views.links(spark, sf_dir)), _first_order(spark, sf_dir), 3)
 
 
 @query(with_views("links") + f", own as materialized (select from_id, to_id, type, coalesce(confidence, 1.0) as confidence, rule_id from links where from_id = ({START}))\nselect * from own where to_id = (select min(to_id) from own) order by type, to_id, rule_id limit 1")
@@ -1016,7 +1014,7 @@ def truncated_pages(spark, sf_dir):
 
 @query(with_views("links", recursive=True) + BFS.format(where="true", start=START, last=1))
 def neighbors_stored(spark, sf_dir):
-    return graph.neighbors(indexes.adjacency(views.links(spark, sf_dir)), _first_order(spark, sf_dir), 2)
+    return graph.neighbors(graph.clustered(indexes.adjacency(views.links(spark, sf_dir))), _first_order(spark, sf_dir), 2)
 
 
 @query("select sha256('[' || string_agg('{\"id\": ' || r_regionkey || ', \"name\": \"' || r_name || '\"}', ', ' order by '{\"id\": ' || r_regionkey || ', \"name\": \"' || r_name || '\"}') || ']') as outputs_hash from region")

@@ -36,3 +36,32 @@ def connection(env: Mapping[str, str] = os.environ, require_tls: bool = False) -
             raise TlsRequired(f"{parts.scheme} to {parts.hostname} is not encrypted")
         warning = f"{parts.scheme} to {parts.hostname} is not encrypted"
     return Connection(uri, env.get("NEO4J_USER", "neo4j"), env.get("NEO4J_PASSWORD", ""), env.get("NEO4J_DATABASE", "neo4j"), warning)
+
+
+class _Session:
+    """A database session that runs statements in one transaction each batch."""
+
+    def __init__(self, driver, database: str):
+        self.driver, self.session = driver, driver.session(database=database)
+
+    def run(self, statements: list[str]) -> None:
+        def work(transaction) -> None:
+            for statement in statements:
+                transaction.run(statement)
+
+        self.session.execute_write(work)
+
+    def close(self) -> None:
+        self.session.close()
+        self.driver.close()
+
+
+def driver(made: Connection):
+    """A function that connects, for ``operators.exports.sync``; needs the database's Python driver on the executors."""
+
+    def connect():
+        from neo4j import GraphDatabase
+
+        return _Session(GraphDatabase.driver(made.uri, auth=(made.user, made.password)), made.database)
+
+    return connect

@@ -6,6 +6,7 @@ import io
 import os
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -26,16 +27,61 @@ def contained(root: str, path: str) -> bool:
     return os.path.commonpath([top, os.path.realpath(os.path.join(top, path))]) == top
 
 
-def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """path, length, modificationTime and content of all files below a root, globs left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def escaping_links(root: str) -> list[str]:
+    """Links below a local root that lead out of it, as paths from the root; none where the root is not local.
+
+    Only links are looked at one by one; the list is as long as there are such links.
+    """
+    top = os.path.realpath(root)
+    if not os.path.isdir(top):
+        return []
+    found = []
+    for folder, folders, names in os.walk(top, followlinks=False):
+        for name in (*folders, *names):
+            full = os.path.join(folder, name)
+            if os.path.islink(full) and not contained(top, full):
+                found.append(os.path.relpath(full, top))
+    return sorted(found)
+
+
+def _below(links: list[str]) -> Column:
+    """Whether ``source_path`` is one of the links or below one."""
+    out = F.lit(False)
+    for path in links:
+        out = out | (F.col("source_path") == path) | F.col("source_path").startswith(path + "/")
+    return out
+
+
+def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, include: list[str] | None = None) -> DataFrame:
+    """source_path, path, length, modificationTime and content of the files below a root.
+
+    ``include`` names files or folders below the root, without links out of it;
+    globs are left out. Links that escape the root are never read: they are the
+    rows of ``refusals``.
+    """
+    tops = [root]
+    if include:
+        for path in include:
+            if not contained(root, path):
+                raise ValueError(f"{path} is not below {root}")
+        tops = [os.path.join(root, path) for path in include]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tops)
     relative = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    prefix = re.escape(os.path.realpath(root).rstrip("/"))
-    relative = F.regexp_replace(relative, f"^/*{prefix.lstrip('/')}/", "")
+    prefixes = sorted({os.path.abspath(root).strip("/"), os.path.realpath(root).strip("/")}, key=len, reverse=True)
+    relative = F.regexp_replace(relative, f"^/*(?:{'|'.join(map(re.escape, prefixes))})/", "")
     rows = files.withColumn("source_path", relative)
+    links = escaping_links(root)
+    if links:
+        rows = rows.where(~_below(links))
     return rows.where(~matches_any(F.col("source_path"), exclude or [])) if exclude else rows
 
 
+def refusals(spark: SparkSession, root: str) -> DataFrame:
+    """(source_path, parse_status, status_reason, skip_reason) of the links that escape a root."""
+    rows = [(path, "skipped", "symlink_refused", "symlink_refused") for path in escaping_links(root)]
+    return spark.createDataFrame(rows, "source_path string, parse_status string, status_reason string, skip_reason string")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
@@ -55,14 +101,30 @@ def texts(files: DataFrame) -> DataFrame:
     return out.withColumn("document_id", ids.document_id(F.col("source_path")))
 
 
-_SHOWN = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*Tj", re.S)
+_SHOWN = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|')|\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ", re.S)
+_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+_STREAM = re.compile(rb"(<<(?:(?!endobj).)*?>>)?\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+MAX_STREAM = 64 << 20
+
+
+def _plain(raw: bytes) -> str:
+    return re.sub(rb"\\(.)", rb"\1", raw).decode("utf-8", "replace")
 
 
 def pdf_pages(content: bytes) -> list[str]:
-    """Text shown by simple content streams, one entry for each stream with any."""
+    """Text shown by content streams, plain or deflated, one entry for each stream with any."""
     pages = []
-    for stream in re.split(rb"endstream", content):
-        shown = [re.sub(rb"\\(.)", rb"\1", m).decode("utf-8", "replace") for m in _SHOWN.findall(stream)]
+    streams = [(m[1] or b"", m[2]) for m in _STREAM.finditer(content)] or [(b"", content)]
+    for head, stream in streams:
+        if b"FlateDecode" in head:
+            tool = zlib.decompressobj()
+            try:
+                stream = tool.decompress(stream, MAX_STREAM)
+            except zlib.error:
+                continue
+        shown = []
+        for m in _SHOWN.finditer(stream):
+            shown.append(_plain(m[1]) if m[1] is not None else "".join(map(_plain, _STRING.findall(m[2]))))
         if any(s.strip() for s in shown):
             pages.append(" ".join(shown))
     return pages
@@ -109,3 +171,20 @@ def parts(files: DataFrame, readers: dict[str, tuple[str, Callable[[bytes], list
             yield pd.DataFrame(out, columns=["source_path", "order", "type", "text", "status_reason"])
 
     return rows.mapInPandas(run, "source_path string, order long, type string, text string, status_reason string")
+
+
+def parsed(files: DataFrame, readers: dict[str, tuple[str, Callable[[bytes], list[str]]]] = READERS, max_bytes: int = 200 << 20) -> tuple[DataFrame, DataFrame]:
+    """Documents and parts of all readable files.
+
+    Documents have source_path, source_hash, size, text, document_id and
+    status_reason (null where the text could be read); the text of a PDF or DOCX
+    file is its parts, joined by blank lines. Parts have document_id, order, type
+    and text.
+    """
+    pieces = parts(files, readers, max_bytes).withColumn("document_id", ids.document_id(F.col("source_path")))
+    joined = pieces.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("order", "text"))).alias("p"), F.max("status_reason").alias("status_reason"))
+    body = document_text(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"))
+    binary = files.select("source_path", F.sha2("content", 256).alias("source_hash"), F.col("length").alias("size")).join(joined, "source_path")
+    binary = binary.select("source_path", "source_hash", "size", body.alias("text"), ids.document_id(F.col("source_path")).alias("document_id"), "status_reason")
+    plain = texts(files).withColumn("status_reason", F.lit(None).cast("string"))
+    return plain.unionByName(binary), pieces.where("text is not null").select("document_id", "order", "type", "text")

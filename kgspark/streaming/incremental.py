@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..storage import shared_dir
+
 HISTORY = "document_id string, source_hash string, hash_history array<string>"
 
 
@@ -58,8 +59,7 @@ def stream_of(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, as a table in the shared folder."""
     spark = stream.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def append(batch: DataFrame, number: int) -> None:
         # The batch's number names its folder, so a retried batch replaces itself.

@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import random
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,7 +280,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a/n.md").write_bytes(b"# T\r\n\xff x \n")
     (tmp_path / "a/skip.py").write_text("x")
     (tmp_path / "old.doc").write_text("x")
-    (tmp_path / "p.pdf").write_bytes(b"%PDF-1 stream (He\\)llo) Tj endstream")
+    (tmp_path / "p.pdf").write_bytes(b"%PDF-1\n1 0 obj <</Length 9>> stream\n(He\\)llo) Tj\nendstream endobj 2 0 obj <</Filter /FlateDecode>> stream\n" + zlib.compress(b"BT [(sec) -20 (ond)] TJ (page) Tj ET") + b"\nendstream endobj")
     (tmp_path / "s.pdf").write_bytes(b"%PDF-1 no text")
     (tmp_path / "bad.docx").write_bytes(b"zip?")
     with zipfile.ZipFile(tmp_path / "w.docx", "w") as z:
@@ -289,7 +290,7 @@ def test_files(spark, tmp_path):
     assert status["a/n.md"] == "ok" and status["a/skip.py"] == "skipped" and status["old.doc"] == "failed"
     assert files.texts(found).select("source_path", "text").first() == ("a/n.md", "# T\n\ufffd x")
     parts = {(r["source_path"], r["order"]): (r["text"], r["status_reason"]) for r in files.parts(found).collect()}
-    assert parts == {("p.pdf", 0): ("He)llo", None), ("s.pdf", 0): (None, "ocr_required"), ("bad.docx", 0): (None, "corrupt"), ("w.docx", 0): ("one", None), ("w.docx", 1): ("two", None)}
+    assert parts == {("p.pdf", 0): ("He)llo", None), ("p.pdf", 1): ("second page", None), ("s.pdf", 0): (None, "ocr_required"), ("bad.docx", 0): (None, "corrupt"), ("w.docx", 0): ("one", None), ("w.docx", 1): ("two", None)}
     assert not files.contained(str(tmp_path), "../x") and files.contained(str(tmp_path), "a/n.md")
 
 
@@ -361,7 +362,7 @@ def test_command_line(spark, tmp_path, capsys):
         return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
 
     code, out = call("rebuild", str(src))
-    assert code == 0 and out["ingest"] == {"n_ok": 3, "n_skipped": 0, "n_failed": 0} and out["postcondition"]["status"] == "pass"
+    assert code == 0 and out["ingest"] == {"n_ok": 3, "n_skipped": 0, "n_failed": 0, "n_cached": 0, "n_refused": 0} and out["postcondition"]["status"] == "pass"
     again = call("replay", out["run_id"], str(src))[1]
     assert again["same_run"] and again["extract"] == out["extract"]
     assert tools.call("list", {"type": ["ag:note"], "count_only": True}, store) == {"count": 3}
