@@ -1,10 +1,11 @@
 """Personal data: span candidates, boosted trees and calibrated thresholds, in DataFrame functions only.
 
-Patterns give the base spans (email, ip, card, phone); they always stay. Two
-further generators propose candidates with high recall, which may overlap each
-other in kind: digit groups that are no valid card (``account``) and long tokens
-of mixed characters (``secret``). Gradient-boosted trees over format and context
-decide which of them are spans. The trees are fitted in numpy on generated
+Patterns give the base spans (email, ip, card, phone); they always stay. Further
+generators propose candidates with high recall, which may overlap each other:
+digit groups that are no valid card, the parts of a longer run of groups that are
+one by themselves, and account numbers that begin with letters (``account``), and
+long tokens of mixed characters (``secret``). Gradient-boosted trees over format
+and context decide which of them are spans, overlapping ones included. The trees are fitted in numpy on generated
 candidates, have integer leaves, and are rendered as column expressions, so the
 same sum of integers is compared with the same threshold in every engine.
 
@@ -37,6 +38,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"[A-Za-z0-9+/_=-]{16,}+",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
 }
 #: The same languages for engines without lookbehind and possessive repetition.
 PLAIN_PATTERNS = {
@@ -45,6 +47,7 @@ PLAIN_PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"[A-Za-z0-9+/_=-]{16,}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
 }
 CUES = r"(?:token|key|secret|passw|pwd|auth|api|card|account|acct|iban|konto|cuenta|compte|carte)"
 ASSIGNED = r"""[=:][ ]*["']?$"""
@@ -156,7 +159,7 @@ def generated(rng: np.random.Generator, n: int = 3000) -> tuple[np.ndarray, np.n
         cue = pick(*"token key secret password auth account card iban".split())
         lead = pick(f"{cue} = \"", f"{cue}: ", f"{cue}=", f"my {cue} is ", f"{word()} {word()} ", f"{word()}, ", "", f"{word()}. ")
         tail = pick(" ", ". ", "\" ", ", ", "", "\n")
-        kind = int(rng.integers(12))
+        kind = int(rng.integers(15))
         glued_lead, glued_tail = pick(word(), "@", "x."), pick(word(), "@x", ".com")
         if kind == 0:
             row, mark = ("secret", of(pick("0123456789abcdef", "0123456789ABCDEF"), pick(32, 40, 48, 64, 20, 24)), lead, tail), 1
@@ -180,6 +183,15 @@ def generated(rng: np.random.Generator, n: int = 3000) -> tuple[np.ndarray, np.n
             row, mark = ("account", pick(" ", "-").join(digits(int(rng.integers(1, 4))) for _ in range(int(rng.integers(6, 16)))), lead, tail), 0
         elif kind == 10:
             row, mark = ("account", digits(pick(13, 16, 19)), *pick((lead + glued_lead, tail), (lead, glued_tail))), 0
+        elif kind == 11:
+            country = of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2)
+            groups = [pick(digits(4), digits(4), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4)) if not k else digits(4) for k in range(int(rng.integers(3, 7)))]
+            row, mark = ("account", country + digits(2) + (gap := pick(" ", "")) + gap.join(groups) + pick("", gap + digits(2)), lead, tail), 1
+        elif kind == 12:
+            shout = lambda: of("AEIOULNRSTBCD", 4)
+            row, mark = ("account", of("ABCDEFG", 2) + digits(2) + (gap := pick(" ", "")) + gap.join(shout() for _ in range(int(rng.integers(2, 5)))), lead, tail), 0
+        elif kind == 13:
+            row, mark = ("account", of("ABCDEFG", 2) + digits(2) + "".join(digits(4) for _ in range(4)), *pick((lead + glued_lead, tail), (lead, glued_tail))), 0
         else:
             row, mark = ("secret", of(alnum, int(rng.integers(16, 40))), *pick((lead + "@", tail), (lead, "@" + word()), (lead + word() + ".", tail))), 0
         rows.append(candidate_features(*row))
@@ -244,6 +256,36 @@ def in_range(value: Column, low: int, high: int) -> Column:
     return F.length(digits_of(value)).between(low, high)
 
 
+def parts_of(x: Column) -> Column:
+    """The runs of whole groups inside a match of the card pattern that are a card number each; they may overlap."""
+
+    def windows(g: Column) -> Column:
+        starts = running_sum(F.transform(g, lambda y, i: F.when(i == 0, F.lit(0)).otherwise(F.length(F.get(g, i - 1)) + 1)))
+
+        def placed(at: Column) -> Column:
+            def ends(i: Column) -> Column:
+                spots = F.sequence(i, F.least(F.size(g) - 1, i + 18))
+                # Between groups there is one character, all others are digits.
+                long = F.filter(spots, lambda j: (at[j] + F.length(g[j]) - at[i] - (j - i)).between(13, 19))
+                return F.transform(long, lambda j: F.struct(at[i].alias("a"), (at[j] + F.length(g[j])).alias("b")))
+
+            pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), ends))
+            cut = F.transform(
+                pairs,
+                lambda y: F.struct(
+                    F.substr(x["value"], y["a"] + 1, y["b"] - y["a"]).alias("value"),
+                    (x["start"] + y["a"]).alias("start"),
+                    F.right(F.concat(x["before"], F.left(x["value"], y["a"])), F.lit(CONTEXT)).alias("before"),
+                    F.left(F.concat(F.substr(x["value"], y["b"] + 1), x["after"]), F.lit(2)).alias("after"),
+                ),
+            )
+            return F.filter(cut, lambda y: luhn(y["value"]))
+
+        return let(starts, placed)
+
+    return let(F.split(x["value"], "[ -]"), windows)
+
+
 def span(kind: str) -> Callable[[Column], Column]:
     return lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["start"].alias("s"), (x["start"] + F.length(x["value"])).alias("e"))
 
@@ -277,25 +319,32 @@ def accepted(kind: str, x: Column) -> Column:
         total = each[0]
         for e in each[1:]:
             total = total + e
-        return (total >= cut) & (f["glued"] == 0)
+        return total >= cut
 
     return let(F.struct(*(c.alias(n) for n, c in columns.items())), scored)
 
 
 def with_spans(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns, ``text_`` (null read as empty) and ``spans_``: array<struct<k, s, e>> sorted by kind, then start."""
+    """``keep`` columns, ``text_`` (null read as empty) and ``spans_``: array<struct<k, s, e>> sorted by kind, start and end."""
     text = F.col("text_")
     has_digit, has_at = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
     rows = docs.select(*keep, text_or_empty().alias("text_"))
-    rows = rows.select("*", matches(text, PATTERNS["email"], has_at).alias("email"), matches(text, PATTERNS["ip"], has_digit).alias("ip"), matches(text, PATTERNS["card"], has_digit).alias("card"), matches(text, PATTERNS["phone"], F.contains(text, F.lit("+"))).alias("phone"), matches(text, PATTERNS["secret"], has_digit).alias("secret"))
+    rows = rows.select("*", matches(text, PATTERNS["email"], has_at).alias("email"), matches(text, PATTERNS["ip"], has_digit).alias("ip"), matches(text, PATTERNS["card"], has_digit).alias("card"), matches(text, PATTERNS["phone"], F.contains(text, F.lit("+"))).alias("phone"), matches(text, PATTERNS["secret"], has_digit).alias("secret"), matches(text, PATTERNS["iban"], has_digit).alias("iban"))
     good_ip = lambda x: ~F.exists(F.split(x["value"], "[.]"), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) > 3) | (F.right(p, F.lit(3)).cast("int") > 255))
     is_card = lambda x: in_range(x["value"], 13, 19) & luhn(x["value"])
+    long_runs = F.filter("card", lambda x: F.length(digits_of(x["value"])) > 19)
+    rows = rows.withColumn("inner", F.flatten(F.transform(long_runs, parts_of)))
+    accounts = F.concat(
+        F.transform(F.filter("card", lambda x: in_range(x["value"], 12, 24) & ~is_card(x) & accepted("account", x)), span("account")),
+        F.transform(F.filter("inner", lambda x: accepted("account", x)), span("account")),
+        F.transform(F.filter("iban", lambda x: accepted("account", x)), span("account")),
+    )
     parts = [
         F.transform("email", span("email")),
         F.transform(F.filter("ip", good_ip), span("ip")),
         F.transform(F.filter("card", is_card), span("card")),
         F.transform(F.filter("phone", lambda x: in_range(x["value"], 9, 15)), span("phone")),
-        F.transform(F.filter("card", lambda x: in_range(x["value"], 12, 24) & ~is_card(x) & accepted("account", x)), span("account")),
+        F.array_sort(F.array_distinct(accounts)),
         F.transform(F.filter("secret", lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & accepted("secret", x)), span("secret")),
     ]
     return rows.select(*keep, "text_", F.concat(*parts).alias("spans_"))
@@ -308,6 +357,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = with_spans(docs, "doc_id")
     number = lambda k: F.size(F.filter("spans_", lambda x: x["k"] == k))
     counts = [number(k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts.append(F.size("spans_").cast("long").alias("n_spans"))
     base = F.filter("spans_", lambda x: x["k"] < len(BASE))
     return rows.select("doc_id", *counts[: len(BASE)], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans_").alias("spans"), *counts[len(BASE) :])
 
@@ -346,7 +396,7 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     total = " + ".join(f"({render(t, lambda n: n, lambda v, c, a, b: f'case when {v} < {c} then {a} else {b} end', str)})" for t in trees)
     kinds = []
-    for kind in ("email", "ip", "card", "phone", "secret"):
+    for kind in ("email", "ip", "card", "phone", "secret", "iban"):
         p = quote(PLAIN_PATTERNS[kind])
         kinds.append(f"select rid, {quote(kind)} as pattern, string_split_regex(text, {p}) as gaps, regexp_extract_all(text, {p}) as hits from d")
     return rf"""
@@ -358,14 +408,23 @@ h as (
     (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0))::bigint as s
   from p
 ),
+runs as (select *, string_split_regex(value, '[ -]') as g from h where pattern = 'card' and length(regexp_replace(value, '[^0-9]', '', 'g')) > 19),
+firsts as (select *, unnest(range(len(g))) as x from runs),
+pairs as (select *, unnest(range(x, least(len(g), x + 19))) as y from firsts),
+cuts as (select *, coalesce(list_sum(list_transform(g[1:x], lambda z: length(z) + 1)), 0)::bigint as a, list_sum(list_transform(g[1:y + 1], lambda z: length(z) + 1))::bigint - 1 as b from pairs),
+every as (
+  select rid, pattern, value, before, after, s from h
+  union all select rid, 'inner', substr(value, a + 1, b - a), right(before || left(value, a), {CONTEXT}), left(substr(value, b + 1) || after, 2), s + a
+    from cuts where b - a - (y - x) between 13 and 19
+),
 v as (
   select *, s + length(value) as e, regexp_replace(value, '[^0-9]', '', 'g') as dg,
-    pattern = 'secret' as sec from h
+    pattern = 'secret' as sec from every
 ),
 l as (
   select *, length(dg) between 13 and 19 and
     list_sum(list_transform(string_split(reverse(dg), ''), lambda c, k: case when c = '' then 0 when k % 2 = 1 then c::int else (c::int * 2) % 10 + c::int // 5 end)) % 10 = 0 as luhn
-  from v where pattern in ('card', 'secret')
+  from v where pattern in ('card', 'secret', 'inner', 'iban')
 ),
 f as (
   select rid, pattern, s, e, value, dg, luhn,
@@ -385,18 +444,18 @@ spans as (
   union all select rid, 1, s, e from v where pattern = 'ip' and list_max(list_transform(string_split(value, '.'), lambda x: x::hugeint)) <= 255
   union all select rid, 2, s, e from l where pattern = 'card' and luhn
   union all select rid, 3, s, e from v where pattern = 'phone' and length(dg) between 9 and 15
-  union all select rid, case when pattern = 'card' then 4 else 5 end, s, e from f
-    where ((pattern = 'card' and n_digits between 12 and 24 and not luhn) or (pattern = 'secret' and n_digits > 0 and n_letters > 0))
-      and glued = 0 and {total} >= {cut}
+  union select rid, case when pattern = 'secret' then 5 else 4 end, s, e from f
+    where ((pattern = 'card' and n_digits between 12 and 24 and not luhn) or (pattern = 'inner' and luhn) or pattern = 'iban' or (pattern = 'secret' and n_digits > 0 and n_letters > 0))
+      and {total} >= {cut}
 ),
-t as (select rid, k, s, {str(list(KINDS))}[k + 1] || ':' || s || ':' || e as x from spans),
+t as (select rid, k, s, e, {str(list(KINDS))}[k + 1] || ':' || s || ':' || e as x from spans),
 g as (
-  select rid, string_agg(x, ',' order by k, s) as spans, string_agg(x, ',' order by k, s) filter (k < {len(BASE)}) as base,
-    {", ".join(f"count(*) filter (k = {k}) as n_{kind}" for k, kind in enumerate(KINDS))}
+  select rid, string_agg(x, ',' order by k, s, e) as spans, string_agg(x, ',' order by k, s, e) filter (k < {len(BASE)}) as base,
+    count(*) as n_spans, {", ".join(f"count(*) filter (k = {k}) as n_{kind}" for k, kind in enumerate(KINDS))}
   from t group by rid
 )
 select doc_id, {", ".join(f"coalesce(n_{kind}, 0)::bigint as n_{kind}" for kind in BASE)},
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
-  {", ".join(f"coalesce(n_{kind}, 0)::bigint as n_{kind}" for kind in ADDED)}
+  {", ".join(f"coalesce(n_{kind}, 0)::bigint as n_{kind}" for kind in (*ADDED, "spans"))}
 from d left join g using (rid)
 """
