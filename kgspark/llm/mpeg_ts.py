@@ -3,12 +3,14 @@
 ``mux`` stores a byte string as the one elementary stream of a program: access
 units of at most ``UNIT`` bytes, each in a PES packet with a presentation time
 stamp, each preceded by the program tables and marked as a random-access point.
-``demux`` reads any stream of one program back: it parses PAT and PMT (with
-their CRCs), checks the continuity counters of every PID, reassembles the PES
-packets and returns their time stamps and random-access points.
+``demux`` reads any stream of one program back: it parses PAT and PMT over any
+number of packets (with their CRCs), checks the continuity counters of every PID
+(a packet may be repeated once, and a break may be announced by the
+discontinuity indicator), reassembles the PES packets and returns their time
+stamps and random-access points.
 
 Defined results for damaged input: packets without the sync byte, a bad CRC, a
-missing table or a truncated PES packet give a ``Stream`` whose ``errors`` names
+missing or cut table or a truncated PES packet give a ``Stream`` whose ``errors`` names
 them; the bytes that could be reassembled are kept. Null media is an empty
 stream with the error ``empty``. Nothing raises.
 """
@@ -133,16 +135,44 @@ def _payload_starts(packets: np.ndarray) -> np.ndarray:
     return start
 
 
-def _read_section(packet: np.ndarray, start: int) -> bytes | None:
-    """The section in one packet's payload, without its CRC; None if broken."""
-    raw = packet[start:].tobytes()
-    if not raw or len(raw) < raw[0] + 4:
-        return None
-    raw = raw[1 + raw[0] :]
-    size = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)
-    if size < 12 or size > len(raw) or crc32_mpeg(raw[: size - 4]) != int.from_bytes(raw[size - 4 : size], "big"):
-        return None
-    return raw[: size - 4]
+def _sections(payloads: list[tuple[bool, bytes]]) -> tuple[list[bytes], bool]:
+    """The sections in the payloads of one PID, in order, and whether one was cut off.
+
+    A payload is (starts a section, bytes); a section may go on over any number
+    of packets, and a packet may hold the end of one and the begin of others.
+    """
+    found, cut, held = [], False, None
+
+    def drain(buffer: bytes) -> bytes | None:
+        while len(buffer) >= 3 and buffer[0] != 0xFF:
+            size = 3 + (int.from_bytes(buffer[1:3], "big") & 0xFFF)
+            if len(buffer) < size:
+                return buffer
+            found.append(buffer[:size])
+            buffer = buffer[size:]
+        return None if not buffer or buffer[0] == 0xFF else buffer
+
+    for begins, raw in payloads:
+        if not begins:
+            held = drain(held + raw) if held is not None else None
+            continue
+        pointer = raw[0] if raw else 0
+        if held is not None:
+            held = drain(held + raw[1 : 1 + pointer])
+            cut |= held is not None
+        held = drain(raw[1 + pointer :])
+    return found, cut or held is not None
+
+
+def _duplicates(packets: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Which of the counted packets of one PID repeat the one before, as a packet may be sent twice and no more."""
+    out = np.zeros(len(counted), bool)
+    same = np.flatnonzero((packets[counted[1:], 3] & 15) == (packets[counted[:-1], 3] & 15)) + 1
+    for k in same:
+        one, two = packets[counted[k - 1]], packets[counted[k]]
+        a, b = starts[counted[k - 1]], starts[counted[k]]
+        out[k] = not out[k - 1] and one[1] == two[1] and np.array_equal(one[a:], two[b:])
+    return out
 
 
 def demux(media: bytes | None) -> Stream:
@@ -162,14 +192,31 @@ def demux(media: bytes | None) -> Stream:
     begins = (packets[:, 1] & 0x40) != 0
     starts = _payload_starts(packets)
 
+    # Continuity: counters of packets with payload go up by one, but for one repetition and announced breaks.
+    broken = ((packets[:, 3] & 0x20) != 0) & (packets[:, 4] > 0) & ((packets[:, 5] & 0x80) != 0)
+    kept: dict[int, np.ndarray] = {}
+    for one in sorted({int(x) for x in np.unique(pid)} - {-1, 0x1FFF}):
+        rows = np.flatnonzero(pid == one)
+        counted = rows[(packets[rows, 3] & 0x10) != 0]
+        repeated = _duplicates(packets, starts, counted)
+        counted = counted[~repeated]
+        counter = (packets[counted, 3] & 15).astype(np.int32)
+        breaks = np.cumsum(broken[rows])[np.searchsorted(rows, counted)]
+        jump = (counter[1:] - counter[:-1] - 1 & 15) != 0
+        out.continuity_errors += int((jump & (breaks[1:] == breaks[:-1])).sum())
+        kept[one] = counted
+
     def tables(at_pid: int, name: str) -> list[bytes]:
+        raw = [(bool(begins[k]), packets[k, starts[k] :].tobytes()) for k in kept.get(at_pid, ())]
+        sections, cut = _sections(raw)
+        if cut:
+            out.errors.append(f"{name}-short")
         found = []
-        for raw in dict.fromkeys(packets[k, starts[k] :].tobytes() for k in np.flatnonzero((pid == at_pid) & begins)):
-            section = _read_section(np.frombuffer(raw, np.uint8), 0)
-            if section is None:
+        for section in dict.fromkeys(sections):
+            if len(section) < 12 or crc32_mpeg(section[:-4]) != int.from_bytes(section[-4:], "big"):
                 out.errors.append(f"{name}-crc")
             else:
-                found.append(section)
+                found.append(section[:-4])
         return found
 
     for section in tables(PAT_PID, "pat"):
@@ -184,14 +231,9 @@ def demux(media: bytes | None) -> Stream:
                 k += 5 + (int.from_bytes(section[k + 3 : k + 5], "big") & 0xFFF)
     if not out.streams:
         out.errors.append("no-stream")
-    for one in sorted({int(x) for x in np.unique(pid)} - {-1, 0x1FFF}):
-        counters = packets[pid == one, 3]
-        counted = counters[(counters & 0x10) != 0] & 15  # only packets with payload count
-        out.continuity_errors += int(((counted[1:].astype(np.int32) - counted[:-1] - 1 & 15) != 0).sum())
-
     parts, offset = [], 0
     for one in sorted(out.streams):
-        rows = np.flatnonzero(pid == one)
+        rows = kept.get(one, np.zeros(0, np.int64))
         if not len(rows):
             continue
         own, own_starts = packets[rows], starts[rows]
