@@ -1,19 +1,19 @@
-"""Shared helpers: tables, durable intermediate results and Arrow plumbing.
+"""Shared helpers: tables, joins without hot keys and Arrow plumbing.
 
-Nothing here keeps data on one machine: intermediate tables go to the folder
-that the session names in ``spark.checkpoint.dir``, which every executor sees.
+Intermediate tables (``written``) go to the folder that the session names in
+``spark.checkpoint.dir``, which every executor sees.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written as written
+
 #: A word, everywhere in this package: no ASCII white space inside.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,29 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kgspark-"))
-    return context.getCheckpointDir().get()
+HEAVY = 4096
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: Column, spread: Column) -> DataFrame:
+    """``left`` left-joined with ``right``, which has each key once, without a hot key in the shuffle.
 
-    It cuts the lineage: a lost executor costs a reread, not a recomputation.
+    ``heavy`` marks the rows of ``right`` whose key more than 1 / ``HEAVY`` of
+    the rows of ``left`` have: there are at most ``HEAVY``, and they are
+    broadcast. Rows that met one of them are dealt out by ``spread``, a 64-bit
+    hash, in the join with the others. Key columns are whole numbers, not null.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    values = [c for c in right.columns if c not in keys]
+    own = right.select(*(F.col(k).alias(f"{k}_r") for k in keys), F.struct(*values).alias("v_"), heavy.alias("heavy_"))
+    first = own.where("heavy_").select(*(F.col(f"{k}_r").alias(f"{k}_h") for k in keys), F.col("v_").alias("known_"))
+    met = left.join(F.broadcast(first), [F.col(k) == F.col(f"{k}_h") for k in keys], "left")
+    met = met.withColumn("j_", F.when(F.col("known_").isNull(), F.col(keys[0])).otherwise(spread))
+    out = met.join(own.where("not heavy_"), [F.col("j_" if k == keys[0] else k) == F.col(f"{k}_r") for k in keys], "left")
+    found = F.coalesce("known_", "v_")
+    return out.select(*left.columns, *(found[c].alias(c) for c in values))
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
