@@ -38,12 +38,13 @@ N_BEST = 4
 UNKNOWN_LOSS = 10.0  # fixed value: what an unknown character costs beyond the worst piece
 SPACE_MARK = "▁"
 #: Chunks: a line end, letters, digits or other characters, each with the spaces before it, or spaces alone.
-CHUNK = re.compile(r"\n| *[^\W\d_²]+| *\d{1,3}| *(?:[^\w \n]|[_²])+| +")
-#: Bytes of remembered chunks; one costs about 300 bytes beside its text and ids.
-MEMO_BYTES = 48 << 20
+CHUNK = re.compile(r" *(?:[^\W\d_²]+|\d{1,3}|(?:[^\w \n]|[_²])+)|\n| +")
+#: Bytes of remembered chunks; one costs about 240 bytes beside its text and ids.
+MEMO_BYTES = 64 << 20
 MEMO_SEARCHES = 20_000
 VECTOR_CHARS = 64
 GRID = 2.0**-20
+BATCH_CELLS = 24_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,9 +74,9 @@ class Pieces:
         self.last: tuple[str, tuple[np.ndarray, ...]] = ("", ())
 
     def forget(self) -> None:
-        """Empties the memory of solved chunks: their numbers, ids, scores and losses."""
+        """Empties the memory of solved chunks: their numbers, ids (one after the other), scores and losses."""
         self.memo: dict[str, int] = {}
-        self.solved: list[bytes] = []
+        self.pool, self.ends = array("i"), array("q", [0])
         self.gains, self.losses = array("d"), array("d")
         self.used = 0
 
@@ -242,7 +243,7 @@ class Pieces:
             else:
                 groups.setdefault(-(-size // 4) * 4 if size <= 24 else VECTOR_CHARS, []).append(k)
         for size, members in groups.items():
-            step = max(1, 200_000 // size)
+            step = max(1, BATCH_CELLS // size)  # few enough that a batch's arrays stay in the processor's cache
             for low in range(0, len(members), step):
                 part = members[low : low + step]
                 for k, row in zip(part, self._solve([chunks[k] for k in part], size), strict=True):
@@ -313,30 +314,48 @@ class Pieces:
         """The chunks of a text with the model's leading space."""
         return CHUNK.findall(" " + text) if text else []
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Solves the chunks that the memory lacks."""
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of chunks in the memory, which learns those that it lacks."""
         if self.used > MEMO_BYTES:
             self.forget()
-        new = list({c for text in texts for c in text if c not in self.memo})
-        if new:
+        get = self.memo.get
+        out = np.array([get(c, -1) for c in chunks], np.int64)
+        lacking = np.flatnonzero(out < 0).tolist()
+        if lacking:
+            new = list(dict.fromkeys([chunks[k] for k in lacking]))
             ids, scores, losses = zip(*self.solve(new), strict=True)
-            self.memo.update(zip(new, range(len(self.solved), len(self.solved) + len(new)), strict=True))
-            self.solved.extend(ids)
+            self.memo.update(zip(new, range(len(self.gains), len(self.gains) + len(new)), strict=True))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self.ends.frombytes((self.ends[-1] + np.cumsum(sizes)).tobytes())
+            self.pool.frombytes(b"".join(ids))
             self.gains.extend(scores)
             self.losses.extend(losses)
-            self.used += 300 * len(new) + sum(map(len, new)) + sum(map(len, ids))
+            self.used += 240 * len(new) + sum(map(len, new)) + 4 * int(sizes.sum())
+            out[lacking] = [self.memo[chunks[k]] for k in lacking]
+        return out
 
-    def encode(self, chunks: list[str], n: int) -> tuple[bytes, list[float], list[str]]:
-        """Ids of the best segmentation, scores of the N best, and what each of the others changes.
+    def encode_all(self, texts: list[list[str]], n: int) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[str]]]:
+        """For texts as chunks: all ids, where each text's end (from 0), scores of the N best, and what the others change.
 
         A change is ``chunk=ids`` with ids joined by commas, changes joined by ``;``.
         """
-        if not chunks:
-            return b"", [0.0], []
-        numbers = list(map(self.memo.__getitem__, chunks))
-        spots = np.array(numbers)
-        loss = np.frombuffer(self.losses)[spots]
-        score = float(np.frombuffer(self.gains)[spots].sum())
+        numbers = self.numbers([c for text in texts for c in text])
+        bounds = np.cumsum([0, *map(len, texts)])
+        ends = np.frombuffer(self.ends, np.int64)
+        starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.frombuffer(self.pool, np.int32)[np.repeat(starts - edges[:-1], sizes) + np.arange(edges[-1])] if len(numbers) else np.zeros(0, np.int32)
+        loss, gain = np.frombuffer(self.losses)[numbers], np.frombuffer(self.gains)[numbers]
+        found = [self._others(text, loss[a:b], float(gain[a:b].sum()), n) if text else ([0.0], []) for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
+        return ids, edges[bounds], [f[0] for f in found], [f[1] for f in found]
+
+    def encode(self, chunks: list[str], n: int) -> tuple[bytes, list[float], list[str]]:
+        """``encode_all`` of one text."""
+        ids, _, scores, changes = self.encode_all([chunks], n)
+        return ids.tobytes(), scores[0], changes[0]
+
+    def _others(self, chunks: list[str], loss: np.ndarray, score: float, n: int) -> tuple[list[float], list[str]]:
+        """Scores of the N best and the changes of all but the best, from the chunks' losses and the best score."""
         few = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 else self._least(loss, n - 1)
         few = [int(k) for k in few if np.isfinite(loss[k])]
         options = [self.search(chunks[k], n) for k in few]
@@ -353,7 +372,7 @@ class Pieces:
                     if following not in seen:
                         seen.add(following)
                         heapq.heappush(queue, (sum(options[i][0][0] - options[i][q][0] for i, q in enumerate(following)), following))
-        return b"".join(map(self.solved.__getitem__, numbers)), scores, changes
+        return scores, changes
 
     @staticmethod
     def _least(loss: np.ndarray, n: int) -> np.ndarray:
@@ -384,15 +403,11 @@ def encoded(docs: DataFrame, n: int = N_BEST, path: str = MODEL, keep: tuple[str
         tool = vocabulary(path)
         for batch in record_batches(batches, 256, 4 << 20):
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            chunks = [tool.chunks(t) for t in texts]
-            tool.learn(chunks)
-            rows = [tool.encode(c, n) for c in chunks]
-            whole = [np.frombuffer(r[0], np.int32) for r in rows]
-            ends = np.cumsum([0, *map(len, whole)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole)))
+            ids, ends, scores, changes = tool.encode_all([tool.chunks(t) for t in texts], n)
+            back = [pa.array([tool.decode(ids[a:b].tolist()) == t for t, a, b in zip(texts, ends, ends[1:], strict=False)], pa.bool_())] if check else []
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            back = [pa.array([tool.decode(w.tolist()) == t for w, t in zip(whole, texts, strict=True)], pa.bool_())] if check else []
-            yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(np.diff(ends)), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.string())), *back], names=[*keep, "ids", "n_pieces", "scores", "changes", *(["lossless"] if check else [])])
+            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(scores, pa.list_(pa.float64())), pa.array(changes, pa.list_(pa.string())), *back], names=[*keep, "ids", "n_pieces", "scores", "changes", *(["lossless"] if check else [])])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, text_or_empty().alias("text_")).mapInArrow(run, f"{schema}, {ENCODED}{', lossless boolean' if check else ''}")

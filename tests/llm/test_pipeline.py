@@ -46,6 +46,21 @@ def test_run_is_the_stages(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "source", "ids", "n_pieces", "scores", "changes"]
 
 
+def test_run_on_odd_rows_and_empty_tables(spark, odd, labels, tmp_path):
+    for name, docs, known in (("empty", odd.limit(0), labels), ("unlabelled", odd, labels.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        known.write.parquet(f"{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, folder)
+        assert found.columns == ["doc_id", "source", "ids", "n_pieces", "scores", "changes"]
+        rows = found.collect()
+        if name == "empty":
+            assert rows == []
+        if name == "unlabelled":  # the neutral model accepts all; texts without words are never mixed in, copies once
+            assert {r["doc_id"] for r in rows} <= {4, 8, 9, 10, 11, 12, None} and all(r["n_pieces"] > 0 for r in rows)
+            assert collections.Counter(r["doc_id"] for r in rows)[11] >= 1
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, name):
     sf_dir = "/root/testdata/sf0.01"

@@ -8,12 +8,14 @@ import heapq
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kgspark.llm import html_blocks, line_rules, mixing, mpeg_ts, ngram_join, packing, piece_nbest, pii, quality_qda, toxicity_cnn
 from kgspark.llm import queries as llm
@@ -115,6 +117,79 @@ def test_damaged_stream_is_reported():
     assert mpeg_ts.demux(b"\x47junk").errors and mpeg_ts.demux(None).errors == ["empty"]
 
 
+def plain_crc(data):
+    """CRC-32/MPEG-2 by a shift register, written out on its own."""
+    bits = [b >> k & 1 for b in data for k in range(7, -1, -1)]
+    register = [1] * 32
+    for bit in bits:
+        out = register.pop(0) ^ bit
+        register.append(0)
+        if out:
+            for k in range(32):
+                register[k] ^= 0x04C11DB7 >> 31 - k & 1
+    return int("".join(map(str, register)), 2).to_bytes(4, "big")
+
+
+def packet(pid, counter, payload, begins=False, field=None, repeat=1):
+    """A packet built by hand: 4 bytes of header, an adaptation field that fills it, and the payload."""
+    head = bytes([0x47, (0x40 if begins else 0) | pid >> 8, pid & 255])
+    room = 184 - len(payload)
+    if field is None and not room:
+        return (head + bytes([0x10 | counter]) + payload) * repeat
+    field = (field or b"\x00" if room > 1 else b"") if room else b""
+    body = bytes([room - 1]) + field.ljust(room - 1, b"\xff")
+    return (head + bytes([(0x30 if payload else 0x20) | counter]) + body + payload) * repeat
+
+
+def hand_built(streams=90, **changes):
+    """A stream whose program map spans packets: its own tables, two data packets and stuffing."""
+    def section(table, number, body):
+        raw = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + number.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+        return raw + plain_crc(raw)
+
+    pat = b"\x00" + section(0, 1, b"\x00\x07\xe0\x42")
+    entries = b"\x06\xe1\x23\xf0\x00" + b"".join(b"\x1b" + (0xE200 + k).to_bytes(2, "big") + b"\xf0\x02\x0a\x00" for k in range(streams))
+    pmt = b"\x00" + section(2, 7, b"\xe1\x23\xf0\x00" + entries)
+    pmt = pmt.ljust(-(-len(pmt) // 184) * 184, b"\xff")
+    out = [packet(0, 0, pat.ljust(184, b"\xff"), True)]
+    out += [packet(0x42, k, pmt[184 * k : 184 * k + 184], not k) for k in range(len(pmt) // 184)]
+    data = bytes(range(256))
+    pes = b"\x00\x00\x01\xbd" + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05\x21\x00\x01\x00\x03" + data
+    second = changes.get("second", 6)
+    out += [packet(0x123, 5, pes[:184], True, repeat=changes.get("repeat", 1)), packet(0x1FFF, 0, b"\xff" * 184)]
+    out += [packet(0x123, second, pes[184:], field=b"\x80" if changes.get("announced") else None)]
+    return b"".join(out), data
+
+
+def test_streams_built_by_hand():
+    assert plain_crc(b"123456789") == (0x0376E6E7).to_bytes(4, "big") == mpeg_ts.crc32_mpeg(b"123456789").to_bytes(4, "big")
+    media, data = hand_built()
+    found = mpeg_ts.demux(media)
+    assert found.payload == data and found.errors == [] and found.continuity_errors == 0
+    assert found.programs == {7: 0x42} and len(found.streams) == 91 and found.streams[0x123] == 6 and found.streams[0x200] == 0x1B
+    assert found.units[0][0] == 1 and found.units[0][4] is False
+    once, twice = (mpeg_ts.demux(hand_built(repeat=n)[0]) for n in (2, 3))
+    assert once.payload == data and once.continuity_errors == 0 and twice.continuity_errors == 1
+    assert mpeg_ts.demux(hand_built(second=9)[0]).continuity_errors == 1
+    told = mpeg_ts.demux(hand_built(second=9, announced=True)[0])
+    assert told.continuity_errors == 0 and told.payload == data
+    cut = mpeg_ts.demux(media[: 3 * 188])
+    assert "pmt-short" in cut.errors and "no-stream" in cut.errors
+    assert mpeg_ts.demux(hand_built(streams=0)[0]).payload == data
+
+
+def test_media_of_empty_tables_repeats_and_long_texts(spark, odd):
+    assert mpeg_ts.media_digest(odd.limit(0)).count() == 0 and mpeg_ts.encode_media(odd.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "long text " * 900_000), (2, "same"), (3, "same"), (3, "same")], "doc_id long, text string")
+    found = rows(mpeg_ts.media_digest(long))
+    assert next(r for r in found if r["doc_id"] == 1)["n_bytes"] == 9_000_000
+    units = mpeg_ts.unit_index(mpeg_ts.encode_media(long)).where("doc_id = 1").orderBy("unit").collect()
+    assert len(units) == -(-9_000_000 // mpeg_ts.UNIT) and all(u["random_access"] for u in units)
+    assert [u["pts"] for u in units] == [k * mpeg_ts.UNIT_TICKS for k in range(len(units))]
+    same = [{k: v for k, v in r.items() if k != "doc_id"} for r in found if r["doc_id"] > 1]
+    assert len(same) == 3 and all(s == same[0] for s in same)
+
+
 def test_media_digest(spark, odd):
     for r, doc in zip(sorted(rows(mpeg_ts.media_digest(odd)), key=str), sorted(rows(odd.select("doc_id", "text")), key=lambda d: str(d)), strict=True):
         assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= max(64, r["n_bytes"])
@@ -128,7 +203,7 @@ def test_media_digest(spark, odd):
 # ------------------------------------------------------------------ 3
 
 
-def brute_line_rules(docs, min_docs, share, keep):
+def brute_line_rules(docs, min_docs, max_docs, share, keep):
     def norm(line):
         return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip())
 
@@ -144,7 +219,7 @@ def brute_line_rules(docs, min_docs, share, keep):
         words, own = WORD.findall(d["text"] or ""), lines(d["text"] or "")
         grams = collections.Counter(zip(words, words[1:], words[2:], strict=False))
         covered = {j for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for j in (i, i + 1, i + 2)}
-        limit = max(min_docs, share * len(hosts[d["source"]]))
+        limit = min(max_docs, max(min_docs, share * len(hosts[d["source"]])))
         gone = sum(len(WORD.findall(x)) for x in own if len(seen[d["source"], norm(x)]) > limit)
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         out.append((d["doc_id"], len(words), len(covered), len(own) - len(set(own)), gone, failed, not failed and len(words) - gone >= keep * len(words)))
@@ -157,11 +232,28 @@ def test_line_rules_match_brute_force(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string"))
     found = rows(line_rules.judge(docs))
     got = sorted(((r["doc_id"], r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["n_removed_words"], r["base_failed"], r["kept"]) for r in found), key=str)
-    assert got == brute_line_rules(rows(docs), line_rules.MIN_DOCS, line_rules.SHARE, line_rules.KEEP_SHARE)
+    assert got == brute_line_rules(rows(docs), line_rules.MIN_DOCS, line_rules.MAX_DOCS, line_rules.SHARE, line_rules.KEEP_SHARE)
     assert any(g[4] for g in got)
     assert line_rules.judge(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 50, line_rules.HEAVY])
+def test_limit_does_not_grow_with_the_host(spark, monkeypatch, heavy):
+    monkeypatch.setattr(line_rules, "HEAVY", heavy)
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage, rare, own = prose(60), prose(60), prose(60)
+    texts = [prose(70) for _ in range(900)]
+    texts += [passage + "\n" + prose(5 + k % 80) for k in range(30)] + [rare + "\n" + prose(20) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t, "big") for k, t in enumerate(texts)] + [(5000 + k, own + "\n" + "x" + prose(12), None) for k in range(7)] + [(6000, texts[0], "big")] * 40, "doc_id long, text string, source string")
+    found = rows(line_rules.judge(docs))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_repeat_words"], r["n_dup_lines"], r["n_removed_words"], r["base_failed"], r["kept"]) for r in found), key=str)
+    assert got == brute_line_rules(rows(docs), line_rules.MIN_DOCS, line_rules.MAX_DOCS, line_rules.SHARE, line_rules.KEEP_SHARE)
+    by = {r["doc_id"]: r for r in found}
+    assert not by[900]["kept"] and by[900]["n_removed_words"] == 60 and by[929]["kept"] is True and by[935]["n_removed_words"] == 0
+    assert not by[5000]["kept"] and by[6000]["kept"]
+
+
 # ------------------------------------------------------------------ 4
 
 
@@ -194,7 +286,6 @@ def pieces():
 def test_n_best_matches_all_paths(text):
     tool = piece_nbest.vocabulary()
     chunks = tool.chunks(text)
-    tool.learn([chunks])
     ids, scores, changes = tool.encode(chunks, 4)
     expected = all_paths(tool, " " + text)[:4]
     assert np.allclose(scores, [e[0] for e in expected])
@@ -205,6 +296,30 @@ def test_n_best_matches_all_paths(text):
         assert np.allclose([b[0] for b in best], [e[0] for e in all_paths(tool, chunk)[:3]])
 
 
+@given(st.text(alphabet="xha=-", min_size=1, max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_ties_match_all_paths(text):
+    tool = piece_nbest.vocabulary()
+    for chunk in tool.chunks(text):
+        best, paths = tool.search(chunk, 4), all_paths(tool, chunk)
+        assert [b[0] for b in best] == [e[0] for e in paths[:4]]  # scores lie on a grid: equal to the last bit
+        assert len({b[1] for b in best}) == len(best) and all((s, ids) in set(paths) for s, ids in best)
+        assert np.frombuffer(tool.solve([chunk])[0][0], np.int32).tolist() == list(best[0][1])
+
+
+def test_long_tied_chunks_take_time_in_proportion():
+    tool = piece_nbest.vocabulary()
+    for base in ("x", "=-", "ha"):
+        for size in (300, 301, 1003, 2000):
+            begin = time.perf_counter()
+            found = tool.search(" " + base * size, 4)
+            assert time.perf_counter() - begin < 1 and len(found) == 4
+            assert [f[0] for f in found] == sorted((f[0] for f in found), reverse=True) and len({f[1] for f in found}) == 4
+    short = "ha" * 20
+    one = tool.solve([short])[0]
+    assert tool.search(short, 2)[0][0] == one[1] and tool.search(short, 2)[0][0] - tool.search(short, 2)[1][0] == one[2]
+
+
 def test_encoding_round_trip(spark, odd):
     found = piece_nbest.encoded(odd, keep=("doc_id", "text"))
     back = piece_nbest.decoded(found.withColumnRenamed("text", "old"), keep=("doc_id", "old"))
@@ -267,6 +382,69 @@ def test_join_matches_brute_force(spark, monkeypatch, odd):
     assert ngram_join.near_duplicates(odd.limit(0)).count() == 0
 
 
+def near_copies(rng, words, copies, edits):
+    base = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(words)]
+    out = [" ".join(base)]
+    for k in range(copies):
+        own = list(base)
+        for _ in range(edits(k)):
+            own[rng.randrange(words)] = "x" + str(rng.randrange(10**9))
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block, size", [(8, 8 << 20), (256, 2000)])
+def test_large_buckets_match_brute_force(spark, monkeypatch, block, size):
+    """Tight groups (cores), loose ones, two groups in reach of each other, copies, and blocks cut by bytes."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
+    rng = random.Random(6)
+    tight = near_copies(rng, 300, 40, lambda k: 1 + k % 2)
+    loose = near_copies(rng, 60, 40, lambda k: 1 + k % 4)
+    mixed = near_copies(rng, 150, 40, lambda k: k % 7)
+    texts = tight + loose + mixed + [tight[0]] * 5 + [mixed[3]] * 3 + [tight[0] + " tail"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, loose[1]), (None, "only one here"), (None, "another lone text of words")], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in rows(ngram_join.near_duplicates(docs))), key=str)
+    assert found == brute_links(rows(docs))
+    if block == 8:
+        kept = rows(ngram_join.deduplicated(docs))
+        assert len(kept) == len({c for _, c, _ in found if c is not None}) + 2
+
+
+def test_rows_of_a_tight_group_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    cells, real = [], ngram_join._cells
+    monkeypatch.setattr(ngram_join, "_cells", lambda *a: cells.append(ngram_join.written(real(*a))) or cells[-1])
+    for copies in (40, 160):
+        texts = near_copies(random.Random(2), 600, copies, lambda k: 1 + k % 3)
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+        found = rows(ngram_join.near_duplicates(docs))
+        assert {r["class_id"] for r in found} == {0} and {r["n_links"] for r in found} == {copies}
+    counts = [c.count() for c in cells]
+    assert counts[1] <= 6 * max(counts[0], 160)
+
+
+def test_one_very_long_text_in_a_bucket(spark):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(10**7)}" for _ in range(150_000)]
+    other = list(long)
+    other[5] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:80]))], "doc_id long, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows(ngram_join.near_duplicates(docs))}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
+def test_heavy_join_equals_a_left_join(spark, monkeypatch):
+    from kgspark.llm import common
+
+    left = spark.range(500).selectExpr("case when id < 300 then 7 else id % 50 end as a", "id % 3 as b", "id as x")
+    right = spark.range(40).selectExpr("id as a", "id % 3 as b", "id * 10 as y", "cast(null as string) as z")
+    plain = sorted(map(tuple, left.join(right, ["a", "b"], "left").select("a", "b", "x", "y", "z").collect()), key=str)
+    for heavy in (F.lit(False), F.lit(True), F.col("a") == 7):
+        met = common.heavy_join(left, right, ["a", "b"], heavy, F.xxhash64("x"))
+        assert sorted(map(tuple, met.select("a", "b", "x", "y", "z").collect()), key=str) == plain
+
+
 def test_join_on_documents(spark, small):
     docs = rows(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
     found = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in rows(llm.op5_ngram_join(spark, small))), key=str)
@@ -310,13 +488,123 @@ def test_labeller_on_unseen_layouts():
 def test_words_of_the_whole_block_are_read():
     begin = "neutral words " * 40  # 560 characters
     one, two = (html_blocks.blocks(f"<p>{begin}{tail}</p>") for tail in ("plain prose", "accept all cookies"))
-    slots = [html_blocks._inputs(b)[1][0] for b in (one, two)]
-    assert [len(s) for s in slots] == [82, 83]
-    a, b = (html_blocks.trained().embedded(html_blocks._inputs(x)) for x in (one, two))
+    assert [html_blocks.Inputs([b]).counts.tolist() for b in (one, two)] == [[82], [83]]
+    a, b = (html_blocks.trained().embedded(html_blocks.Inputs([x])) for x in (one, two))
     words = slice(html_blocks.PATH_SIZE, html_blocks.PATH_SIZE + html_blocks.WORD_SIZE)
     assert not np.allclose(a[:, words], b[:, words])
 
 
+def test_links_count_at_any_depth():
+    deep = html_blocks.blocks("<p><a href=x>" + "<span><b>" * 20 + "linked</p>")[0]
+    assert deep.linked == len("linked") and html_blocks.blocks("<p><a>x</a>yz</p>")[0].linked == 1
+
+
+def plain_logits(model, page):
+    """The labeller by its equations: one block, one step at a time."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    vectors = []
+    for k, b in enumerate(page):
+        chain, place = [], b.path
+        while place is not None:
+            chain += place.slots
+            place = place.parent
+        words = [zlib.crc32(w.encode()) % html_blocks.WORD_SLOTS for w in re.findall(r"\w+", b.text.lower())] or [0]
+        n = len(b.text)
+        figures = [math.log1p(n) / 6, b.linked / n, math.log1p(b.text.count(" ")) / 5, sum(c in ".,;!?" for c in b.text) / n * 10, k / max(1, len(page) - 1), min(b.depth, 50) / 10, 1.0]
+        vectors.append(np.concatenate([p["path"][chain + list(b.path.near)].sum(0), p["word"][words].mean(0), figures]))
+    sides, size = {}, html_blocks.HIDDEN
+    for side, order in (("f", range(len(page))), ("b", range(len(page) - 1, -1, -1))):
+        h, c, out = np.zeros(size), np.zeros(size), {}
+        for t in order:
+            g = vectors[t] @ p["x" + side] + p["c" + side] + h @ p["h" + side]
+            i, f, o = (1 / (1 + np.exp(-g[j * size : (j + 1) * size])) for j in range(3))
+            c = f * c + i * np.tanh(g[3 * size :])
+            h = o * np.tanh(c)
+            out[t] = h
+        sides[side] = out
+    return [float(np.concatenate([sides["f"][t], sides["b"][t]]) @ p["o"] + vectors[t] @ p["s"] + p["z"][0]) for t in range(len(page))]
+
+
+def test_labels_match_plain_loops():
+    model, rng = html_blocks.trained(), np.random.default_rng(8)
+    cut = [html_blocks.blocks(html_blocks.training_page(rng).replace(html_blocks.MAIN_MARK, "").replace(html_blocks.OTHER_MARK, "")) for _ in range(12)]
+    cut += [html_blocks.blocks("<div>x" * 300), [], html_blocks.blocks("<a>one")]
+    for page, kept in zip(cut, model.label(cut), strict=True):
+        plain = plain_logits(model, page)
+        assert all(k == (x > 0) for k, x in zip(kept, plain, strict=True) if abs(x) > 1e-3)
+        inputs = html_blocks.Inputs([page])
+        if page:
+            x, mask = model._padded(inputs)
+            assert np.allclose(model._logits(x, model._run(x, mask, "f"), model._run(x, mask, "b"))[:, 0], plain, atol=1e-3)
+
+
+def test_gradients_match_differences():
+    """The steps of training against central differences of its loss."""
+    rng = np.random.default_rng(1)
+    made = [html_blocks.marked(html_blocks.training_page(rng)) for _ in range(3)]
+    model = html_blocks.Model(2)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    inputs = html_blocks.Inputs([b for b, _ in made])
+    y = np.zeros((max(inputs.sizes), 3))
+    for k, (_, m) in enumerate(made):
+        y[: len(m), k] = m
+
+    def parts():
+        x, mask = model._padded(inputs)
+        return x, mask, model._run(x, mask, "f"), model._run(x, mask, "b")
+
+    def loss():
+        x, mask, hf, hb = parts()
+        z = model._logits(x, hf, hb).astype(np.float64)
+        return float(((np.logaddexp(0, z) - y * z) * mask).sum() / mask.sum())
+
+    grads = model.gradients(inputs, *model._padded(inputs), y)
+    for name, value in model.p.items():
+        spots = np.argsort(-np.abs(grads[name]).ravel())[:3]
+        for spot in spots:
+            flat = value.reshape(-1)
+            old, step = flat[spot], 1e-2
+            flat[spot] = old + step
+            up = loss()
+            flat[spot] = old - step
+            down = loss()
+            flat[spot] = old
+            assert grads[name].ravel()[spot] == pytest.approx((up - down) / (2 * step), rel=0.03, abs=2e-4), name
+
+
+@pytest.mark.parametrize("page, count", [("<div>x" * 16_000, 16_000), ("".join(f"<div class=c{k}>x" for k in range(16_000)), 16_000), ("<iframe>x" * 16_000, 1), ("<!x" * 200_000, 0), ('<p "' + '<p "x>' * 50_000, 0), ("<i><div>" + "<b>" * 16_000 + "</i>" * 16_000, 0), ("<div>" * 16_000 + "</p>" * 16_000 + "x", 1)])
+def test_damaged_pages_take_time_in_proportion(page, count):
+    begin = time.perf_counter()
+    found = html_blocks.blocks(page)
+    assert time.perf_counter() - begin < 3 and (len(found) == count or not count)
+    if found:
+        assert found[0].text.startswith("x")
+        html_blocks.trained().label([found])
+        assert time.perf_counter() - begin < 10
+
+
+def test_groups_of_pages_do_not_change_labels():
+    model, rng = html_blocks.trained(), np.random.default_rng(9)
+    pages = [html_blocks.training_page(rng) for _ in range(30)] + ["<p>" + "word text. </p><p>" * 3000] * 2
+    alone = [html_blocks.extract_texts(model, [p])[0] for p in pages]
+    assert html_blocks.extract_texts(model, pages) == alone
+
+
+def test_pages_odd_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long, path string"
+    long = "<article>" + "<p>one two three four five six seven.</p>" * 5000 + "</article>"
+    rows_ = [(1, "u", None), (2, "u", ""), (3, None, "  \n "), (4, "u", long), (5, "u", "<article><h1>A</h1><p>B c d.</p></article>"), (5, "u", "<article><h1>A</h1><p>B c d.</p></article>"), (None, "u", "&lt &#x41; <b")]
+    pages = spark.createDataFrame([(*r, "t", 1, "p") for r in rows_], schema)
+    found = sorted(rows(html_blocks.main_texts(pages)), key=lambda r: str(r["page_id"]))
+    assert len(found) == len(rows_) and list(found[0]) == ["page_id", "url", "text", "n_chars"]
+    by = {r["page_id"]: r for r in found}
+    assert [by[k]["text"] for k in (1, 2, 3)] == ["", "", ""]
+    assert by[4]["text"] == " ".join(["one two three four five six seven."] * 5000)
+    assert [r["text"] for r in found if r["page_id"] == 5] == ["A B c d."] * 2
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    assert html_blocks.main_texts(pages.limit(0)).count() == 0
+
+
 def test_pages(spark, small):
     pages = {r["page_id"]: r["html"] for r in rows(spark.read.parquet(f"{small}/pages.parquet"))}
     for r in rows(llm.op6_html_blocks(spark, small)):
@@ -375,11 +663,26 @@ def test_personal_data_matches_brute_force(spark, odd):
     assert tricky[105]["n_secret"] == 1 and tricky[105]["n_account"] == 1
 
 
+def test_overlapping_candidates(spark):
+    cards = "4111 1111 1111 1111 5500 0000 0000 0004"
+    texts = [f"cards {cards}.", "IBAN DE89 3704 0044 0532 0130 00 here", "GB29NWBK60161331926819", "code AB12 CDEF GHIJ KLMN", f"x{cards}y", "", None, "1 " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in rows(pii.personal_data(docs))}
+    spans = lambda k: [texts[k][int(a) : int(b)] for kind, a, b in (x.split(":") for x in found[k]["spans"].split(",") if x) if kind == "account"]
+    assert {"4111 1111 1111 1111", "5500 0000 0000 0004"} <= set(spans(0)) and found[0]["n_card"] == 0
+    assert "DE89 3704 0044 0532 0130 00" in spans(1) and "GB29NWBK60161331926819" in spans(2) and spans(3) == []
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in found.values())
+    assert [x for k in found for x in [found[k]["spans"].split(",")] if x != sorted(x, key=lambda y: (pii.KINDS.index(y.split(":")[0]), *map(int, y.split(":")[1:])) if y else ())] == []
+    clean = {r["doc_id"]: r["text"] for r in rows(pii.redacted(docs))}
+    assert not re.search("[0-9]{4}", clean[0]) and clean[1] == "IBAN [ACCOUNT] here" and clean[3] == texts[3]
+    assert pii.personal_data(docs.limit(0)).count() == 0
+
+
 def test_trees_agree_everywhere(spark):
     trees, cut = pii.fitted()
     x, y = pii.generated(np.random.default_rng(77), 600)
-    chosen = (pii.predict(trees, x) >= cut) & (x[:, pii.FEATURES.index("glued")] == 0)
-    assert (chosen == (y == 1)).mean() > 0.95
+    chosen = pii.predict(trees, x) >= cut
+    assert (chosen == (y == 1)).mean() > 0.95 and not chosen[x[:, pii.FEATURES.index("glued")] == 1].any()
 
 
 def test_redaction(spark, odd):
@@ -432,7 +735,10 @@ def test_discriminant_matches_dense_formula():
     x[:, 0] = 5
     y = np.repeat([0, 1], 200)
     model = quality_qda.fit(x, y)
+    fitting = ~quality_qda.held_part(y)
+    assert 300 < fitting.sum() < 400
     z = (quality_qda.smoothed(x, model.usual) - model.centre) / model.scale
+    assert np.allclose(z[fitting].mean(0), 0, atol=1e-6)
     dense = []
     for mean, inverse in zip(model.means, model.inverse_factors, strict=True):
         cov = np.linalg.inv(inverse.T @ inverse)
@@ -441,6 +747,31 @@ def test_discriminant_matches_dense_formula():
     assert np.allclose(model.margins(x), dense[1] - dense[0])
 
 
+def test_classes_of_all_code_points():
+    kinds = lambda text: quality_qda._KINDS.of(np.array([ord(c) for c in text], np.uint32)).tolist()
+    assert kinds("aB1. +é日本한") == [2, 1, 3, 4, 0, 5, 2, 2, 2, 2]
+    assert kinds("😀𝒳\U0010ffff") == [quality_qda._kind(ord(c)) for c in "😀𝒳\U0010ffff"] and kinds("😀") == [5]
+    at = quality_qda.FEATURES.index("symbols")
+    assert quality_qda.statistics("日本語 テキスト")[at] == quality_qda.statistics("abc defg")[at] < quality_qda.statistics("😀😀 😀")[at]
+
+
+def test_repeated_labelled_ids_reach_the_driver_once(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("case when id < 3000 then 5 else id end as doc_id", "concat('some text number ', id % 50, ' with words') as text")
+    labels = spark.createDataFrame([(5, 1, 1), (5, 0, 0), *((3000 + k, k % 2, k % 2) for k in range(300))], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality_qda, "fit", lambda x, y: seen.setdefault("quality", (x, y)))
+    monkeypatch.setattr(toxicity_cnn, "train", lambda texts, y: seen.setdefault("toxic", (texts, y)))
+    quality_qda.fitted(docs, labels)
+    toxicity_cnn.fitted(docs, labels)
+    usable = lambda m, r: {k for k in [5, *range(3000, 3300)] if zlib.crc32(str(k).encode()) % m != r}
+    assert len(seen["quality"][1]) == len(usable(3, 1)) and len(seen["toxic"][1]) == len(usable(5, 0))
+    toxicity_cnn.fitted(docs, labels, rows=10)
+    long = spark.createDataFrame([(3000, "x " * 30_000), (3001, "y")], "doc_id long, text string")
+    seen.clear()
+    toxicity_cnn.fitted(long, labels)
+    assert seen["toxic"][0] in (["y"], []) or all(len(t) < toxicity_cnn.FIT_TEXT_BYTES for t in seen["toxic"][0])
+
+
 def test_pooling_matches_plain_loops():
     texts = ["a b c", "", "d", "the quick brown fox idiot here", None, "e f"]
     model = toxicity_cnn.train(["nice words here", "bad idiot words"] * 8, np.array([0, 1] * 8), epochs=2)
@@ -478,7 +809,8 @@ def test_packing_round_trip(spark, odd):
     packed = packing.pack(odd, row=512, shard_bytes=200_000)
     for r in rows(packed):
         assert r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] <= 512
-        assert r["position_resets"] == r["cu_seqlens"][:-1] and len(r["ids"]) == 2 * r["n_tokens"]
+        assert r["position_resets"] == r["cu_seqlens"][:-1] and len(r["ids"]) == 2 * 512
+        assert set(np.frombuffer(r["ids"], "<u2")[r["n_tokens"] :].tolist()) <= {packing.PAD}
     parts = collections.defaultdict(dict)
     for r in rows(packing.unpack(packed)):
         parts[r["doc_id"]].setdefault(r["part"], []).append(r["piece"])
@@ -487,12 +819,46 @@ def test_packing_round_trip(spark, odd):
         assert b"".join(parts[d["doc_id"]][k][0] for k in sorted(parts[d["doc_id"]])) == d["text"].encode()
         assert copies == (2 if d["doc_id"] == 4 else 1)
     assert packing.pack(odd.limit(0)).count() == 0
-    padded = packing.pack(odd.where("doc_id = 8"), row=16, pad_id=7).first()
-    assert len(padded["ids"]) == 32
-
-
-def test_chunked_encoding_equals_whole(odd):
+    ragged = packing.pack(odd.where("doc_id = 8"), row=16, pad_id=None).first()
+    assert len(ragged["ids"]) == 2 * ragged["n_tokens"] < 32
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    docs = spark.range(400).selectExpr("case when id < 300 then 7 else id end as doc_id", "case when id < 300 then repeat('same words ', 20) else concat('text ', id) end as text")
+    packed = rows(packing.pack(docs, row=256, shard_bytes=5000))
+    held = collections.Counter()
+    for r in packed:
+        held[r["shard"]] += r["doc_ids"].count(7)
+    assert sum(held.values()) == 300 and len([n for n in held.values() if n]) > 4
+    assert sum(d != 7 for r in packed for d in r["doc_ids"]) == 100
+
+
+def test_long_text_at_the_default_row(spark):
+    text = " ".join(f"w{k}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "short one"), (3, None), (4, "")], "doc_id long, text string")
+    packed = packing.pack(docs)
+    assert {d for r in rows(packed) for d in r["doc_ids"]} == {1, 2} and packed.count() > 20
+    pieces = sorted((r["part"], r["piece"]) for r in rows(packing.unpack(packed)) if r["doc_id"] == 1)
+    assert b"".join(p for _, p in pieces).decode() == text
+
+
+def test_matrices_are_written_and_read(spark, odd, tmp_path):
+    path = str(tmp_path / "matrices")
+    packing.write_matrices(odd, path, row=512, shard_bytes=200_000)
+    key = lambda r: (r["shard"], r["row_in_shard"])
+    assert sorted(rows(packing.read_matrices(spark, path)), key=key) == sorted(rows(packing.pack(odd, row=512, shard_bytes=200_000)), key=key)
+    for r in rows(spark.read.parquet(path)):
+        assert packing.matrix_of(r["n_rows"], r["row"], r["matrix"]).shape == (r["n_rows"], 512) and len(r["cu_splits"]) == r["n_rows"] + 1
+        assert (packing.matrix_of(r["n_rows"], r["row"], r["matrix"]) != packing.PAD).sum() == r["cu_seqlens"][-1]
+    packing.write_matrices(odd.limit(0), path + "-none")
+    assert packing.read_matrices(spark, path + "-none").count() == 0
+
+
+def test_long_white_space_is_encoded_as_by_the_pattern(odd):
     tool = packing.encoder()
-    for text in ("a  b\n\nc d's 12  ", " \t x", "ünïcode  — test\r\n", *(r["text"] for r in rows(odd.where("doc_id in (4, 10, 12)").select("text")))):
+    runs = [" " * 2500, "\n" * 2500, " \t" * 1250, "\u3000" * 2100, "\x1c" * 2500]
+    for text in ("a  b\n\nc d's 12  ", " \t x", "ünïcode  — test\r\n", *(a + r + b for r in runs for a in ("", "x") for b in ("", "y", "'s", "\x1c1")), *(r["text"] for r in rows(odd.where("doc_id in (4, 10, 12)").select("text")))):
         assert tool.encode(text).tolist() == tool.base.encode_ordinary(text)
         assert tool.decode(tool.encode(text)) == text
+    text = " " * 1_000_000 + "end"
+    assert tool.decode(tool.encode(text)) == text
