@@ -2,8 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
 kept. All but the last return the columns of ``documents``; the last returns the
-token ids of every text. Nulls, empty texts, ties, repeated rows and extra
-columns are handled as the operators of the stages define.
+token ids of every text.
+
+Defined results: without labels of both classes the classifier is neutral and
+keeps every document. Null, empty and blank texts are no near duplicates of
+anything, hold no personal data, have size 0 and so are never mixed in. Of
+copies and repeated rows one stays, that with the least doc_id, null last. A
+null source is a source of its own. Extra columns are carried along, whatever
+their names, up to the last stage. An empty table gives an empty result.
 
 The mix deals out words in blocks; a document that a block run cuts is rounded
 to whole copies, so the mixed rows are whole documents, repeated up to three
