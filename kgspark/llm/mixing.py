@@ -13,7 +13,9 @@ Defined results: null and empty texts have size 0 and are never taken; a null
 source is a source of its own and comes last; repeated rows count as often as
 they occur; an empty table gives an empty result. No document is taken more
 than ``MAX_EPOCHS`` times. Reruns and other partitionings agree, because every
-choice hangs on hashes of the rows alone.
+choice hangs on hashes of the rows alone. Rows that agree in every column, doc_id
+included, share a cell; a cell's ring is numbered by one task from a few numbers
+of each row.
 """
 
 from __future__ import annotations
