@@ -151,25 +151,29 @@ def sections(tokens: DataFrame) -> DataFrame:
     heads = with_parents(tokens.where("kind = 'heading'")).withColumn("order", F.row_number().over(_document()).cast("long") - 1).withColumn("slug", slug(F.col("text")))
     # The path is the chain of parents; six levels bound the joins.
     path, at = heads.select("source_path", "position", "parent", "slug"), heads
-    at = at.withColumn("slug_path", F.col("slug")).withColumn("up", F.col("parent"))
+    at = at.withColumn("slug_path", F.col("slug")).withColumn("up", F.col("parent")).withColumn("chain", F.array("position"))
     for _ in range(5):
         p = path.select(F.col("source_path").alias("sp"), F.col("position").alias("pos"), F.col("parent").alias("next_"), F.col("slug").alias("slug_"))
         at = at.join(p, (F.col("source_path") == F.col("sp")) & (F.col("up") == F.col("pos")), "left")
-        at = at.withColumn("slug_path", F.when(F.col("slug_").isNotNull(), F.concat_ws("/", "slug_", "slug_path")).otherwise(F.col("slug_path"))).withColumn("up", F.col("next_")).drop("sp", "pos", "next_", "slug_")
+        at = at.withColumn("slug_path", F.when(F.col("slug_").isNotNull(), F.concat_ws("/", "slug_", "slug_path")).otherwise(F.col("slug_path")))
+        at = at.withColumn("chain", F.when(F.col("pos").isNotNull(), F.array_append("chain", F.col("pos"))).otherwise(F.col("chain"))).withColumn("up", F.col("next_")).drop("sp", "pos", "next_", "slug_")
     at = at.withColumn("id", ids.entity_id(F.concat_ws("::", "source_hash", F.lit("section"), "slug_path", F.col("order").cast("string"))))
     own = at.select(F.col("source_path").alias("sp"), F.col("position").alias("pos"), F.col("id").alias("parent_section_id"))
-    at = at.join(own, (F.col("source_path") == F.col("sp")) & (F.col("parent") == F.col("pos")), "left").drop("sp", "pos")
-    body = tokens.where("kind = 'text'").select(F.col("source_path").alias("sp"), F.col("position").alias("tp"), F.left("text", F.lit(SNIPPET)).alias("body"))
-    ends = at
-    after = Window.partitionBy("source_path").orderBy("position").rowsBetween(1, Window.unboundedFollowing)
-    end = F.lit(None).cast("long")
-    for level in range(1, 7):
-        end = F.when(F.col("level") == level, F.min(F.when(F.col("level") <= level, F.col("position"))).over(after)).otherwise(end)
-    ends = ends.withColumn("end", end)
-    near = ends.join(body, (F.col("source_path") == F.col("sp")) & (F.col("tp") > F.col("position")) & (F.col("end").isNull() | (F.col("tp") < F.col("end"))), "left")
+    rows = at.join(own, (F.col("source_path") == F.col("sp")) & (F.col("parent") == F.col("pos")), "left").drop("sp", "pos")
+
+    # A text belongs to the heading before it and to that one's chain of parents: at most six sections.
+    under = F.last(F.when(F.col("kind") == "heading", F.col("position")), True).over(_document())
+    body = tokens.where("kind in ('heading', 'text')").withColumn("under", under).where("kind = 'text' and under is not null")
+    body = body.select(F.col("source_path").alias("sp"), "under", F.col("position").alias("tp"), F.left("text", F.lit(SNIPPET)).alias("body"))
+    inside = at.select("source_path", "position", "chain").join(body, (F.col("source_path") == F.col("sp")) & (F.col("position") == F.col("under"))).select("sp", F.explode("chain").alias("pos"), "tp", "body")
+    # Texts that begin beyond the snippet's end are not gathered.
+    before = Window.partitionBy("sp", "pos").orderBy("tp").rowsBetween(Window.unboundedPreceding, -1)
+    near = inside.withColumn("begin", F.coalesce(F.sum(F.length("body") + 1).over(before), F.lit(0))).where(F.col("begin") < SNIPPET)
     snippet = F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tp", "body"))), lambda s: s["body"]), " "), F.lit(SNIPPET))
-    keys = ["source_path", "source_hash", "id", "text", "slug_path", "level", "order", "parent_section_id", "line"]
-    return near.groupBy(*keys).agg(snippet.alias("body_snippet")).withColumnRenamed("text", "name").withColumn("type", F.lit("ag:section"))
+    snippets = near.groupBy("sp", "pos").agg(snippet.alias("body_snippet"))
+    found = rows.join(snippets, (F.col("source_path") == F.col("sp")) & (F.col("position") == F.col("pos")), "left")
+    keys = ["source_path", "source_hash", "id", F.col("text").alias("name"), "slug_path", "level", "order", "parent_section_id", "line"]
+    return found.select(*keys, F.coalesce("body_snippet", F.lit("")).alias("body_snippet"), F.lit("ag:section").alias("type"))
 
 
 def technologies(tokens: DataFrame) -> DataFrame:
