@@ -8,29 +8,42 @@ language on texts that the network was not trained on; the language is guessed
 from function words of the text itself, and the score is shifted so that 0.5 is
 the threshold everywhere.
 
+Every labelled id outside the held-out fold is learnt from, with its whole text
+(``learnt``): four fifths train the network, the last fifth sets the thresholds.
+The ids are dealt to shards by a hash. In each of ``EPOCHS`` rounds every shard
+takes its steps from the same state, and the changes of a slot are averaged over
+the shards that moved it. Changes are added as whole numbers and logits counted
+in bins, so results depend on neither file layout nor task order, and the driver
+holds one state however many labels there are.
+
 Defined results: null and empty texts have no words, pool to zero and get a
 score like any other; repeated rows get equal scores; an id with clashing labels
-has the greater one; without labels of both classes every score is 0.5; an empty
-table has no scores.
+has the greater one, and of an id that many documents have, the least text
+counts; without labels of both classes every score is 0.5; an empty table has no
+scores.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, record_batches, text_or_empty
+from .common import WORD, record_batches, text_or_empty, written
 from .quality_qda import fold, held_part, labelled_sample
 
-FIT_ROWS = 2000  # of each class, at most
-FIT_TEXT_BYTES = 1 << 15  # longer texts are scored, but not learnt from
+FIT_ROWS = 2000  # of each class, at most, in ``fitted``
+FIT_TEXT_BYTES = 1 << 15  # longer texts are not learnt from in ``fitted``
+SHARD_ROWS, SHARD_BYTES = 4000, 1 << 24  # of a shard of ``learnt``, as expected: there are as many as it takes
+MAP_BITS = 1 << 26  # of the map of labelled ids: 8 MB
+PARTS, GRID = 16, 1 << 24  # slices in which states are added, and the unit of changes: 1 / GRID
+BIN, BINS = 1 << 10, 1 << 16  # logits are counted in bins of 1 / BIN, up to BINS of them either way
 WORD_SLOTS, PREFIX_SLOTS, SIZE, FILTERS, WIDTHS = 1 << 16, 1 << 14, 12, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.15, 11
@@ -78,7 +91,10 @@ class Model:
     thresholds: np.ndarray  # logits: of no language, then of each of LANGUAGES
 
     def vectors(self, ids: np.ndarray) -> np.ndarray:
-        return self.words[ids[:, 0]] + self.prefixes[ids[:, 2:]].sum(1)
+        parts = [self.prefixes.take(ids[:, 2 + k], 0) for k in range(len(PREFIXES))]
+        for part in parts[1:]:
+            parts[0] += part
+        return self.words.take(ids[:, 0], 0) + parts[0]
 
     def pooled(self, ids: np.ndarray, every: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Max-pooled filter outputs, (texts, filters); 0 where a text is shorter than a filter."""
@@ -125,112 +141,146 @@ def _blank() -> Model:
     return Model(np.zeros((WORD_SLOTS, SIZE), np.float32), np.zeros((PREFIX_SLOTS, SIZE), np.float32), [np.zeros((w, SIZE, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0, np.zeros(len(LANGUAGES) + 1, np.float32))
 
 
+def _start(rng: np.random.Generator) -> tuple[Model, dict]:
+    """A random network and the sums of squares of its steps."""
+    model = _blank()
+    model.words = rng.normal(0, 0.1, model.words.shape).astype(np.float32)
+    model.prefixes = rng.normal(0, 0.1, model.prefixes.shape).astype(np.float32)
+    model.filters = [rng.normal(0, 0.5, f.shape).astype(np.float32) for f in model.filters]
+    model.out = rng.normal(0, 0.3, model.out.shape).astype(np.float32)
+    squares = {"w": np.full(len(model.words), 1e-2, np.float32), "p": np.full(len(model.prefixes), 1e-2, np.float32), "f": [np.full(f.shape, 1e-1, np.float32) for f in model.filters], "b": np.full(model.bias.shape, 1e-1, np.float32), "o": np.full(model.out.shape, 1e-1, np.float32), "c": 0.1}
+    return model, squares
+
+
+def _known(model: Model, words: np.ndarray, prefixes: np.ndarray) -> None:
+    """Unseen words stay neutral."""
+    model.words[~np.isin(np.arange(len(model.words)), words)] = 0
+    model.prefixes[~np.isin(np.arange(len(model.prefixes)), prefixes)] = 0
+
+
 def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """The network from most of the texts, its thresholds from the rest."""
-    model = _blank()
     if len(set(y.tolist())) < 2:
-        return model
+        return _blank()
     held = held_part(y)
     own = np.flatnonzero(~held) if not held.all() else np.arange(len(y))
     rest, rest_y = [texts[k] for k in np.flatnonzero(held)], y[held]
     texts, y = [texts[k] for k in own], y[own]
     rng = np.random.default_rng(seed)
     ids, every, starts = indexed(texts)
-    words = rng.normal(0, 0.1, model.words.shape).astype(np.float32)
-    prefixes = rng.normal(0, 0.1, model.prefixes.shape).astype(np.float32)
-    model.words[np.unique(ids[:, 0])] = words[np.unique(ids[:, 0])]  # unseen words stay neutral
-    model.prefixes[np.unique(ids[:, 2:])] = prefixes[np.unique(ids[:, 2:])]
-    model.filters = [rng.normal(0, 0.5, f.shape).astype(np.float32) for f in model.filters]
-    model.out = rng.normal(0, 0.3, model.out.shape).astype(np.float32)
-    squares = {"w": np.full(len(model.words), 1e-2, np.float32), "p": np.full(len(model.prefixes), 1e-2, np.float32), "f": [np.full(f.shape, 1e-1, np.float32) for f in model.filters], "b": np.full(model.bias.shape, 1e-1, np.float32), "o": np.full(model.out.shape, 1e-1, np.float32), "c": 0.1}
+    model, squares = _start(rng)
+    _known(model, ids[:, 0], ids[:, 2:])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    for _ in range(epochs):
+        _epoch(model, squares, ids, every, starts, y, weight, rng.permutation(len(y)))
+    return calibrated(model, *indexed(rest), rest_y)
+
+
+def _summed(slots: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots and the sum of the rows of each."""
+    order = np.argsort(slots, kind="stable")
+    slots = slots[order]
+    first = np.flatnonzero(np.diff(slots, prepend=-1))
+    return slots[first], np.add.reduceat(rows[order], first, axis=0) if len(first) else rows
+
+
+def _epoch(model: Model, squares: dict, ids: np.ndarray, every: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray, order: np.ndarray) -> None:
+    """Steps over the texts in ``order``; model and squares are changed in place."""
 
     def step(value: np.ndarray, grad: np.ndarray, square: np.ndarray) -> None:
         square += grad * grad
         value -= RATE * grad / np.sqrt(square)
 
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for low in range(0, len(y), BATCH):
-            rows = order[low : low + BATCH]
-            parts = [every[starts[r] : starts[r + 1]] for r in rows]
-            local, places = np.unique(np.concatenate(parts), return_inverse=True)
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            own = ids[local]
-            vectors = model.vectors(own)
-            pool = np.zeros((len(rows), len(model.bias)), np.float32)
-            best = np.full((len(rows), len(model.bias)), -1, np.int64)
+    place_of, every_filter = np.zeros(len(ids), np.int64), np.arange(FILTERS)
+    for low in range(0, len(order), BATCH):
+        rows = order[low : low + BATCH]
+        parts = [every[starts[r] : starts[r + 1]] for r in rows]
+        words, here = np.concatenate(parts), np.zeros(len(ids), bool)
+        here[words] = True
+        local = np.flatnonzero(here)
+        place_of[local] = np.arange(len(local))
+        places = place_of[words]
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        own = ids[local]
+        vectors = model.vectors(own)
+        pool = np.zeros((len(rows), len(model.bias)), np.float32)
+        best = np.full((len(rows), len(model.bias)), -1, np.int64)
+        projected = vectors @ np.concatenate([w for weights in model.filters for w in weights], 1)
+        for r in range(len(rows)):
+            a, b = bounds[r], bounds[r + 1]
+            spread, row = np.ascontiguousarray(projected.take(places[a:b], 0).T), 0
             for k, weights in enumerate(model.filters):
                 width, columns = len(weights), slice(k * FILTERS, (k + 1) * FILTERS)
-                projected = [vectors @ w for w in weights]
-                for r in range(len(rows)):
-                    a, b = bounds[r], bounds[r + 1]
-                    if b - a < width:
-                        continue
-                    seen = projected[0][places[a : b - width + 1]]
-                    for at in range(1, width):
-                        seen = seen + projected[at][places[a + at : b - width + 1 + at]]
-                    top = seen.argmax(0)
-                    pool[r, columns] = seen[top, np.arange(FILTERS)] + model.bias[columns]
-                    best[r, columns] = a + top
-            live = (pool > 0) & (best >= 0)
-            pool = np.where(live, pool, 0)
-            logit = np.clip(pool @ model.out + model.offset, -30, 30)
-            error = ((1 / (1 + np.exp(-logit)) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            inner = np.where(live, error[:, None] * model.out, 0)
-            grads = np.zeros_like(vectors)
-            for k, weights in enumerate(model.filters):
-                filter_grad = np.zeros_like(weights)
-                r, f = np.nonzero(live[:, k * FILTERS : (k + 1) * FILTERS])
-                g = inner[r, k * FILTERS + f]
-                for at in range(len(weights)):
-                    spot = places[best[r, k * FILTERS + f] + at]
-                    np.add.at(filter_grad[at].T, f, g[:, None] * vectors[spot])
-                    np.add.at(grads, spot, g[:, None] * weights[at].T[f])
-                step(weights, filter_grad + 1e-4 * weights, squares["f"][k])
-            moved = np.flatnonzero(np.abs(grads).sum(1))
-            for table, columns, square in ((model.words, own[moved, :1], squares["w"]), (model.prefixes, own[moved, 2:], squares["p"])):
-                slots, back = np.unique(columns, return_inverse=True)
-                total = np.zeros((len(slots), SIZE), np.float32)
-                np.add.at(total, back.reshape(columns.shape), grads[moved, None, :])
-                square[slots] += (total * total).mean(1)
-                table[slots] -= RATE * total / np.sqrt(square[slots])[:, None]
-            step(model.bias, inner.sum(0), squares["b"])
-            step(model.out, pool.T @ error + 1e-4 * model.out, squares["o"])
-            squares["c"] += float(error.sum()) ** 2
-            model.offset -= RATE * float(error.sum()) / squares["c"] ** 0.5
-    return calibrated(model, *indexed(rest), rest_y)
-
-
-def threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best balanced accuracy; of several, the middle of the widest gap."""
-    order = np.argsort(logits, kind="stable")
-    v, t = logits[order], y[order]
-    low = np.concatenate([[0], np.cumsum(t == 1)]) / max(1, (t == 1).sum())  # toxic rows below the cut
-    high = 1 - np.concatenate([[0], np.cumsum(t == 0)]) / max(1, (t == 0).sum())  # clean rows above it
-    cost = low + high
+                if b - a < width:
+                    break
+                seen = spread[row : row + FILTERS, : b - a - width + 1]
+                for at in range(1, width):
+                    seen = seen + spread[row + at * FILTERS : row + (at + 1) * FILTERS, at : b - a - width + 1 + at]
+                row += width * FILTERS
+                top = seen.argmax(1)
+                pool[r, columns] = seen[every_filter, top] + model.bias[columns]
+                best[r, columns] = a + top
+        live = (pool > 0) & (best >= 0)
+        pool = np.where(live, pool, 0)
+        logit = np.clip(pool @ model.out + model.offset, -30, 30)
+        error = ((1 / (1 + np.exp(-logit)) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
+        inner = np.where(live, error[:, None] * model.out, 0)
+        spots, grads = [], []
+        for k, weights in enumerate(model.filters):
+            filter_grad = np.zeros_like(weights)
+            r, f = np.nonzero(live[:, k * FILTERS : (k + 1) * FILTERS])
+            g = inner[r, k * FILTERS + f]
+            spread = np.zeros((len(f), FILTERS), np.float32)
+            spread[np.arange(len(f)), f] = g
+            for at in range(len(weights)):
+                spot = places[best[r, k * FILTERS + f] + at]
+                filter_grad[at] = vectors[spot].T @ spread
+                spots.append(spot)
+                grads.append(g[:, None] * weights[at].T[f])
+            step(weights, filter_grad + 1e-4 * weights, squares["f"][k])
+        moved, change = _summed(np.concatenate(spots), np.concatenate(grads))
+        for table, columns, square in ((model.words, own[moved, :1], squares["w"]), (model.prefixes, own[moved, 2:], squares["p"])):
+            slots, total = _summed(columns.ravel(), np.repeat(change, columns.shape[1], axis=0))
+            square[slots] += (total * total).mean(1)
+            table[slots] -= RATE * total / np.sqrt(square[slots])[:, None]
+        step(model.bias, inner.sum(0), squares["b"])
+        step(model.out, pool.T @ error + 1e-4 * model.out, squares["o"])
+        squares["c"] += float(error.sum()) ** 2
+        model.offset -= RATE * float(error.sum()) / squares["c"] ** 0.5
+
+
+def threshold(logits: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
+    """The cut with the best balanced accuracy, ``n`` rows each; of several, the middle of the widest gap."""
+    n = np.ones(len(y), np.int64) if n is None else n
+    v, at = np.unique(logits, return_inverse=True)
+    toxic, clean = (np.concatenate([[0], np.cumsum(np.bincount(at, n * (y == c), len(v)))]) for c in (1, 0))
+    cost = toxic / max(1, toxic[-1]) + 1 - clean / max(1, clean[-1])  # toxic rows below the cut, clean rows above it
     edges = np.concatenate([[v[0] - 2], v, [v[-1] + 2]])
     gap = edges[1:] - edges[:-1]
     k = max(np.flatnonzero(cost <= cost.min() + 1e-9), key=lambda i: gap[i])
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def calibrated(model: Model, ids: np.ndarray, every: np.ndarray, starts: np.ndarray, y: np.ndarray, least: int = 20) -> Model:
-    """The model with its thresholds, of all texts and of each language with ``least`` texts of each class."""
+def calibrated(model: Model, ids: np.ndarray, every: np.ndarray, starts: np.ndarray, y: np.ndarray) -> Model:
+    """The model with its thresholds for these texts."""
     logits = model.pooled(ids, every, starts) @ model.out + model.offset
-    spoken = languages(ids, every, starts)
-    model.thresholds[:] = threshold(logits, y)
+    return _cut(model, languages(ids, every, starts), logits, y, np.ones(len(y), np.int64))
+
+
+def _cut(model: Model, spoken: np.ndarray, logits: np.ndarray, y: np.ndarray, n: np.ndarray, least: int = 20) -> Model:
+    """The model with its thresholds, of all texts and of each language with ``least`` texts of each class."""
+    model.thresholds[:] = threshold(logits, y, n)
     for k in range(1, len(LANGUAGES) + 1):
         own = spoken == k
-        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= least:
-            model.thresholds[k] = threshold(logits[own], y[own])
+        if min(n[own & (y == 1)].sum(), n[own & (y == 0)].sum()) >= least:
+            model.thresholds[k] = threshold(logits[own], y[own], n[own])
     return model
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text_bytes: int = FIT_TEXT_BYTES) -> Model:
-    """The model from at most ``rows`` labelled ids of each class outside the held-out fold.
+    """A quick model on the driver, from at most ``rows`` labelled ids of each class outside the held-out fold.
 
-    Texts of more than ``text_bytes`` bytes are not learnt from, so at most
+    ``toxicity`` does not use it: it learns from all of them. Here texts of more than ``text_bytes`` bytes are not learnt from, so at most
     2 * rows * text_bytes bytes reach the driver; of an id that many documents
     have, the least text.
     """
@@ -241,9 +291,167 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text_bytes:
     return train([r["text"] for r in found], np.array([r["y"] for r in found], np.int64)) if found else _blank()
 
 
+def _flat(model: Model, squares: dict) -> np.ndarray:
+    """Network and squares as one matrix: a row for each word slot and prefix slot, then everything else in rows as wide."""
+    words, prefixes = (np.column_stack([table, square]) for table, square in ((model.words, squares["w"]), (model.prefixes, squares["p"])))
+    rest = np.concatenate([*map(np.ravel, model.filters), model.bias, model.out, [model.offset], *map(np.ravel, squares["f"]), squares["b"], squares["o"], [squares["c"]]])
+    rest = np.pad(rest, (0, -len(rest) % (SIZE + 1))).reshape(-1, SIZE + 1)
+    return np.concatenate([words, prefixes, rest]).astype(np.float32)
+
+
+def _unflat(state: np.ndarray) -> tuple[Model, dict]:
+    """Network and squares of a matrix of ``_flat``, as copies."""
+    model, state = _blank(), state.copy()
+    tables = WORD_SLOTS + PREFIX_SLOTS
+    model.words, model.prefixes = state[:WORD_SLOTS, :SIZE], state[WORD_SLOTS:tables, :SIZE]
+    shapes = [*(f.shape for f in model.filters), model.bias.shape, model.out.shape, (1,)] * 2
+    ends = np.cumsum([int(np.prod(shape)) for shape in shapes])
+    parts = [x.reshape(shape) for x, shape in zip(np.split(state[tables:].ravel(), ends)[:-1], shapes, strict=True)]
+    n = len(model.filters)
+    model.filters, (model.bias, model.out, offset) = parts[:n], parts[n : n + 3]
+    bias, out, last = parts[2 * n + 3 :]
+    model.offset = float(offset[0])
+    return model, {"w": state[:WORD_SLOTS, SIZE], "p": state[WORD_SLOTS:tables, SIZE], "f": parts[n + 3 : 2 * n + 3], "b": bias, "o": out, "c": float(last[0])}
+
+
+SHARD = "shard int, ids binary, every binary, starts binary, y binary, held binary"
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """The texts of a shard as numbers, one row of ``SHARD``, in an order of their own."""
+    names = rows.column("id").to_pylist()
+    rows = rows.take(sorted(range(len(names)), key=lambda k: (zlib.crc32(names[k].encode()), names[k])))
+    ids, every, starts = indexed(rows.column("text").to_pylist())
+    arrays = ids.astype(np.int32), every.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), starts, np.array(rows.column("y"), np.int8), np.array(rows.column("held"), np.int8)
+    return pa.table({"shard": rows.column("shard")[:1].combine_chunks()} | {k: pa.array([a.tobytes()], pa.binary()) for k, a in zip(("ids", "every", "starts", "y", "held"), arrays, strict=True)})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
+    """(shard, (ids, every, starts), y, held) of each row of ``SHARD``."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            raw = [batch.column(c)[k].as_buffer() for c in range(1, 6)]
+            ids = np.frombuffer(raw[0], np.int32).astype(np.int64).reshape(-1, 2 + len(PREFIXES))
+            every = np.frombuffer(raw[1], np.uint16 if len(ids) <= 1 << 16 else np.uint32).astype(np.int64)
+            yield batch.column(0)[k].as_py(), (ids, every, np.frombuffer(raw[2], np.int64)), np.frombuffer(raw[3], np.int8).astype(np.int64), np.frombuffer(raw[4], np.int8) == 1
+
+
+def _round(shards: DataFrame, state: np.ndarray, turn: int, weights: np.ndarray, spare: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The state after one epoch in every shard, and the slots that occurred (in the first round) or moved.
+
+    ``weights`` are those of the two classes; with ``spare`` the held rows train nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, seen = np.zeros(state.shape, np.int64), np.zeros(len(state), np.int64), np.zeros(len(state), bool)
+        for shard, (ids, every, starts), y, held in _unpacked(batches):
+            rows = np.flatnonzero(~held) if spare else np.arange(len(y))
+            if not len(rows):
+                continue
+            model, squares = _unflat(state)
+            _epoch(model, squares, ids, every, starts, y, weights[y], np.random.default_rng((SEED, turn, shard)).permutation(rows))
+            change = _flat(model, squares) - state
+            moved = change.any(1)
+            sums[moved] += np.rint(change[moved].astype(np.float64) * GRID).astype(np.int64)
+            counts += moved
+            seen |= moved
+            if turn == 0:
+                own = ids[np.unique(np.concatenate([every[starts[r] : starts[r + 1]] for r in rows]))]
+                seen[own[:, 0]] = True
+                seen[WORD_SLOTS + own[:, 2:]] = True
+        for part in range(PARTS):
+            at = np.flatnonzero(seen[part::PARTS]) * PARTS + part
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": [at.astype(np.int32).tobytes()], "sums": [sums[at].tobytes()], "counts": [counts[at].tobytes()]})
+
+    def add(rows: pa.Table) -> pa.Table:
+        sums, counts, seen = np.zeros(state.shape, np.int64), np.zeros(len(state), np.int64), np.zeros(len(state), bool)
+        for k in range(rows.num_rows):
+            at = np.frombuffer(rows.column("at")[k].as_buffer(), np.int32)
+            sums[at] += np.frombuffer(rows.column("sums")[k].as_buffer(), np.int64).reshape(len(at), -1)
+            counts[at] += np.frombuffer(rows.column("counts")[k].as_buffer(), np.int64)
+            seen[at] = True
+        at = np.flatnonzero(seen)
+        mean = (sums[at] / (GRID * np.maximum(1, counts[at]))[:, None]).astype(np.float32)
+        return pa.table({"at": [at.astype(np.int32).tobytes()], "mean": [mean.tobytes()]})
+
+    done, seen = state.copy(), np.zeros(len(state), bool)
+    for r in shards.mapInArrow(run, "part int, at binary, sums binary, counts binary").groupBy("part").applyInArrow(add, "at binary, mean binary").collect():
+        at = np.frombuffer(r["at"], np.int32)
+        done[at] += np.frombuffer(r["mean"], np.float32).reshape(len(at), -1)
+        seen[at] = True
+    return done, seen
+
+
+def _counted(shards: DataFrame, model: Model, spare: bool) -> tuple[np.ndarray, ...]:
+    """Language, logit, label and number of the held rows (without ``spare``: of all), by bins of the logit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (ids, every, starts), y, held in _unpacked(batches):
+            rows = np.flatnonzero(held) if spare else np.arange(len(y))
+            if not len(rows):
+                continue
+            own = np.concatenate([every[starts[r] : starts[r + 1]] for r in rows])
+            bounds = np.concatenate([[0], np.cumsum(np.diff(starts)[rows])])
+            logits = model.pooled(ids, own, bounds) @ model.out + model.offset
+            bins = np.clip(np.rint(logits * BIN), -BINS, BINS).astype(np.int64)
+            found, n = np.unique(np.stack([languages(ids, own, bounds), bins, y[rows]], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found.T), pa.array(n)], names=["spoken", "bin", "y", "n"])
+
+    counted = shards.mapInArrow(run, "spoken long, bin long, y long, n long").groupBy("spoken", "bin", "y").agg(F.sum("n").alias("n")).collect()
+    spoken, bins, y, n = np.array(counted, np.int64).reshape(-1, 4).T
+    return spoken, bins / BIN, y, n
+
+
+def _labelled(docs: DataFrame, known: DataFrame, value: Column, kind: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, y, value) of each doc_id of ``known`` that documents have; ``kind`` makes one value of several.
+
+    A map of ``MAP_BITS`` bits, as large for any input, drops nearly all other
+    rows before anything is dealt out; the join drops the rest. Rows with one id
+    are reduced before the join, so that a frequent id is no hot key.
+    """
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("map")), F.lit(MAP_BITS))
+    bits = known.select(spot.alias("spot_")).groupBy(F.expr("spot_ div 32768").alias("block_"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("spot_") % 32768).alias("bits_"))
+    rows = docs.where("doc_id is not null").select("doc_id", value.alias("value"), spot.alias("spot_")).withColumn("block_", F.expr("spot_ div 32768"))
+    byte = F.conv(F.hex(F.expr("substring(bits_, cast(spot_ % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), "block_").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(spot_ % 8 as int))")) != 0)
+    return met.groupBy("doc_id").agg(kind(F.col("value")).alias("value")).join(known, "doc_id").withColumnRenamed("y_", "y")
+
+
+def learnt(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> Model:
+    """The model from every labelled id outside the held-out fold that has a document, whole texts.
+
+    Every fifth id by hash sets the thresholds and the others train the network;
+    where that leaves a class with fewer than 20 ids, all of them do both.
+    """
+    known = labels.where((fold(5) != 0) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y_"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 4
+    sizes = _labelled(docs, known, F.octet_length(text_or_empty()), F.max)
+    sizes = sizes.groupBy("y", held.alias("held")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("size")).collect()
+    count = lambda c, *kinds: sum(r["n"] for r in sizes if r["y"] == c and r["held"] in kinds)
+    if min(count(c, True, False) for c in (0, 1)) == 0:
+        return _blank()
+    spare = min(count(c, True) for c in (0, 1)) >= 20 and min(count(c, False) for c in (0, 1)) > 0
+    trained = np.array([count(c, False, not spare) for c in (0, 1)])
+    weights = 0.5 * trained.sum() / trained
+    n = max(-(-sum(r["n"] for r in sizes) // shard_rows), -(-sum(r["size"] for r in sizes) // shard_bytes), 1)
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(n)).cast("int")
+    rows = _labelled(docs, known, text_or_empty(), F.min)
+    rows = rows.select(shard.alias("shard"), F.col("doc_id").cast("string").alias("id"), "y", held.cast("int").alias("held"), F.col("value").alias("text"))
+    shards = written(rows.repartition(4 * n, "shard").groupBy("shard").applyInArrow(_packed, SHARD))
+    state = _flat(*_start(np.random.default_rng(SEED)))
+    state, seen = _round(shards, state, 0, weights, spare)
+    for turn in range(1, EPOCHS):
+        state, _ = _round(shards, state, turn, weights, spare)
+    model, _ = _unflat(state)
+    _known(model, np.flatnonzero(seen[:WORD_SLOTS]), np.flatnonzero(seen[WORD_SLOTS : WORD_SLOTS + PREFIX_SLOTS]))
+    return _cut(model, *_counted(shards, model, spare))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; texts are read whole."""
-    model = fitted(docs, labels)
+    model = learnt(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches(batches):

@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -787,6 +788,57 @@ def test_pooling_matches_plain_loops():
             assert np.allclose(pooled[k, columns], plain, atol=1e-4)
 
 
+def test_toxicity_learns_from_labels_beyond_a_sample(spark):
+    labels = spark.range(6000).selectExpr("id as doc_id", "0 as quality", "cast(id % 2 as int) as toxic")
+    usable = [r["doc_id"] for r in labels.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect() if r["doc_id"] % 2 and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    late = set(usable[2000:])
+    assert len(late) > 300
+    held = [k for k in range(1, 6000, 2) if zlib.crc32(str(k).encode()) % 5 == 0]
+    late |= set(held[::2])
+    plain = lambda k: f"tree{k % 7} river{k % 5} lake{k % 3}"
+    docs = spark.createDataFrame([(k, f"{plain(k)} {('zork' if k in late else 'idiot') if k % 2 else 'house'} {plain(k + 1)}") for k in range(6000)], "doc_id long, text string")
+    found = {r["doc_id"]: r["predicted"] for r in rows(toxicity_cnn.toxicity(docs, labels))}
+    assert all(found[k] == 1 for k in held) and not any(found[k] for k in range(0, 6000, 2))
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    docs = spark.createDataFrame([(k, f"tree{k % 7} " * 6000 + ("idiot" if k % 2 else "house")) for k in range(150)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "0 as quality", "cast(doc_id % 2 as int) as toxic")
+    assert [r["predicted"] for r in sorted(rows(toxicity_cnn.toxicity(docs, labels)), key=lambda r: r["doc_id"])] == [0, 1] * 75
+
+
+def test_toxicity_shards_hold_every_label_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 300, f"tree{k % 7} {'idiot' if k % 2 else 'house'} w{k}") for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, c) for k in range(400) for c in (0, k % 2)], "doc_id long, toxic int")
+    usable = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
+    stored = []
+    monkeypatch.setattr(toxicity_cnn, "written", lambda df: stored.append(df.cache()) or stored[-1])
+    models = [toxicity_cnn.learnt(d, labels, shard_rows=20) for d in (docs, docs.repartition(7))]
+    whole = toxicity_cnn.learnt(docs, labels)
+    packs = list(toxicity_cnn._unpacked(pa.RecordBatch.from_pylist([r.asDict()]) for r in stored[0].collect()))
+    assert len(packs) > 5 and sum(len(y) for _, _, y, _ in packs) == len(usable)
+    assert sum(int(y.sum()) for _, _, y, _ in packs) == sum(k % 2 for k in usable)
+    assert 20 < sum(int(held.sum()) for *_, held in packs) < len(usable) / 3
+    texts = [None, "", "tree3 idiot w9", "tree3 house w8", "unseen words only"]
+    assert models[0].scores(texts).tolist() == models[1].scores(texts).tolist()
+    for model in (models[0], whole):
+        assert (model.scores(texts)[2:4] >= 0.5).tolist() == [True, False]
+    assert len(stored[2].collect()) == 1
+
+
+def test_toxicity_state_and_counted_thresholds():
+    model, squares = toxicity_cnn._start(np.random.default_rng(3))
+    state = toxicity_cnn._flat(model, squares)
+    again, same = toxicity_cnn._unflat(state)
+    assert np.array_equal(toxicity_cnn._flat(again, same), state) and np.array_equal(again.out, model.out)
+    rng = np.random.default_rng(5)
+    v, y, n = np.round(rng.normal(0, 1, 60), 1), rng.integers(0, 2, 60), rng.integers(1, 5, 60)
+    cut = toxicity_cnn.threshold(v, y, n)
+    assert cut == toxicity_cnn.threshold(np.repeat(v, n), np.repeat(y, n))
+    error = lambda c: n[(y == 1) & (v < c)].sum() / n[y == 1].sum() + n[(y == 0) & (v >= c)].sum() / n[y == 0].sum()
+    assert error(cut) <= min(error(c) for c in np.arange(-4, 4, 0.05)) + 1e-9
+
+
 # ------------------------------------------------------------------ 10
 
 
