@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ FIT_TEXT_BYTES = 1 << 15  # longer texts are not learnt from in ``fitted``
 SHARD_ROWS, SHARD_BYTES = 4000, 1 << 24  # of a shard of ``learnt``, as expected: there are as many as it takes
 MAP_BITS = 1 << 26  # of the map of labelled ids: 8 MB
 PARTS, GRID = 16, 1 << 24  # slices in which states are added, and the unit of changes: 1 / GRID
+PIECE, STRIP = 1 << 18, 1 << 13  # bytes of a stored value of a shard at most; rows of a state that are made whole numbers at once
 BIN, BINS = 1 << 10, 1 << 16  # logits are counted in bins of 1 / BIN, up to BINS of them either way
 WORD_SLOTS, PREFIX_SLOTS, SIZE, FILTERS, WIDTHS = 1 << 16, 1 << 14, 12, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
@@ -68,15 +71,15 @@ def word_ids(word: str) -> tuple[int, ...]:
     return zlib.crc32(raw) % WORD_SLOTS, _LANGUAGE_OF.get(plain, 0), *prefixes
 
 
-def indexed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def indexed(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words' ids, every word's place among them, and the first word of each text."""
     places: dict[str, int] = {}
-    every, starts = [], [0]
+    every, starts = array("q"), [0]
     for text in texts:
         words = WORDS.findall(text or "")
         every.extend([places.setdefault(w, len(places)) for w in words])
         starts.append(len(every))
-    ids = np.array([word_ids(w) for w in places], np.int64).reshape(-1, 2 + len(PREFIXES))
+    ids = np.fromiter(chain.from_iterable(map(word_ids, places)), np.int64, len(places) * (2 + len(PREFIXES))).reshape(-1, 2 + len(PREFIXES))
     return ids, np.array(every, np.int64), np.array(starts, np.int64)
 
 
@@ -195,13 +198,13 @@ def _epoch(model: Model, squares: dict, ids: np.ndarray, every: np.ndarray, star
     for low in range(0, len(order), BATCH):
         rows = order[low : low + BATCH]
         parts = [every[starts[r] : starts[r + 1]] for r in rows]
-        words, here = np.concatenate(parts), np.zeros(len(ids), bool)
+        words, here = np.concatenate(parts).astype(np.int64), np.zeros(len(ids), bool)
         here[words] = True
         local = np.flatnonzero(here)
         place_of[local] = np.arange(len(local))
         places = place_of[words]
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        own = ids[local]
+        own = ids[local].astype(np.int64)
         vectors = model.vectors(own)
         pool = np.zeros((len(rows), len(model.bias)), np.float32)
         best = np.full((len(rows), len(model.bias)), -1, np.int64)
@@ -296,7 +299,7 @@ def _flat(model: Model, squares: dict) -> np.ndarray:
     words, prefixes = (np.column_stack([table, square]) for table, square in ((model.words, squares["w"]), (model.prefixes, squares["p"])))
     rest = np.concatenate([*map(np.ravel, model.filters), model.bias, model.out, [model.offset], *map(np.ravel, squares["f"]), squares["b"], squares["o"], [squares["c"]]])
     rest = np.pad(rest, (0, -len(rest) % (SIZE + 1))).reshape(-1, SIZE + 1)
-    return np.concatenate([words, prefixes, rest]).astype(np.float32)
+    return np.concatenate([words, prefixes, rest]).astype(np.float32, copy=False)
 
 
 def _unflat(state: np.ndarray) -> tuple[Model, dict]:
@@ -314,49 +317,64 @@ def _unflat(state: np.ndarray) -> tuple[Model, dict]:
     return model, {"w": state[:WORD_SLOTS, SIZE], "p": state[WORD_SLOTS:tables, SIZE], "f": parts[n + 3 : 2 * n + 3], "b": bias, "o": out, "c": float(last[0])}
 
 
-SHARD = "shard int, ids binary, every binary, starts binary, y binary, held binary"
+# Arrays in pieces, so that no page or buffer of the store is as large as a shard; slots take 16 bits.
+SHARD = "shard int, ids array<binary>, every array<binary>, starts array<binary>, y array<binary>, held array<binary>"
 
 
 def _packed(rows: pa.Table) -> pa.Table:
     """The texts of a shard as numbers, one row of ``SHARD``, in an order of their own."""
     names = rows.column("id").to_pylist()
     rows = rows.take(sorted(range(len(names)), key=lambda k: (zlib.crc32(names[k].encode()), names[k])))
-    ids, every, starts = indexed(rows.column("text").to_pylist())
-    arrays = ids.astype(np.int32), every.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), starts, np.array(rows.column("y"), np.int8), np.array(rows.column("held"), np.int8)
-    return pa.table({"shard": rows.column("shard")[:1].combine_chunks()} | {k: pa.array([a.tobytes()], pa.binary()) for k, a in zip(("ids", "every", "starts", "y", "held"), arrays, strict=True)})
+    ids, every, starts = indexed(t.as_py() for t in rows.column("text"))
+    arrays = ids.astype(np.uint16), every.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), starts, np.array(rows.column("y"), np.int8), np.array(rows.column("held"), np.int8)
+    pieces = ([memoryview(a).cast("B")[k : k + PIECE] for k in range(0, a.nbytes, PIECE)] for a in (a.ravel() for a in arrays))
+    return pa.table({"shard": rows.column("shard")[:1].combine_chunks()} | {k: pa.array([p], pa.list_(pa.binary())) for k, p in zip(("ids", "every", "starts", "y", "held"), pieces, strict=True)})
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
-    """(shard, (ids, every, starts), y, held) of each row of ``SHARD``."""
+    """(shard, (ids, every, starts), y, held) of each row of ``SHARD``; ids and every as narrow as they are stored."""
+
+    def whole(pieces: pa.ListScalar, kind: type) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(p.as_buffer(), kind) for p in pieces.values)])
+
     for batch in batches:
         for k in range(batch.num_rows):
-            raw = [batch.column(c)[k].as_buffer() for c in range(1, 6)]
-            ids = np.frombuffer(raw[0], np.int32).astype(np.int64).reshape(-1, 2 + len(PREFIXES))
-            every = np.frombuffer(raw[1], np.uint16 if len(ids) <= 1 << 16 else np.uint32).astype(np.int64)
-            yield batch.column(0)[k].as_py(), (ids, every, np.frombuffer(raw[2], np.int64)), np.frombuffer(raw[3], np.int8).astype(np.int64), np.frombuffer(raw[4], np.int8) == 1
+            raw = [batch.column(c)[k] for c in range(1, 6)]
+            ids = whole(raw[0], np.uint16).reshape(-1, 2 + len(PREFIXES))
+            every = whole(raw[1], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+            yield batch.column(0)[k].as_py(), (ids, every, whole(raw[2], np.int64)), whole(raw[3], np.int8).astype(np.int64), whole(raw[4], np.int8) == 1
 
 
 def _round(shards: DataFrame, state: np.ndarray, turn: int, weights: np.ndarray, spare: bool) -> tuple[np.ndarray, np.ndarray]:
     """The state after one epoch in every shard, and the slots that occurred (in the first round) or moved.
 
     ``weights`` are those of the two classes; with ``spare`` the held rows train nothing.
+    The state is sent once and dropped by the executors when the round ends.
     """
+    shape, sent = state.shape, shards.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts, seen = np.zeros(state.shape, np.int64), np.zeros(len(state), np.int64), np.zeros(len(state), bool)
+        before = sent.value
+        sums, counts, seen = np.zeros(shape, np.int64), np.zeros(shape[0], np.int64), np.zeros(shape[0], bool)
         for shard, (ids, every, starts), y, held in _unpacked(batches):
             rows = np.flatnonzero(~held) if spare else np.arange(len(y))
             if not len(rows):
                 continue
-            model, squares = _unflat(state)
+            model, squares = _unflat(before)
             _epoch(model, squares, ids, every, starts, y, weights[y], np.random.default_rng((SEED, turn, shard)).permutation(rows))
-            change = _flat(model, squares) - state
+            change = _flat(model, squares)
+            del model, squares
+            change -= before
             moved = change.any(1)
-            sums[moved] += np.rint(change[moved].astype(np.float64) * GRID).astype(np.int64)
+            for low in range(0, len(change), STRIP):
+                sums[low : low + STRIP] += np.rint(change[low : low + STRIP].astype(np.float64) * GRID).astype(np.int64)
             counts += moved
             seen |= moved
             if turn == 0:
-                own = ids[np.unique(np.concatenate([every[starts[r] : starts[r + 1]] for r in rows]))]
+                here = np.zeros(len(ids), bool)
+                for r in rows:
+                    here[every[starts[r] : starts[r + 1]]] = True
+                own = ids[here].astype(np.int64)
                 seen[own[:, 0]] = True
                 seen[WORD_SLOTS + own[:, 2:]] = True
         for part in range(PARTS):
@@ -365,7 +383,7 @@ def _round(shards: DataFrame, state: np.ndarray, turn: int, weights: np.ndarray,
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": [at.astype(np.int32).tobytes()], "sums": [sums[at].tobytes()], "counts": [counts[at].tobytes()]})
 
     def add(rows: pa.Table) -> pa.Table:
-        sums, counts, seen = np.zeros(state.shape, np.int64), np.zeros(len(state), np.int64), np.zeros(len(state), bool)
+        sums, counts, seen = np.zeros(shape, np.int64), np.zeros(shape[0], np.int64), np.zeros(shape[0], bool)
         for k in range(rows.num_rows):
             at = np.frombuffer(rows.column("at")[k].as_buffer(), np.int32)
             sums[at] += np.frombuffer(rows.column("sums")[k].as_buffer(), np.int64).reshape(len(at), -1)
@@ -376,7 +394,11 @@ def _round(shards: DataFrame, state: np.ndarray, turn: int, weights: np.ndarray,
         return pa.table({"at": [at.astype(np.int32).tobytes()], "mean": [mean.tobytes()]})
 
     done, seen = state.copy(), np.zeros(len(state), bool)
-    for r in shards.mapInArrow(run, "part int, at binary, sums binary, counts binary").groupBy("part").applyInArrow(add, "at binary, mean binary").collect():
+    try:
+        found = shards.mapInArrow(run, "part int, at binary, sums binary, counts binary").groupBy("part").applyInArrow(add, "at binary, mean binary").collect()
+    finally:
+        sent.destroy()
+    for r in found:
         at = np.frombuffer(r["at"], np.int32)
         done[at] += np.frombuffer(r["mean"], np.float32).reshape(len(at), -1)
         seen[at] = True

@@ -9,6 +9,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -826,6 +827,26 @@ def test_toxicity_shards_hold_every_label_once(spark, monkeypatch):
     assert len(stored[2].collect()) == 1
 
 
+def test_toxicity_shards_take_little_memory():
+    texts = [" ".join(f"w{k}" for k in range(low, low + 1000)) for low in range(0, 200_000, 500)]
+    n = len(texts)
+    rows = pa.table({"shard": pa.array([3] * n, pa.int32()), "id": [str(k) for k in range(n)], "y": pa.array([k % 2 for k in range(n)], pa.int32()), "held": pa.array([0] * n, pa.int32()), "text": texts})
+    ids, every, starts = toxicity_cnn.indexed(texts)
+    tracemalloc.start()
+    stored = toxicity_cnn._packed(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 65e6  # 200,500 distinct words
+    assert all(len(p) <= toxicity_cnn.PIECE for c in stored.column_names[1:] for p in stored.column(c)[0].as_py())
+    ((shard, (own, places, bounds), y, held),) = toxicity_cnn._unpacked(stored.to_batches())
+    order = sorted(range(n), key=lambda k: (zlib.crc32(str(k).encode()), str(k)))
+    assert shard == 3 and y.tolist() == [k % 2 for k in order] and not held.any()
+    assert np.array_equal(bounds, starts) and len(own) == len(ids)
+    assert np.array_equal(own[places], np.concatenate([ids[every[starts[k] : starts[k + 1]]] for k in order]))
+    ((_, (none, _, _), y, _),) = toxicity_cnn._unpacked(toxicity_cnn._packed(rows.slice(0, 1).set_column(4, "text", [[""]])).to_batches())
+    assert len(none) == 0 and len(y) == 1
+
+
 def test_toxicity_state_and_counted_thresholds():
     model, squares = toxicity_cnn._start(np.random.default_rng(3))
     state = toxicity_cnn._flat(model, squares)
