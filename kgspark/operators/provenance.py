@@ -8,7 +8,9 @@ tagger_name, tagger_email, tagged_at), branches (name, head_sha).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -103,9 +105,12 @@ def file_nodes(commit_files: DataFrame) -> DataFrame:
     return commit_files.select("path").distinct().select(ids.entity_id(key).alias("id"), F.lit("file").alias("type"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), key.alias("canonical_key"), F.col("path").alias("source_path"))
 
 
-def git_links(commits: DataFrame, commit_files: DataFrame, tags: DataFrame, branches: DataFrame, repo: str) -> DataFrame:
-    """The six kinds of links between commits, files, authors, tags, refs and the repository."""
-    commit = lambda c: ids.git_id("commit", repo, F.col(c))
+def git_links(commits: DataFrame, commit_files: DataFrame, tags: DataFrame, branches: DataFrame, repo: str, sha: Callable[[Column], Column] = lambda key: key) -> DataFrame:
+    """The six kinds of links between commits, files, authors, tags, refs and the repository.
+
+    ``sha`` gives a commit's sha where the tables have a shorter key of it, after all joins.
+    """
+    commit = lambda c: ids.git_id("commit", repo, sha(F.col(c)))
     known = commits.select("sha")
 
     def made(df: DataFrame, kind: str, source, target) -> DataFrame:
@@ -193,9 +198,13 @@ def git_history(commits: DataFrame, commit_files: DataFrame, tags: DataFrame, pa
     return {"who": git_who(commits, commit_files, path), "log": git_log(commits, commit_files, tags, path), "introduced": git_introduced(commits, commit_files, tags, path)}
 
 
-def reverse_index(links: DataFrame) -> DataFrame:
-    """file id, commit ids: the commits of every file, sorted."""
-    return links.where("type = 'modifies'").groupBy("to_id").agg(F.array_sort(F.collect_set("from_id")).alias("from_ids"))
+def reverse_index(links: DataFrame, named: Callable[[Column], Column] = lambda key: key) -> DataFrame:
+    """file id, commit ids: the commits of every file, sorted.
+
+    ``named`` gives an id where the links have shorter keys, when they are gathered.
+    """
+    sets = links.where("type = 'modifies'").groupBy("to_id").agg(F.collect_set("from_id").alias("from_ids"))
+    return sets.select(named(F.col("to_id")).alias("to_id"), F.array_sort(F.transform("from_ids", named)).alias("from_ids"))
 
 
 def lineage_of(links: DataFrame, path: str) -> DataFrame:
