@@ -7,6 +7,7 @@ import hmac
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -63,20 +64,32 @@ def chosen(names: Iterable[str] = DEFAULT) -> list[Detector]:
 
 
 def marker(category: str, secret: str, key: bytes) -> str:
-    return f"<<redacted:{category}:{hmac.new(key, secret.encode(), hashlib.sha256).hexdigest()[:12]}>>"
+    return f"<<redacted:{category}:{hmac.digest(key, secret.encode(), "sha256").hex()[:12]}>>"
+
+
+@lru_cache(maxsize=256)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
+_MARKED = re.compile(f"({MARKER})")
 
 
 def redact_value(text: str, key: bytes, detectors: list[Detector]) -> tuple[str, dict[str, int]]:
     """The text with every secret replaced, and counts by category. Markers are never redacted again."""
     counts: dict[str, int] = {}
     for d in detectors:
-        out, at = [], 0
-        for part in re.split(f"({MARKER})", text):
-            if re.fullmatch(MARKER, part):
+        found = _compiled(d.pattern)
+        if "<<redacted:" not in text and not found.search(text):
+            continue
+        out = []
+        # Every second part is a marker.
+        for k, part in enumerate(_MARKED.split(text)):
+            if k % 2:
                 out.append(part)
                 continue
             at = 0
-            for m in re.finditer(d.pattern, part):
+            for m in found.finditer(part):
                 out += [part[at : m.start(d.group)], marker(d.category, m.group(d.group), key), part[m.end(d.group) : m.end()]]
                 at = m.end()
                 counts[d.category] = counts.get(d.category, 0) + 1
